@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import load
+from .packing import pack
 from .pii import digest, pii_spans
 from .sharding import shard
 
 
+def op4_packing(spark, sf_dir):
+    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_pii(spark, sf_dir):
     return digest(pii_spans(load(spark, sf_dir, "documents")))
 
@@ -15,5 +22,5 @@ def op9_sharding(spark, sf_dir):
     return shard(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_pii": op8_pii, "op9_sharding": op9_sharding}
+QUERIES = {"op4_packing": op4_packing, "op8_pii": op8_pii, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
