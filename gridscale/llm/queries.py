@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from .common import load
+from .jaccard import jaccard_join
 from .packing import pack
 from .pii import digest, pii_spans
 from .sharding import shard
@@ -14,6 +15,10 @@ def op4_packing(spark, sf_dir):
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_jaccard(spark, sf_dir):
+    return jaccard_join(load(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark, sf_dir):
     return digest(pii_spans(load(spark, sf_dir, "documents")))
 
@@ -22,5 +27,5 @@ def op9_sharding(spark, sf_dir):
     return shard(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_packing": op4_packing, "op8_pii": op8_pii, "op9_sharding": op9_sharding}
+QUERIES = {"op4_packing": op4_packing, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding}
 ORACLE_SQL: dict[str, str] = {}
