@@ -5,10 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 
 from .common import load
+from . import decontaminate
+from .decontaminate import contained
 from .jaccard import jaccard_join
 from .packing import pack
 from .pii import digest, pii_spans
 from .sharding import shard
+from .vectors import near_vectors
+
+
+def op1_decontamination(spark, sf_dir):
+    return contained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
 def op4_packing(spark, sf_dir):
@@ -27,5 +34,9 @@ def op9_sharding(spark, sf_dir):
     return shard(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_packing": op4_packing, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding}
-ORACLE_SQL: dict[str, str] = {}
+def op10_embeddings(spark, sf_dir):
+    return near_vectors(load(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_decontamination": op1_decontamination, "op4_packing": op4_packing, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding, "op10_embeddings": op10_embeddings}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.sql()}
