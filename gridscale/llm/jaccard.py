@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, text_of
+from .common import arrow_rows, cut, partitions, text_of
 from .components import components
 from .words import Words, shingles
 
@@ -163,7 +163,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, id_c
     bands, rows = bands_and_rows(threshold)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     known = texts.where("doc_id is not null")
-    sketch = cut(known.mapInPandas(_sketch(n_words, bands, rows), "doc_id long, set_key binary, bands array<long>"))
+    with arrow_rows(spark):
+        sketch = cut(known.mapInPandas(_sketch(n_words, bands, rows), "doc_id long, set_key binary, bands array<long>"))
     classes = cut(sketch.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
     reps = sketch.join(classes, (sketch.set_key == classes.set_key) & (sketch.doc_id == classes.class_id)).select("class_id", "copies", "bands").dropDuplicates(["class_id"])
     spread = reps.select("class_id", F.posexplode("bands").alias("band", "key"))

@@ -13,6 +13,7 @@ The driver sees only the histogram and the patterns, both bounded by the number
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, numbered, partitions, text_of
+from .common import arrow_rows, cut, numbered, partitions, text_of
 
 CAPACITY, WIDTH, END_ID = 2048, 16, 1
 #: The linear program is solved to this relative gap.
@@ -30,7 +31,7 @@ GAP = 1e-3
 #: Up to so many documents that are cut anew, their keys are broadcast; beyond, the join shuffles.
 BROADCAST_KEYS = 200_000
 #: Entries of the word cache of a Python worker.
-CACHE = 400_000
+CACHE = 200_000
 KEY = ["doc_id", "h"]
 #: Texts of these characters alone are split here: for them the tokenizer's normal form is lower case.
 SIMPLE = re.compile(r"[\t\n\r -~¡-ÿ]*")
@@ -43,8 +44,12 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(33, 256) if SIMPLE.fullmatch(chr(c))}
 
     def ids(self, text: str) -> bytes:
         if not SIMPLE.fullmatch(text) or "<|" in text:
@@ -54,9 +59,10 @@ class Encoder:
         if None in got:
             if len(self.known) > CACHE:
                 self.known.clear()
-            new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, dtype="<u4").tobytes()
+            for p in pieces:
+                if p not in self.known:  # a piece is what the model sees after splitting, once its bytes are spelt
+                    ids = [x.id for x in self.model.tokenize(p.translate(self.level))]
+                    self.known[p] = struct.pack(f"<{len(ids)}I", *ids)
             got = list(map(self.known.__getitem__, pieces))
         got.append(END_ID.to_bytes(4, "little"))
         return b"".join(got)
@@ -172,7 +178,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, width: int =
     spark = docs.sparkSession
     t = text_of(text_col)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("h"), t.alias("text"))
-    pieces = cut(texts.mapInPandas(_first_pieces(tokenizer, capacity), "doc_id long, h long, start long, length long, ids_crc32 long, doc_tokens long"))
+    with arrow_rows(spark):
+        pieces = cut(texts.mapInPandas(_first_pieces(tokenizer, capacity), "doc_id long, h long, start long, length long, ids_crc32 long, doc_tokens long"))
     buckets = 4 * partitions(spark)
     rest = pieces.where(F.col("length") < capacity).withColumn("class", F.ceil(F.col("length") / width).cast("int"))
     histogram = rest.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens")).orderBy("class").collect()
