@@ -5,7 +5,7 @@
 2. Band hashes are shuffled; buckets with more than one class link their classes to the smallest one, and the
    connected components of these links are the groups to verify. Components of more than ``MOST`` classes are
    verified bucket by bucket instead, a pair in the first band it shares only.
-3. The shingle sets of grouped classes are read once more. Groups are cut into blocks of ``BLOCK`` classes and
+3. The shingle sets of grouped classes are read once more. Groups are cut into blocks of ``BLOCK`` classes or ``BLOCK_GRAMS`` shingles and
    each pair of blocks is one unit of work, which returns link counts and a spanning forest, never pairs.
 """
 
@@ -25,6 +25,8 @@ from .components import components
 from .words import Words, shingles
 
 BLOCK, MOST = 512, 8192
+#: Shingles of a block, and of a slice of the hash range that is counted at a time.
+BLOCK_GRAMS, SLICE = 2_000_000, 1_000_000
 #: Up to so many classes to verify, their ids are broadcast to filter the second reading of the texts.
 BROADCAST_IDS = 1_000_000
 
@@ -54,8 +56,8 @@ def _sketch(n_words: int, bands: int, rows: int):
                     keys = [xxhash.xxh3_64_intdigest(low[k * rows : (k + 1) * rows].tobytes(), seed=k) for k in range(bands)]
                 else:
                     keys = []
-                out.append((doc, xxhash.xxh3_128_digest(s.tobytes()), np.array(keys, dtype=np.uint64).astype(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "set_key", "bands"])
+                out.append((doc, xxhash.xxh3_128_digest(s.tobytes()), len(s), np.array(keys, dtype=np.uint64).astype(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "set_key", "n_grams", "bands"])
 
     return run
 
@@ -70,11 +72,20 @@ def _sets(n_words: int):
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs, through the shingles that at least two sets hold."""
+    """Sizes of the intersections of all pairs of sorted sets, slice by slice of the hash range."""
     m = len(sets)
     if m == 2:
         n = len(np.intersect1d(*sets, assume_unique=True))
         return np.array([[len(sets[0]), n], [n, len(sets[1])]])
+    slices = -(-sum(map(len, sets)) // SLICE)
+    ends = np.array([(k << 64) // max(slices, 1) for k in range(1, slices)], dtype=np.uint64)
+    bounds = [np.r_[0, np.searchsorted(s, ends), len(s)] for s in sets]
+    return sum((_shared_slice([s[b[k] : b[k + 1]] for s, b in zip(sets, bounds, strict=True)]) for k in range(slices)), np.zeros((m, m), dtype=np.int64))
+
+
+def _shared_slice(sets: list[np.ndarray]) -> np.ndarray:
+    """The same for one slice, through the shingles that at least two sets hold."""
+    m = len(sets)
     values = np.concatenate(sets)
     rows = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(values, kind="stable")
@@ -164,18 +175,19 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, id_c
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     known = texts.where("doc_id is not null")
     with arrow_rows(spark):
-        sketch = cut(known.mapInPandas(_sketch(n_words, bands, rows), "doc_id long, set_key binary, bands array<long>"))
+        sketch = cut(known.mapInPandas(_sketch(n_words, bands, rows), "doc_id long, set_key binary, n_grams long, bands array<long>"))
     classes = cut(sketch.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
-    reps = sketch.join(classes, (sketch.set_key == classes.set_key) & (sketch.doc_id == classes.class_id)).select("class_id", "copies", "bands").dropDuplicates(["class_id"])
-    spread = reps.select("class_id", F.posexplode("bands").alias("band", "key"))
-    buckets = spread.groupBy("key").agg(F.min("class_id").alias("root"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = cut(spread.join(buckets, "key").select("class_id", "band", "key", "root"))
+    reps = sketch.join(classes, (sketch.set_key == classes.set_key) & (sketch.doc_id == classes.class_id)).select("class_id", "copies", "n_grams", "bands").dropDuplicates(["class_id"])
+    spread = reps.select("class_id", "n_grams", F.posexplode("bands").alias("band", "key"))
+    buckets = spread.groupBy("key").agg(F.min("class_id").alias("root"), F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams_all")).where("n > 1")
+    stars = cut(spread.join(buckets, "key").select("class_id", "n_grams", "band", "key", "root"))
     comp = cut(components(stars.select(F.col("class_id").alias("a"), F.col("root").alias("b"))))
-    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    sized = comp.join(size, "component").select(F.col("node").alias("class_id"), "component", "m")
-    small = sized.where(F.col("m") <= MOST).select(F.col("component").alias("gid"), F.lit(-1).alias("band"), "class_id", "m")
+    weighed = comp.join(stars.select(F.col("class_id").alias("node"), "n_grams").distinct(), "node")
+    size = weighed.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams_all"))
+    sized = comp.join(size, "component").select(F.col("node").alias("class_id"), "component", "m", "grams_all")
+    small = sized.where(F.col("m") <= MOST).select(F.col("component").alias("gid"), F.lit(-1).alias("band"), "class_id", "m", "grams_all")
     wide = stars.join(sized.where(F.col("m") > MOST).select("class_id"), "class_id")
-    wide = wide.join(buckets.select("key", F.col("n").alias("m")), "key").select(F.col("key").alias("gid"), "band", "class_id", "m")
+    wide = wide.join(buckets.select("key", F.col("n").alias("m"), "grams_all"), "key").select(F.col("key").alias("gid"), "band", "class_id", "m", "grams_all")
     members = small.unionByName(wide)
 
     ids = sized.select(F.col("class_id").alias("doc_id"))
@@ -184,13 +196,14 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, id_c
     lean = reps.select("class_id", "copies", "bands").join(wide.select("class_id").distinct().withColumn("_wide", F.lit(True)), "class_id", "left")
     lean = lean.select("class_id", "copies", F.when(F.col("_wide"), F.col("bands")).alias("bands"))
     full = members.join(sets, "class_id").join(lean, "class_id")
-    n_blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    n_blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("grams_all") / BLOCK_GRAMS)).cast("int")
     blocks = full.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("nb")).cast("int"))
     units = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
         "gid", "band", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "class_id", "copies", "bands", "grams"
     )
     dealt = units.repartition(4 * partitions(spark), "gid", "band", "b1", "b2").sortWithinPartitions("gid", "band", "b1", "b2")
-    links = cut(dealt.mapInPandas(_verify(threshold), "class_id long, links long, root long"))
+    with arrow_rows(spark, 200):
+        links = cut(dealt.mapInPandas(_verify(threshold), "class_id long, links long, root long"))
     n_links = links.groupBy("class_id").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("class_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
     told = classes.join(n_links, "class_id", "left").join(groups, "class_id", "left")
