@@ -8,8 +8,10 @@ from .common import load
 from . import decontaminate
 from .decontaminate import contained
 from .jaccard import jaccard_join
+from .lm import lm_scores
 from .packing import pack
 from .pii import digest, pii_spans
+from .quality import quality_scores
 from .sharding import shard
 from .vectors import near_vectors
 
@@ -22,6 +24,14 @@ def op4_packing(spark, sf_dir):
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_quality(spark, sf_dir):
+    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op6_lm(spark, sf_dir):
+    return lm_scores(load(spark, sf_dir, "documents"))
+
+
 def op7_jaccard(spark, sf_dir):
     return jaccard_join(load(spark, sf_dir, "documents"))
 
@@ -38,5 +48,5 @@ def op10_embeddings(spark, sf_dir):
     return near_vectors(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_packing": op4_packing, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding, "op10_embeddings": op10_embeddings}
+QUERIES = {"op1_decontamination": op1_decontamination, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_lm": op6_lm, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding, "op10_embeddings": op10_embeddings}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.sql()}
