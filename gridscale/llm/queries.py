@@ -8,10 +8,12 @@ from .common import load
 from . import decontaminate
 from .decontaminate import contained
 from .jaccard import jaccard_join
+from .licences import scan_licences
 from .lm import lm_scores
 from .packing import pack
 from .pii import digest, pii_spans
 from .quality import quality_scores
+from .repeats import remove_repeats
 from .sharding import shard
 from .vectors import near_vectors
 
@@ -20,6 +22,14 @@ def op1_decontamination(spark, sf_dir):
     return contained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
 
+def op2_repeats(spark, sf_dir):
+    return remove_repeats(load(spark, sf_dir, "documents"))
+
+
+def op3_licences(spark, sf_dir):
+    return scan_licences(load(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark, sf_dir):
     return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,5 +58,5 @@ def op10_embeddings(spark, sf_dir):
     return near_vectors(load(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_lm": op6_lm, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding, "op10_embeddings": op10_embeddings}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_repeats": op2_repeats, "op3_licences": op3_licences, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_lm": op6_lm, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding, "op10_embeddings": op10_embeddings}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.sql()}
