@@ -4,7 +4,8 @@ Paragraphs are lines; lines of more than ``SPAN`` words are read in half-overlap
 logistic regression over hashed word 1- and 2-grams tells the families, ``unknown`` (licence language of no known
 family) and ``none`` apart. It is fitted on varied templates, made-up statements of no family, and paragraphs from
 at most ``SAMPLE`` documents; a temperature fitted on a held-out third calibrates the probabilities. A family
-counts only if its paragraph holds most word pairs of one of the family's templates; otherwise it is ``unknown``.
+counts only if its paragraph holds most word pairs of one of the family's templates; otherwise it is ``unknown``,
+which in turn needs word pairs of a licence statement.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ OTHER = [
 ]
 FAMILIES = list(TEMPLATES)
 CLASSES = [*FAMILIES, "unknown", "none"]
-SAMPLE, SPAN, BITS = 400, 64, 15
+SAMPLE, SPAN, BITS = 400, 24, 15
 CONFIRM, LEAST = 0.6, 0.5
 
 
@@ -118,6 +119,7 @@ def windows(n: int) -> list[tuple[int, int]]:
 def _scan(model: Model):
     memory = Words()
     pairs = [(k, np.unique(grams(memory.of(t), 2))) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
+    pairs += [(len(FAMILIES), np.unique(np.concatenate([grams(memory.of(x), 2) for x in t.split("NAME") if len(x.split()) > 1]))) for t in OTHER]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
@@ -158,6 +160,8 @@ def _scan(model: Model):
                     name = CLASSES[top[s]]
                     if name != "unknown" and share[top[s]] < CONFIRM:
                         name = "unknown"
+                    if name == "unknown" and share[len(FAMILIES)] < CONFIRM and max(share.values()) < CONFIRM / 2:
+                        continue
                     doc = of[line[s]]
                     old = best[doc]
                     rank = (name != "unknown", float(p[s, top[s]] if name != "unknown" else 1 - p[s, -1]))
