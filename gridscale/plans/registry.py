@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import coarse_queries, fit_queries, grid_queries, metric_queries, series_queries
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _module in (grid_queries, series_queries, coarse_queries, metric_queries, fit_queries):
+    QUERIES.update(_module.book.queries)
+    ORACLE_SQL.update(_module.book.sql)
