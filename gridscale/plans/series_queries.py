@@ -7,39 +7,39 @@ from pyspark.sql import functions as F
 from ..operators import series as op
 from ..sources.bind import observed, signal, sql
 from .book import Book
-from .grid_queries import r4
+from .grid_queries import near, r6
 
 book = Book()
 CELL = "PARTITION BY i, j ORDER BY t"
 
 
-@book.add("win01_anomaly", sql("SELECT t, i, j, round(value - avg(value) OVER (PARTITION BY i, j, t % 12), 4) AS value_anom FROM signal"))
+@book.add("win01_anomaly", sql("SELECT t, i, j, round(value - avg(value) OVER (PARTITION BY i, j, t % 12) + 1e-7, 6) AS value_anom FROM signal"))
 def anomaly(spark, sf):
-    return signal(spark, sf).select("t", "i", "j", F.round(op.anomaly("value"), 4).alias("value_anom"))
+    return signal(spark, sf).select("t", "i", "j", near(op.anomaly("value"), 6).alias("value_anom"))
 
 
-@book.add("win02_lags", sql(f"SELECT t, i, j, round(lag(pr, 1) OVER ({CELL}), 4) AS pr_lag1, round(lag(pr, 3) OVER ({CELL}), 4) AS pr_lag3, round(lag(pr, 6) OVER ({CELL}), 4) AS pr_lag6 FROM signal"))
+@book.add("win02_lags", sql(f"SELECT t, i, j, round(lag(pr, 1) OVER ({CELL}) + 1e-7, 6) AS pr_lag1, round(lag(pr, 3) OVER ({CELL}) + 1e-7, 6) AS pr_lag3, round(lag(pr + 1e-7, 6) OVER ({CELL}) + 1e-7, 6) AS pr_lag6 FROM signal"))
 def lags(spark, sf):
-    return signal(spark, sf).select("t", "i", "j", *[F.round(op.lagged("pr", k), 4).alias(f"pr_lag{k}") for k in (1, 3, 6)])
+    return signal(spark, sf).select("t", "i", "j", *[near(op.lagged("pr", k), 6).alias(f"pr_lag{k}") for k in (1, 3, 6)])
 
 
-@book.add("win03_accumulation", sql("SELECT t, i, j, " + ", ".join(f"round(coalesce(sum(pr) OVER ({CELL} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 0), 4) AS pr_accum{k}m" for k in (3, 6, 12)) + " FROM signal"))
+@book.add("win03_accumulation", sql("SELECT t, i, j, " + ", ".join(f"round(coalesce(sum(pr) OVER ({CELL} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW), 0) + 1e-7, 6) AS pr_accum{k}m" for k in (3, 6, 12)) + " FROM signal"))
 def accumulation(spark, sf):
-    return signal(spark, sf).select("t", "i", "j", *[F.round(op.rolling_sum("pr", k), 4).alias(f"pr_accum{k}m") for k in (3, 6, 12)])
+    return signal(spark, sf).select("t", "i", "j", *[near(op.rolling_sum("pr", k), 6).alias(f"pr_accum{k}m") for k in (3, 6, 12)])
 
 
 _TAPS = "x AS (SELECT t, i, j, CASE WHEN j = min(j) OVER (PARTITION BY t, i) THEN {v} ELSE lag({v}) OVER (PARTITION BY t, i ORDER BY j) END + {v} + CASE WHEN j = max(j) OVER (PARTITION BY t, i) THEN {v} ELSE lead({v}) OVER (PARTITION BY t, i ORDER BY j) END AS v FROM {s}), y AS (SELECT t, i, j, CASE WHEN i = min(i) OVER (PARTITION BY t, j) THEN v ELSE lag(v) OVER (PARTITION BY t, j ORDER BY i) END + v + CASE WHEN i = max(i) OVER (PARTITION BY t, j) THEN v ELSE lead(v) OVER (PARTITION BY t, j ORDER BY i) END AS v FROM x)"
 
 
-@book.add("win04_spatial_mean", sql("SELECT t, i, j, round(v/9, 4) AS pr_spatial FROM y", _TAPS.format(v="pr", s="signal")))
+@book.add("win04_spatial_mean", sql("SELECT t, i, j, round(v/9 + 1e-7, 6) AS pr_spatial FROM y", _TAPS.format(v="pr", s="signal")))
 def spatial_mean(spark, sf):
-    return op.spatial_mean(signal(spark, sf).select("t", "i", "j", "pr"), "pr", "pr_spatial").select("t", "i", "j", r4("pr_spatial"))
+    return op.spatial_mean(signal(spark, sf).select("t", "i", "j", "pr"), "pr", "pr_spatial").select("t", "i", "j", r6("pr_spatial"))
 
 
-@book.add("win05_feature_chain", sql("SELECT t, i, j, round(z.a, 4) AS pr_anom, round(v/9, 4) AS pr_anom_spatial FROM y JOIN z USING (t, i, j)", "z AS (SELECT t, i, j, pr - avg(pr) OVER (PARTITION BY i, j, t % 12) AS a FROM signal)", _TAPS.format(v="a", s="z")))
+@book.add("win05_feature_chain", sql("SELECT t, i, j, round(z.a + 1e-7, 6) AS pr_anom, round(v/9 + 1e-7, 6) AS pr_anom_spatial FROM y JOIN z USING (t, i, j)", "z AS (SELECT t, i, j, pr - avg(pr) OVER (PARTITION BY i, j, t % 12) AS a FROM signal)", _TAPS.format(v="a", s="z")))
 def feature_chain(spark, sf):
     x = signal(spark, sf).select("t", "i", "j", op.anomaly("pr").alias("pr_anom"))
-    return op.spatial_mean(x, "pr_anom", "s").select("t", "i", "j", r4("pr_anom"), r4("s", "pr_anom_spatial"))
+    return op.spatial_mean(x, "pr_anom", "s").select("t", "i", "j", r6("pr_anom"), r6("s", "pr_anom_spatial"))
 
 
 _LINE = """k AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY i, j ORDER BY t ROWS UNBOUNDED PRECEDING) AS ta, last_value(value IGNORE NULLS) OVER (PARTITION BY i, j ORDER BY t ROWS UNBOUNDED PRECEDING) AS va,
@@ -50,19 +50,19 @@ e AS (SELECT i, j, count(*) AS n, max(CASE WHEN up=1 THEN t END) AS t1, max(CASE
 line AS (SELECT k.t, k.i, k.j, value, CASE WHEN value IS NOT NULL THEN value WHEN n = 1 THEN coalesce(va, vb) WHEN ta IS NULL THEN v1+(k.t-t1)*(v2-v1)/(t2-t1) WHEN tb IS NULL THEN v4+(k.t-t4)*(v3-v4)/(t3-t4) ELSE va+(k.t-ta)*(vb-va)/(tb-ta) END AS filled FROM k JOIN e USING (i, j))"""
 
 
-@book.add("ts01_linear_fill", sql("SELECT t, i, j, round(filled, 4) AS filled FROM line", _LINE))
+@book.add("ts01_linear_fill", sql("SELECT t, i, j, round(filled + 1e-7, 6) AS filled FROM line", _LINE))
 def linear_fill(spark, sf):
-    return op.linear_fill(signal(spark, sf).select("t", "i", "j", "value"), "value", "filled").select("t", "i", "j", r4("filled"))
+    return op.linear_fill(signal(spark, sf).select("t", "i", "j", "value"), "value", "filled").select("t", "i", "j", r6("filled"))
 
 
-@book.add("ts02_short_gaps", sql("SELECT t, i, j, round(CASE WHEN value IS NOT NULL THEN value WHEN r > 0 AND r < max(r) OVER (PARTITION BY i, j) AND sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY i, j, r) <= 3 THEN filled END, 4) AS filled FROM (SELECT *, count(value) OVER (PARTITION BY i, j ORDER BY t) AS r FROM line)", _LINE))
+@book.add("ts02_short_gaps", sql("SELECT t, i, j, round(CASE WHEN value IS NOT NULL THEN value WHEN r > 0 AND r < max(r) OVER (PARTITION BY i, j) AND sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY i, j, r) <= 3 THEN filled END + 1e-7, 6) AS filled FROM (SELECT *, count(value) OVER (PARTITION BY i, j ORDER BY t) AS r FROM line)", _LINE))
 def short_gaps(spark, sf):
-    return op.fill_short(signal(spark, sf).select("t", "i", "j", "value"), "value", "filled").select("t", "i", "j", r4("filled"))
+    return op.fill_short(signal(spark, sf).select("t", "i", "j", "value"), "value", "filled").select("t", "i", "j", r6("filled"))
 
 
-@book.add("win06_extension", sql("SELECT t, i, j, round(filled, 4) AS value FROM line WHERE t % 7 = 0", _LINE))
+@book.add("win06_extension", sql("SELECT t, i, j, round(filled + 1e-7, 6) AS value FROM line WHERE t % 7 = 0", _LINE))
 def extension(spark, sf):
-    return op.linear_fill(signal(spark, sf).select("t", "i", "j", "value"), "value", "filled").where("t % 7 = 0").select("t", "i", "j", r4("filled", "value"))
+    return op.linear_fill(signal(spark, sf).select("t", "i", "j", "value"), "value", "filled").where("t % 7 = 0").select("t", "i", "j", r6("filled", "value"))
 
 
 @book.add("win07_gap_runs", sql("SELECT i, j, min(t) AS first, max(t) AS last, count(*) AS length FROM (SELECT i, j, t, t - row_number() OVER (PARTITION BY i, j ORDER BY t) AS g FROM signal WHERE value IS NULL) GROUP BY i, j, g"))
