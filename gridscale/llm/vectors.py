@@ -17,14 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import arrow_rows, cut, partitions
 from .components import components
 
-BLOCK = 2048
+BLOCK = 1024
 #: Standard deviations of the estimate that the confidence bound spans.
 SPAN = 4.0
 #: Pairs that are estimated at a time.
-PAIRS = 1 << 20
+PAIRS = 1 << 17
 
 
 def tables_and_bits(n: int, cosine: float, recall: float = 0.995) -> tuple[int, int]:
@@ -188,7 +188,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id"
     members = members.select("class_id", "dim", "table", "key", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
     unit = ["dim", "table", "key", "b1", "b2"]
     dealt = members.join(coded.drop("dim"), "class_id").repartition(4 * partitions(spark), *unit).sortWithinPartitions(*unit)
-    links = cut(dealt.mapInPandas(_verify(cosine), "class_id long, links long, root long"))
+    with arrow_rows(spark, 4000):
+        links = cut(dealt.mapInPandas(_verify(cosine), "class_id long, links long, root long"))
     n_links = links.groupBy("class_id").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("class_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("class_id"), "component")
     told = classes.join(n_links, "class_id", "left").join(groups, "class_id", "left")
