@@ -171,8 +171,20 @@ def _judge(buckets: int):
     return run
 
 
+def _compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as they travel: compressed better than the shuffle would."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=3)
+    for b in batches:
+        yield b.assign(text=[z.compress(t.encode()) for t in b["text"]])
+
+
 def _texts(b: pd.DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    raw = [t.encode() for t in b["text"]]
+    import zstandard
+
+    z = zstandard.ZstdDecompressor()
+    raw = [z.decompress(t) for t in b["text"]]
     return raw, b["doc"].to_numpy(dtype=np.int64), np.array([zlib.crc32(r) for r in raw], dtype=np.uint32)
 
 
@@ -270,7 +282,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = buckets = 4 * partitions(spark)
     raw_id = F.col(id_col).cast("long")
     texts = docs.select(raw_id.alias("doc_id"), F.coalesce(raw_id, F.lit(_LAST)).alias("doc"), text_of(text_col).alias("text"))
-    dealt = texts.withColumn("bucket", F.pmod("doc", F.lit(buckets)).cast("int")).groupBy("bucket")
+    small = texts.withColumn("bucket", F.pmod("doc", F.lit(buckets)).cast("int")).mapInPandas(_compress, "doc_id long, doc long, text binary, bucket int")
+    dealt = small.groupBy("bucket")
     with arrow_rows(spark, 500):
         asked = texts.select("doc", "text").mapInPandas(_ask(parts), "part int, kind int, docs binary, variants binary, starts binary, lengths binary, grams binary, phrases binary")
         judged = cut(asked.groupBy("part").applyInPandas(_judge(buckets), _COLUMNS))
