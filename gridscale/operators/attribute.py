@@ -13,23 +13,23 @@ from pyspark.sql.window import Window
 def shapley(model: PipelineModel, samples: DataFrame, background: DataFrame, features: list[str], rounds: int = 8) -> tuple[DataFrame, DataFrame]:
     """(sample_id, feature, x, phi) and (sample_id, base, prediction).
 
-    Each sample meets ``rounds`` background rows (``b`` numbered from 0) in a permutation of the features that a
+    Each sample meets ``rounds`` background rows in a permutation of the features that a
     hash of sample and round gives; features switch from the background's value to the sample's one by one, all
     mixtures are predicted in one transform, and the steps are averaged. Steps of a round add up to the
     difference of its two ends, so base plus attributions is the prediction exactly.
     """
     n = len(features)
-    b = background.limit(rounds).withColumn("b", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*features)) - 1)  # ``rounds`` rows
-    pairs = samples.select("sample_id", *features).crossJoin(F.broadcast(b.select("b", *[F.col(f).alias(f"_{f}") for f in features])))
-    order = F.array_sort(F.array(*[F.struct(F.xxhash64("sample_id", "b", F.lit(k)).alias("h"), F.lit(k).alias("k")) for k in range(n)]))
+    b = background.limit(rounds).withColumn("_round", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*features)) - 1)  # ``rounds`` rows
+    pairs = samples.select("sample_id", *features).crossJoin(F.broadcast(b.select("_round", *[F.col(f).alias(f"_{f}") for f in features])))
+    order = F.array_sort(F.array(*[F.struct(F.xxhash64("sample_id", "_round", F.lit(k)).alias("h"), F.lit(k).alias("k")) for k in range(n)]))
     ranked = pairs.withColumn("_order", F.transform(order, lambda s: s["k"]))
     steps = ranked.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(n))))
-    mixed = steps.select("sample_id", "b", "step", F.when(F.col("step") > 0, F.get("_order", F.col("step") - 1)).alias("k"), *[F.when(F.array_position("_order", F.lit(k)) <= F.col("step"), F.col(f)).otherwise(F.col(f"_{f}")).alias(f) for k, f in enumerate(features)])
-    told = model.transform(mixed).select("sample_id", "b", "step", "k", "prediction")
-    w = Window.partitionBy("sample_id", "b").orderBy("step")
+    mixed = steps.select("sample_id", "_round", "step", F.when(F.col("step") > 0, F.get("_order", F.col("step") - 1)).alias("_k"), *[F.when(F.array_position("_order", F.lit(k)) <= F.col("step"), F.col(f)).otherwise(F.col(f"_{f}")).alias(f) for k, f in enumerate(features)])
+    told = model.transform(mixed).select("sample_id", "_round", "step", "_k", "prediction")
+    w = Window.partitionBy("sample_id", "_round").orderBy("step")
     gains = told.withColumn("gain", F.col("prediction") - F.lag("prediction").over(w)).where("step > 0")
     names = F.array(*[F.lit(f) for f in features])
-    phi = gains.groupBy("sample_id", "k").agg(F.avg("gain").alias("phi")).select("sample_id", F.get(names, F.col("k")).alias("feature"), "phi")
+    phi = gains.groupBy("sample_id", "_k").agg(F.avg("gain").alias("phi")).select("sample_id", F.get(names, F.col("_k")).alias("feature"), "phi")
     ends = told.groupBy("sample_id").agg(F.avg(F.when(F.col("step") == 0, F.col("prediction"))).alias("base"), F.avg(F.when(F.col("step") == n, F.col("prediction"))).alias("prediction"))
     x = samples.select("sample_id", *features).unpivot(["sample_id"], features, "feature", "x")
     return phi.join(x, ["sample_id", "feature"]).select("sample_id", "feature", "x", "phi"), ends
