@@ -23,7 +23,9 @@ from .words import Words, mix
 ALPHA = 0.4
 #: Count that stands for a word which no other document holds.
 UNSEEN = 0.5
-_LOW = np.uint64((1 << 48) - 1)
+#: Bytes of an n-gram hash that travel; the partition stands for the bits above. Partitions grow with the input,
+#: and so does the space of hashes.
+_BYTES = 5
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,6 +43,19 @@ def _ids(words: list[np.ndarray], order: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
+def _pack(at: np.ndarray) -> bytes:
+    """Small numbers, byte by byte, compressed."""
+    import zstandard
+
+    return zstandard.compress(at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+
+
 def _key(words: list[np.ndarray]) -> bytes:
     return xxhash.xxh3_128_digest(b"|".join(w.tobytes() for w in words))
 
@@ -57,7 +72,7 @@ def _ask(order: int, parts: int):
             part = ((keys >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
             turn = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[turn], np.arange(parts + 1))
-            packed = keys.view(np.uint8).reshape(-1, 8)[:, :6]
+            packed = keys.view(np.uint8).reshape(-1, 8)[:, :_BYTES]
             for p in range(parts):
                 t = turn[ends[p] : ends[p + 1]]
                 if len(t):
@@ -69,9 +84,9 @@ def _ask(order: int, parts: int):
 
 def _answer(g: pd.DataFrame) -> pd.DataFrame:
     sizes = [len(c) // 4 for c in g["counts"]]
-    raw = np.frombuffer(b"".join(g["grams"]), dtype=np.uint8).reshape(-1, 6)
+    raw = np.frombuffer(b"".join(g["grams"]), dtype=np.uint8).reshape(-1, _BYTES)
     keys = np.zeros((len(raw), 8), dtype=np.uint8)
-    keys[:, :6] = raw
+    keys[:, :_BYTES] = raw
     counts = np.frombuffer(b"".join(g["counts"]), dtype="<u4")
     _, at = np.unique(keys.view("<u8").ravel(), return_inverse=True)
     total = np.bincount(at, counts)[at]
@@ -80,7 +95,7 @@ def _answer(g: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": g["block"], "part": g["part"], "totals": [small[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]})
 
 
-def _blocks() :
+def _blocks():
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memory = Words()
         for b in batches:
@@ -88,7 +103,7 @@ def _blocks() :
             vocabulary, at = np.unique(np.concatenate(words) if words else np.array([], dtype=np.uint64), return_inverse=True)
             yield pd.DataFrame({
                 "block": [_key(words)], "ids": [b["doc_id"].astype("Int64").tolist()], "sizes": [[len(w) for w in words]],
-                "vocabulary": [vocabulary.tobytes()], "at": [at.astype("<u2" if len(vocabulary) < 65536 else "<u4").tobytes()],
+                "vocabulary": [vocabulary.tobytes()], "at": [_pack(at)],
             })
 
     return run
@@ -139,7 +154,7 @@ def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
         answers = answers.drop_duplicates("part").sort_values("part")
         for row in blocks.itertuples():
             vocabulary = np.frombuffer(row.vocabulary, dtype=np.uint64)
-            at = np.frombuffer(row.at, dtype="<u2" if len(vocabulary) < 65536 else "<u4")
+            at = _unpack(row.at)
             ends = np.cumsum(row.sizes)
             words = [vocabulary[at[e - n : e]] for e, n in zip(ends, row.sizes, strict=True)]
             ids = _ids(words, order)
