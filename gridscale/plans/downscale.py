@@ -1,0 +1,85 @@
+"""The whole job: fill gaps, make features, aggregate, fit, predict on the fine grid, correct and validate.
+
+Every step is a lazy DataFrame; a step read by more than one later step is written or cached once.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import series, train, weights
+from ..operators.coarsen import coarsen
+from ..operators.metrics import regression
+
+
+@dataclass
+class Settings:
+    factor: int = 5
+    n_rows: int = 20
+    n_columns: int = 20
+    base: tuple[str, ...] = ("pr", "tmean", "aet")
+    models: tuple[str, ...] = ("rf", "linear")
+    ensemble: str = "weighted"  # weighted or mean
+    method: str = "geographic"  # how coarse residuals reach the fine grid
+    smooth: bool = False
+    correct: bool = True
+    rain: tuple[str, ...] = ("pr",)
+    static: tuple[str, ...] = ("elevation", "population")
+    extra: list[str] = field(default_factory=list)
+
+
+def gap_fill(coarse_signal: DataFrame) -> DataFrame:
+    """Coarse signal with ``filled``."""
+    return series.stl_fill(coarse_signal.select("t", "i", "j", "value")).select("t", "i", "j", F.col("filled").alias("value"))
+
+
+def features(fine: DataFrame, s: Settings) -> tuple[DataFrame, list[str]]:
+    """Anomalies, lags and sums in one pass over each cell's series, then spatial means; and the names made."""
+    x = fine.withColumn("tmean", (F.col("tmmn") + F.col("tmmx")) / 2).drop("tmmn", "tmmx")
+    made = {f"{c}_anom": series.anomaly(c) for c in s.base} | {f"{c}_lag{k}": series.lagged(c, k) for c in s.base for k in (1, 3, 6)}
+    made |= {f"{c}_accum{k}m": series.rolling_sum(c, k) for c in s.rain for k in (3, 6, 12)}
+    x = x.select("t", "i", "j", *s.base, *[c.alias(n) for n, c in made.items()])
+    names = [*s.base, *made]
+    for c in s.base:
+        x = series.spatial_mean(x, f"{c}_anom", f"{c}_anom_spatial")
+        names.append(f"{c}_anom_spatial")
+    return x, names
+
+
+def downscale(fine: DataFrame, coarse_signal: DataFrame, static: DataFrame, s: Settings | None = None) -> tuple[DataFrame, DataFrame]:
+    """(t, i, j, predicted_uncorrected, residual_correction, downscaled), and metrics against the signal before and after."""
+    s = s or Settings()
+    filled = gap_fill(coarse_signal)
+    x, names = features(fine, s)
+    x = x.join(static.select("i", "j", *s.static), ["i", "j"], "left")
+    names = [*names, *s.static]
+    coarse = coarsen(x, s.factor, {n: "mean" for n in names}, s.n_rows, s.n_columns).withColumnsRenamed({"ci": "i", "cj": "j"})
+    table = coarse.join(filled.withColumnRenamed("value", "y"), ["t", "i", "j"]).dropna(subset=[*names, "y"]).cache()
+    scores = {r.model: max(r.r2, 0.0) for r in train.simple_validation(table, names, list(s.models), ["t", "i", "j"]).collect()}  # a row for each model
+    total = sum(max(v, 0.05) for v in scores.values())
+    weight = {m: max(v, 0.05) / total for m, v in scores.items()} if s.ensemble == "weighted" else {m: 1.0 for m in s.models}
+    fitted = {m: train.pipeline(m, names).fit(table) for m in s.models}
+
+    def predict(df: DataFrame) -> DataFrame:
+        for m, model in fitted.items():
+            df = model.transform(df).withColumnRenamed("prediction", f"prediction_{m}").drop("features", "raw")
+        return df.withColumn("predicted", train.ensemble({f"prediction_{m}": w for m, w in weight.items()}))
+
+    residual = predict(table).select("t", F.col("i").alias("ci"), F.col("j").alias("cj"), (F.col("y") - F.col("predicted")).alias("residual"))
+    if s.smooth:
+        n, m = s.n_rows // s.factor, s.n_columns // s.factor
+        residual = weights.gaussian(residual.withColumnsRenamed({"ci": "i", "cj": "j"}), "residual", "residual", n, m).withColumnsRenamed({"i": "ci", "j": "cj"})
+    told = predict(x).select("t", "i", "j", "predicted")
+    if s.correct:
+        make = {"geographic": weights.containing, "bilinear": weights.bilinear, "nearest": weights.nearest, "bicubic": weights.cubic}[s.method]
+        table_w = make(x.select("i", "j").distinct(), s.factor, s.n_rows // s.factor, s.n_columns // s.factor)
+        product = told.join(weights.apply(table_w, residual, "residual", "correction"), ["t", "i", "j"])
+    else:
+        product = told.withColumn("correction", F.lit(0.0))
+    product = product.select("t", "i", "j", F.col("predicted").alias("predicted_uncorrected"), F.col("correction").alias("residual_correction"), (F.col("predicted") + F.col("correction")).alias("downscaled"))
+    back = coarsen(product, s.factor, {"predicted_uncorrected": "mean", "downscaled": "mean"}, s.n_rows, s.n_columns).withColumnsRenamed({"ci": "i", "cj": "j"}).join(coarse_signal.select("t", "i", "j", "value"), ["t", "i", "j"])
+    metrics = regression(back, "value", "predicted_uncorrected", []).withColumn("stage", F.lit("before")).unionByName(regression(back, "value", "downscaled", []).withColumn("stage", F.lit("after")))
+    return product, metrics

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..operators import attribute, folds, train
 from ..operators.coarsen import coarsen
+from ..operators.gradient import Network, svr
 from ..operators.metrics import regression
-from ..sources.bind import FACTOR, SIDE, observed, sql, static
+from ..sources.bind import FACTOR, SIDE, observed, signal, sql, static
 from .book import Book
-from .metric_queries import rounded, rounded_sql
+from .downscale import Settings, downscale
+from .metric_queries import rounded, rounded_sql, trials
 
 book = Book()
 FEATURES = ["pr", "tmmx", "aet", "elevation", "lat"]
@@ -182,3 +184,47 @@ def top_union(spark, sf):
 def holdout(spark, sf):
     x = observed(spark, sf).select("t", "i", "j")
     return x.where(~train.hash_split(x, ["t", "i", "j"], 0.7))
+
+
+@book.add("ml03_network")
+def network(spark, sf):
+    """A small network and a linear epsilon-insensitive fit on the hash split, by distributed gradients."""
+    x = training(spark, sf)
+    x = x.withColumn("_train", train.hash_split(x, ["t", "i", "j"], 0.7)).select(*FEATURES, "y", "_train").cache()
+    out = None
+    for name, model, rounds in (("nn", Network(FEATURES), 20), ("svr", svr(FEATURES), 20)):
+        told = model.fit(x.where("_train"), rounds=rounds, rate=0.08).transform(x.where("not _train"))
+        m = regression(told, "y", "prediction", []).select(F.lit(name).alias("model"), "n", "r2", "rmse", "mae")
+        out = m if out is None else out.unionByName(m)
+    return out
+
+
+@book.add("ml16_trial_objective")
+def trial_objective(spark, sf):
+    """Trials with their objective, rejected where the fit is poor; the best first."""
+    x = search(spark, sf)
+    reject = F.col("r2") < 0.5
+    return x.withColumn("objective", F.when(reject, F.lit(-999.0)).otherwise(F.col("r2"))).orderBy(F.desc("objective"))
+
+
+@book.add("ml19_parameter_importance")
+def parameter_importance(spark, sf):
+    """How much each trial parameter tells about the objective, by a forest over the trial log."""
+    x = trials(spark, sf).where("state = 'complete'").select("depth", F.month("started").cast("double").alias("month"), F.col("trial").cast("double").alias("trial"), F.col("value").alias("y"))
+    names = ["depth", "month", "trial"]
+    found = train.pipeline("rf", names, numTrees=5, maxDepth=4).fit(x).stages[-1].featureImportances.toArray()
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, found, strict=True)], "parameter string, importance double")
+
+
+def _coarse_signal(spark, sf):
+    return coarsen(signal(spark, sf), FACTOR, {"value": "mean"}, SIDE, SIDE).withColumnsRenamed({"ci": "i", "cj": "j"})
+
+
+@book.add("pipe_downscale")
+def pipe_downscale(spark, sf):
+    return downscale(signal(spark, sf), _coarse_signal(spark, sf), static(spark, sf))[0]
+
+
+@book.add("pipe_validate")
+def pipe_validate(spark, sf):
+    return downscale(signal(spark, sf), _coarse_signal(spark, sf), static(spark, sf), Settings(method="bilinear"))[1]
