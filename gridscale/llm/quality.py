@@ -27,6 +27,7 @@ SAMPLE = 4000
 #: Documents of more lines than this are scored, but the fit does not use them.
 FIT_LINES = 1000
 LEAST = 0.3
+SLICE = 1_000_000
 
 LETTER, UPPER, DIGIT, SPACE, PIPE, SYMBOL, STOP, OTHER = range(8)
 _CLASS = np.full(256, OTHER, dtype=np.uint8)
@@ -187,6 +188,19 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def score(model: Model, texts: list[str]) -> np.ndarray:
+    """Scores of all texts, worked out some ``SLICE`` characters at a time."""
+    out, a = [], 0
+    while a < len(texts):
+        b, size = a, 0
+        while b < len(texts) and (b == a or size + len(texts[b]) <= SLICE):
+            size += len(texts[b])
+            b += 1
+        out.append(_score(model, texts[a:b]))
+        a = b
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _score(model: Model, texts: list[str]) -> np.ndarray:
     own, length, n_lines = line_features(texts)
     good, _, _ = forward_backward(chain_features(own, n_lines) @ model.weights, model.transition, n_lines)
     z = model.scale * _logit(_means(good, length, n_lines)) + model.shift
