@@ -5,6 +5,8 @@ All window operators share one partitioning (the cell) so that Spark sorts once
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,20 +89,22 @@ def fill_short(df: DataFrame, value: str, out: str, longest: int = 3) -> DataFra
     return x.withColumn(out, F.when(F.col(value).isNotNull(), F.col(value)).when(inner & (missing <= longest), F.col("_line"))).select(*df.columns, out)
 
 
-def _loess(y: np.ndarray, weight: np.ndarray, span: int, at: np.ndarray, degree: int = 1) -> np.ndarray:
-    """Local linear fits with tricube weights of ``y`` over 0..n-1 at the places ``at``."""
-    n = len(y)
-    x = np.arange(n)
-    d = np.abs(at[:, None] - x[None, :])
-    q = min(span, n)
-    reach = np.sort(d, axis=1)[:, q - 1] * max(span / q, 1)
-    w = np.clip(1 - (d / np.maximum(reach, 1e-9)[:, None] / 1.000001) ** 3, 0, None) ** 3 * weight
+@lru_cache(maxsize=64)
+def _kernel(n: int, span: int, start: int, stop: int) -> np.ndarray:
+    """Tricube weights of the places 0..n-1 seen from start..stop-1; the same for every cell of a length."""
+    d = np.abs(np.arange(start, stop)[:, None] - np.arange(n)[None, :])
+    reach = np.sort(d, axis=1)[:, min(span, n) - 1] * max(span / min(span, n), 1)
+    return np.clip(1 - (d / np.maximum(reach, 1e-9)[:, None] / 1.000001) ** 3, 0, None) ** 3
+
+
+def _loess(y: np.ndarray, weight: np.ndarray, span: int, start: int, stop: int) -> np.ndarray:
+    """Local linear fits with tricube weights of ``y`` over 0..n-1 at the places start..stop-1."""
+    x, at = np.arange(len(y)), np.arange(start, stop)
+    w = _kernel(len(y), span, start, stop) * weight
     s = np.maximum(w.sum(axis=1), 1e-300)
     mean_x, mean_y = (w @ x) / s, (w @ y) / s
-    if degree == 0:
-        return mean_y
-    xx = (w * (x[None, :] - mean_x[:, None]) ** 2).sum(axis=1) / s
-    xy = (w * (x[None, :] - mean_x[:, None]) * y[None, :]).sum(axis=1) / s
+    xx = (w @ (x * x)) / s - mean_x**2
+    xy = (w @ (x * y)) / s - mean_x * mean_y
     return mean_y + np.where(xx > 1e-9, xy / np.maximum(xx, 1e-9), 0) * (at - mean_x)
 
 
@@ -118,12 +122,12 @@ def decompose(y: np.ndarray, period: int = 12, seasonal: int = 13, robust: int =
             for k in range(period):
                 part, w = free[k::period], weight[k::period]
                 if len(part):
-                    cycle[k::period][: len(part) + 2] = _loess(part, w, seasonal, np.arange(-1, len(part) + 1))
+                    cycle[k::period][: len(part) + 2] = _loess(part, w, seasonal, -1, len(part) + 1)
             ones = np.ones(period) / period
             low = np.convolve(np.convolve(np.convolve(cycle, ones, "valid"), ones, "valid"), np.ones(3) / 3, "valid")
-            low = _loess(low, np.ones(len(low)), low_span, np.arange(len(low)))
+            low = _loess(low, np.ones(len(low)), low_span, 0, len(low))
             season = cycle[period : period + n] - low[:n]
-            trend = _loess(y - season, weight, span, np.arange(n))
+            trend = _loess(y - season, weight, span, 0, n)
         rest = y - trend - season
         scale = 6 * np.median(np.abs(rest))
         if outer < robust and scale > 1e-12:
