@@ -38,6 +38,8 @@ OTHER = [
 FAMILIES = list(TEMPLATES)
 CLASSES = [*FAMILIES, "unknown", "none"]
 SAMPLE, SPAN, BITS = 400, 24, 15
+#: Lines of the sampled documents that the fit uses at most.
+LINES = 3000
 CONFIRM, LEAST = 0.6, 0.5
 
 
@@ -55,7 +57,7 @@ class Model:
 def fit(negatives: list[str], seed: int = 5, rounds: int = 120) -> Model:
     rng = np.random.default_rng(seed)
     memory = Words()
-    ordinary = [x for t in negatives for x in t.split()] or ["the", "of", "and"]
+    ordinary = np.array([x for t in negatives for x in t.split()] or ["the", "of", "and"], dtype=object)
 
     def varied(t: str) -> str:
         words = [w for w in t.split() if rng.random() > 0.06]
@@ -65,7 +67,7 @@ def fit(negatives: list[str], seed: int = 5, rounds: int = 120) -> Model:
     rows += [(varied(t.replace("NAME", str(rng.choice(ordinary)))), len(FAMILIES)) for t in OTHER for _ in range(40)]
     templates = [t for x in TEMPLATES.values() for t in x]
     pairs = [set(grams(memory.of(t), 2).tolist()) for t in templates]
-    for t in negatives:
+    for t in rng.permutation(np.array(negatives, dtype=object))[:LINES]:
         g = set(grams(memory.of(t), 2).tolist())
         if not any(len(g & p) > 0.4 * len(p) for p in pairs):
             rows.append((t, len(CLASSES) - 1))
@@ -76,30 +78,29 @@ def fit(negatives: list[str], seed: int = 5, rounds: int = 120) -> Model:
     held, used = turn[: len(turn) // 3], turn[len(turn) // 3 :]
 
     def flat(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = np.array([len(x[k]) for k in which])
+        n = np.array([len(x[k]) for k in which], dtype=np.int64)
         return np.concatenate([x[k] for k in which]), np.repeat(np.arange(len(which)), n), np.repeat(1 / np.sqrt(n), n)
 
-    def logits(f: np.ndarray, row: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-        z = np.zeros((n, len(CLASSES)))
-        np.add.at(z, row, weights[f] * v[:, None])
-        return z + bias
+    def logits(w: np.ndarray, f: np.ndarray, row: np.ndarray, v: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        return np.add.reduceat(w[f] * v[:, None], starts, axis=0) + bias
 
-    weights, bias = np.zeros((1 << BITS, len(CLASSES))), np.zeros(len(CLASSES))
     f, row, v = flat(used)
+    known, f = np.unique(f, return_inverse=True)  # the features that the examples have
+    own, bias = np.zeros((len(known), len(CLASSES))), np.zeros(len(CLASSES))
     truth = np.eye(len(CLASSES))[y[used]]
     balance = (1 / np.maximum(truth.sum(axis=0), 1))[y[used]]
     balance *= len(used) / balance.sum()
-    squares = np.full(weights.shape[0], 1e-6)
+    squares = np.full(len(known), 1e-6)
     for _ in range(rounds):
-        p = _softmax(logits(f, row, v, len(used)))
-        d = (p - truth) * balance[:, None] / len(used)
-        g = np.zeros_like(weights)
-        np.add.at(g, f, d[row] * v[:, None])
-        g += 1e-5 * weights
+        d = (_softmax(logits(own, f, row, v)) - truth) * balance[:, None] / len(used)
+        g = np.column_stack([np.bincount(f, d[row, k] * v, len(known)) for k in range(len(CLASSES))]) + 1e-5 * own
         squares += (g * g).sum(axis=1)
-        weights -= 0.5 * g / np.sqrt(squares)[:, None]
+        own -= 0.5 * g / np.sqrt(squares)[:, None]
         bias -= 2.0 * d.sum(axis=0)
-    z = logits(*flat(held), len(held)) if len(held) else np.zeros((0, len(CLASSES)))
+    weights = np.zeros((1 << BITS, len(CLASSES)))
+    weights[known] = own
+    z = logits(weights, *flat(held)) if len(held) else np.zeros((0, len(CLASSES)))
     best = min(np.geomspace(0.2, 5, 40), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).sum())
     return Model(weights.astype(np.float32), bias, float(best))
 
