@@ -76,23 +76,24 @@ def _ask(order: int, parts: int):
             for p in range(parts):
                 t = turn[ends[p] : ends[p + 1]]
                 if len(t):
-                    out.append((p, key, packed[t].tobytes(), counts[t].tobytes()))
+                    out.append((p, key, packed[t].tobytes(), _pack(counts[t])))
             yield pd.DataFrame(out, columns=["part", "block", "grams", "counts"])
 
     return run
 
 
 def _answer(g: pd.DataFrame) -> pd.DataFrame:
-    sizes = [len(c) // 4 for c in g["counts"]]
+    given = [_unpack(c) for c in g["counts"]]
+    sizes = [len(c) for c in given]
     raw = np.frombuffer(b"".join(g["grams"]), dtype=np.uint8).reshape(-1, _BYTES)
     keys = np.zeros((len(raw), 8), dtype=np.uint8)
     keys[:, :_BYTES] = raw
-    counts = np.frombuffer(b"".join(g["counts"]), dtype="<u4")
+    counts = np.concatenate(given)
     _, at = np.unique(keys.view("<u8").ravel(), return_inverse=True)
     total = np.bincount(at, counts)[at]
     small = np.minimum(total, 2**32 - 1).astype("<u4")
     ends = np.cumsum(sizes)
-    return pd.DataFrame({"block": g["block"], "part": g["part"], "totals": [small[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)]})
+    return pd.DataFrame({"block": g["block"], "part": g["part"], "totals": [_pack(small[e - n : e]) for e, n in zip(ends, sizes, strict=True)]})
 
 
 def _blocks():
@@ -161,7 +162,7 @@ def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
             keys = np.concatenate([k for k, _, _ in ids])
             part = ((keys >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
             turn = np.argsort(part, kind="stable")
-            got = np.frombuffer(b"".join(answers["totals"]), dtype="<u4")
+            got = np.concatenate([np.array([], dtype="<u4"), *map(_unpack, answers["totals"])])
             if len(got) != len(keys):
                 raise RuntimeError("a block of documents has no counts: its input was not the same when read again")
             totals = np.zeros(len(keys), dtype=np.int64)
