@@ -1,11 +1,12 @@
 """Licence statements: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines; lines of more than ``SPAN`` words are read in half-overlapping windows. A multinomial
+Lines are read one by one, and paragraphs (lines up to the next without a word) across their line ends; what has
+more than ``SPAN`` words is read in half-overlapping windows. A multinomial
 logistic regression over hashed word 1- and 2-grams tells the families, ``unknown`` (licence language of no known
 family) and ``none`` apart. It is fitted on varied templates, made-up statements of no family, and paragraphs from
-at most ``SAMPLE`` documents; a temperature fitted on a held-out third calibrates the probabilities. A family
-counts only if its paragraph holds most word pairs of one of the family's templates; otherwise it is ``unknown``,
-which in turn needs word pairs of a licence statement.
+at most ``SAMPLE`` documents; a temperature and a shift of ``none``, fitted on a held-out third, calibrate the probabilities. The
+calibrated probability alone tells what is licence language. A family counts only if the stretch holds most word
+pairs of one of the family's templates; otherwise it is ``unknown``.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, text_of
-from .words import Words, grams
+from .words import WORD, Words, grams
 
 #: The statements by which works name these licences.
 TEMPLATES = {
@@ -33,13 +34,15 @@ TEMPLATES = {
 #: Made-up licence language; NAME stands for a random word.
 OTHER = [
     "Licensed under the NAME License, version 1.2", "Released under the NAME Public License", "All rights reserved by NAME, no part may be reproduced without permission",
-    "This file is subject to the NAME licence agreement", "Use of this work is permitted under the terms of the NAME license", "Copyright NAME, distribution is not permitted",
+    "All rights reserved", "This file is subject to the NAME licence agreement", "Use of this work is permitted under the terms of the NAME license", "Copyright NAME, distribution is not permitted",
 ]
 FAMILIES = list(TEMPLATES)
 CLASSES = [*FAMILIES, "unknown", "none"]
-SAMPLE, SPAN, BITS = 400, 24, 15
+SAMPLE, SPAN, BITS = 400, 24, 18
 #: Lines of the sampled documents that the fit uses at most.
 LINES = 3000
+#: Made-up ordinary lines.
+MADE = 1000
 CONFIRM, LEAST = 0.6, 0.5
 
 
@@ -49,6 +52,16 @@ def _features(w: np.ndarray) -> np.ndarray:
     return np.concatenate([grams(w, 1) & mask, (grams(w, 2) & mask) if len(w) > 1 else w[:0]]).astype(np.int64)
 
 
+def _once(w: np.ndarray) -> np.ndarray:
+    """Words without those said again at once, whose weights would add up."""
+    return w[np.r_[True, w[1:] != w[:-1]]] if len(w) else w
+
+
+def _fixed(t: str, memory: Words) -> np.ndarray:
+    """Word pairs of a template, without those that hold NAME."""
+    return np.unique(np.concatenate([grams(memory.of(x), 2) for x in t.split("NAME") if len(x.split()) > 1]))
+
+
 class Model:
     def __init__(self, weights: np.ndarray, bias: np.ndarray, temperature: float):
         self.weights, self.bias, self.temperature = weights, bias, temperature
@@ -65,13 +78,16 @@ def fit(negatives: list[str], seed: int = 5, rounds: int = 120) -> Model:
 
     rows = [(varied(t), k) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f] for _ in range(40)]
     rows += [(varied(t.replace("NAME", str(rng.choice(ordinary)))), len(FAMILIES)) for t in OTHER for _ in range(40)]
-    templates = [t for x in TEMPLATES.values() for t in x]
-    pairs = [set(grams(memory.of(t), 2).tolist()) for t in templates]
-    for t in rng.permutation(np.array(negatives, dtype=object))[:LINES]:
+    pairs = [set(_fixed(t, memory).tolist()) for t in [*(t for x in TEMPLATES.values() for t in x), *OTHER]]
+    apart = np.array([w for x in [*TEMPLATES.values(), OTHER] for t in x for w in WORD.findall(t) if w != "NAME"], dtype=object)
+    # words of licences out of order and alone, and other words alone
+    made = [" ".join(rng.permutation([*rng.choice(apart, rng.integers(1, 4)), *rng.choice(ordinary, rng.integers(0, 9))])) for _ in range(MADE)]
+    made += [str(w) for w in [*np.unique(apart), *rng.choice(ordinary, MADE // 4)]]
+    for t in [*rng.permutation(np.array(negatives, dtype=object))[:LINES], *made]:
         g = set(grams(memory.of(t), 2).tolist())
         if not any(len(g & p) > 0.4 * len(p) for p in pairs):
             rows.append((t, len(CLASSES) - 1))
-    x = [_features(memory.of(t)) for t, _ in rows]
+    x = [_features(_once(memory.of(t))) for t, _ in rows]
     rows, x = [r for r, f in zip(rows, x, strict=True) if len(f)], [f for f in x if len(f)]
     y = np.array([k for _, k in rows])
     turn = rng.permutation(len(rows))
@@ -101,7 +117,10 @@ def fit(negatives: list[str], seed: int = 5, rounds: int = 120) -> Model:
     weights = np.zeros((1 << BITS, len(CLASSES)))
     weights[known] = own
     z = logits(weights, *flat(held)) if len(held) else np.zeros((0, len(CLASSES)))
-    best = min(np.geomspace(0.2, 5, 40), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(held)), y[held]] + 1e-12).sum())
+    none = np.eye(len(CLASSES))[-1]  # classes count alike in the fit: the shift gives ordinary lines their due
+    scales = [(t, d) for t in np.geomspace(0.2, 5, 40) for d in np.linspace(0, 4, 17)]
+    best, shift = min(scales, key=lambda x: -np.log(_softmax((z + x[1] * none) / x[0])[np.arange(len(held)), y[held]] + 1e-12).sum())
+    bias += shift * none
     return Model(weights.astype(np.float32), bias, float(best))
 
 
@@ -117,77 +136,114 @@ def windows(n: int) -> list[tuple[int, int]]:
     return [(a, min(a + SPAN, n)) for a in range(0, n - SPAN // 2, SPAN // 2)]
 
 
+def _read(lines: list[str]) -> list[str]:
+    """The lines, and the windows of their paragraphs, as they are scanned."""
+    out, paragraph = list(lines), []
+    for x in [*lines, ""]:
+        words = WORD.findall(x)
+        if not words and len(paragraph) > 1:
+            flat = [w for p in paragraph for w in p]
+            out += [" ".join(flat[a:z]) for a, z in windows(len(flat))]
+        paragraph = [*paragraph, words] if words else []
+    return out
+
+
+def _stretches(first: np.ndarray, sizes: np.ndarray, line: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of what is read, by start: each line, and each window of a paragraph that crosses a line end.
+
+    ``first`` and ``sizes`` are of lines, ``line`` of words; ``follows`` tells lines that go on with a paragraph.
+    """
+    head = np.flatnonzero(~follows)
+    total = np.add.reduceat(sizes, head)
+    out = [(first[sizes <= SPAN], (first + sizes)[sizes <= SPAN])]
+    more = [(first[k] + a, first[k] + z) for k in np.flatnonzero(sizes > SPAN) for a, z in windows(int(sizes[k]))]
+    more += [(first[h] + a, first[h] + z) for h, n in zip(head, total, strict=True) if n > sizes[h] for a, z in windows(int(n)) if line[first[h] + a] != line[first[h] + z - 1]]
+    if more:
+        out.append(tuple(np.array(more).T))
+    start, end = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(start, kind="stable")
+    return start[order], end[order]
+
+
 def _scan(model: Model):
     memory = Words()
-    pairs = [(k, np.unique(grams(memory.of(t), 2))) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
-    pairs += [(len(FAMILIES), np.unique(np.concatenate([grams(memory.of(x), 2) for x in t.split("NAME") if len(x.split()) > 1]))) for t in OTHER]
+    pairs = [(k, _fixed(t, memory)) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
+    #: Of each template, the pairs that no template of another family has: they tell CC BY from CC BY-NC.
+    own = [np.setdiff1d(t, np.concatenate([x for j, x in pairs if j != k])) for k, t in pairs]
+
+    def confirmed(g: np.ndarray, first: int) -> dict[int, np.ndarray]:
+        """Families with most pairs of a template among ``g``, with that template; all but ``first`` need most of its own pairs too."""
+        out, most = {}, {}
+        for (k, t), o in zip(pairs, own, strict=True):
+            share = np.isin(t, g).mean()
+            if share >= CONFIRM and share > most.get(k, 0) and (k == first or (len(o) and np.isin(o, g).mean() >= CONFIRM)):
+                out[k], most[k] = t, share
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         mask = np.uint64((1 << BITS) - 1)
         for b in batches:
-            lines, of, number = [], [], []
+            lines, of, number, follows = [], [], [], []
             for k, t in enumerate(b["text"]):
+                last = None
                 for n, line in enumerate(t.split("\n")):
-                    w = words.of(line)
+                    w = _once(words.of(line))
                     if len(w):
                         lines.append(w)
                         of.append(k)
                         number.append(n)
-            best = [("none", 0.0, 0, None)] * len(b)
+                        follows.append(last == n - 1)
+                        last = n
+            best = [("none", 0.0, None, ())] * len(b)
+            families, n_found, until = [set() for _ in range(len(b))], [0] * len(b), [-1] * len(b)
             if lines:
                 sizes = np.array([len(w) for w in lines])
                 first = np.cumsum(sizes) - sizes
                 w = np.concatenate(lines)
+                line = np.repeat(np.arange(len(lines)), sizes)
                 one = model.weights[(grams(w, 1) & mask).astype(np.int64)]
                 two = np.vstack([model.weights[(grams(w, 2) & mask).astype(np.int64)] if len(w) > 1 else one[:0], np.zeros((1, one.shape[1]), np.float32)])
                 sums1 = np.vstack([np.zeros((1, one.shape[1])), np.cumsum(one, axis=0, dtype=np.float64)])
                 sums2 = np.vstack([np.zeros((1, one.shape[1])), np.cumsum(two, axis=0, dtype=np.float64)])
-                long = np.flatnonzero(sizes > SPAN)
-                start, end, line = first[sizes <= SPAN], (first + sizes)[sizes <= SPAN], np.flatnonzero(sizes <= SPAN)
-                more = [(first[k] + a, first[k] + z, k) for k in long for a, z in windows(int(sizes[k]))]
-                if more:
-                    extra = np.array(more)
-                    start, end, line = np.r_[start, extra[:, 0]], np.r_[end, extra[:, 1]], np.r_[line, extra[:, 2]]
+                start, end = _stretches(first, sizes, line, np.array(follows))
                 n_features = 2 * (end - start) - 1
                 z = (sums1[end] - sums1[start] + sums2[end - 1] - sums2[start]) / np.sqrt(n_features)[:, None] + model.bias
                 p = _softmax(z / model.temperature)
                 top = p[:, :-1].argmax(axis=1)
                 for s in np.flatnonzero(1 - p[:, -1] >= LEAST):  # licence language of any kind
-                    g = np.unique(grams(w[start[s] : end[s]], 2))
-                    share = {}
-                    for k, t in pairs:
-                        share[k] = max(share.get(k, 0.0), len(np.intersect1d(g, t, assume_unique=True)) / len(t))
-                    name = CLASSES[top[s]]
-                    if name != "unknown" and share[top[s]] < CONFIRM:
-                        name = "unknown"
-                    if name == "unknown" and share[len(FAMILIES)] < CONFIRM and max(share.values()) < CONFIRM / 2:
-                        continue
-                    doc = of[line[s]]
-                    old = best[doc]
-                    rank = (name != "unknown", float(p[s, top[s]] if name != "unknown" else 1 - p[s, -1]))
-                    if old[0] == "none" or rank > (old[0] != "unknown", old[1]):
-                        best[doc] = (name, rank[1], old[2] + 1, number[line[s]])
-                    else:
-                        best[doc] = (*old[:2], old[2] + 1, old[3])
+                    doc = of[line[start[s]]]
+                    if start[s] >= until[doc]:
+                        n_found[doc] += 1
+                    until[doc] = max(until[doc], end[s])
+                    single = line[start[s]] == line[end[s] - 1]
+                    g = grams(w[start[s] : end[s]], 2)
+                    names = confirmed(g, int(top[s]))
+                    for k, t in names.items():
+                        families[doc].add(FAMILIES[k])
+                        at = start[s] + np.flatnonzero(np.isin(g, t))
+                        best[doc] = max(best[doc], (FAMILIES[k], float(p[s, k]), number[np.bincount(line[at]).argmax()], (True, single, float(p[s, k]))), key=lambda x: x[3])
+                    if not names:
+                        best[doc] = max(best[doc], ("unknown", float(1 - p[s, -1]), number[line[start[s]]], (False, single, float(1 - p[s, -1]))), key=lambda x: x[3])
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].astype("Int64"), "family": [x[0] for x in best], "probability": [x[1] for x in best],
-                "n_found": [x[2] for x in best], "line_no": pd.array([x[3] for x in best], dtype="Int64"),
+                "n_found": n_found, "line_no": pd.array([x[2] for x in best], dtype="Int64"), "families": [sorted(x) for x in families],
             })
 
     return run
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """One row per input row: doc_id, family (``none``, ``unknown`` or a family: the most probable, confirmed ones first),
-    its probability, n_found (windows with licence language) and line_no (0-based line of the family).
+    """One row per input row: doc_id, family (``none``, ``unknown`` or a family: the most probable, confirmed ones first,
+    then those within a line), its probability, n_found (separate stretches of licence language), line_no (0-based
+    line of the family) and families (all confirmed ones, sorted).
 
     Null text counts as empty and gives ``none``; repeated rows give repeated rows; a null id is kept; an empty
     table gives an empty result; further columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     chosen = texts.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    lines = [r[0] for r in chosen.select(F.explode(F.slice(F.split("text", "\n"), 1, 20)).alias("line")).select(F.substring("line", 1, 400)).collect()]
-    model = fit(lines)
+    heads = [r[0] for r in chosen.select(F.transform(F.slice(F.split("text", "\n"), 1, 20), lambda x: F.substring(x, 1, 400))).collect()]
+    model = fit([x for head in heads for x in _read(head)])
     with arrow_rows(docs.sparkSession, 500):
-        return cut(texts.mapInPandas(_scan(model), "doc_id long, family string, probability double, n_found long, line_no long"))
+        return cut(texts.mapInPandas(_scan(model), "doc_id long, family string, probability double, n_found long, line_no long, families array<string>"))

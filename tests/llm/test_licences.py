@@ -30,3 +30,27 @@ def test_families_unknown_and_edges(spark):
 def test_windows_cover_every_word():
     for n in (0, 1, 64, 65, 96, 97, 500):
         assert set(range(n)) == {i for a, b in windows(n) for i in range(a, b)}
+
+
+def test_bare_wrapped_and_several(spark):
+    header = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public\nLicense as published by the Free Software Foundation."
+    rows = [
+        (1, "some text here\nAll rights reserved.\nmore text"), (2, f"intro words\n\n{header}\n\nfurther words"), (3, header.replace("\n", "\n\n")),
+        (4, "Released under the MIT License.\nplain line\nLicensed under the Apache License, Version 2.0."), (5, "Licensed under CC BY-NC 4.0."), (6, "plain words only"),
+        (7, "Licensed under the MIT License or licensed under the BSD License"),
+    ]
+    ordinary = [(100 + k, f"the river number {k} runs past the old mill\nand people of the town walk there in the evening") for k in range(200)]
+    got = {r.doc_id: r for r in scan_licences(spark.createDataFrame(rows + ordinary, "doc_id long, text string")).collect()}
+    assert got[1].family == "unknown" and got[1].line_no == 1 and got[1].families == []
+    assert got[2].family == "gpl" and got[2].families == ["gpl"] and got[3].families == [] and got[2].line_no in (2, 3)
+    assert got[4].families == ["apache", "mit"] and got[4].n_found >= 1 and got[5].families == ["cc-by-nc"] and got[7].families == ["bsd", "mit"]
+    assert got[6].family == "none" and all(got[k].family == "none" for k, _ in ordinary)
+
+
+def test_bare_statements_of_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: r for r in scan_licences(docs).collect()}
+    bare = {k for k, t in texts.items() if "All rights reserved." in t.split("\n")}
+    wrong = {k for k, r in got.items() if r.family != "none" and k not in bare and not re.search(r"(?i)licen[cs]e", texts[k])}
+    assert len(bare) == 66 and sum(got[k].family != "none" for k in bare) >= 65 and len(wrong) <= 0.001 * len(texts)
