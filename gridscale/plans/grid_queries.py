@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import grid as op
-from ..sources.bind import FACTOR, LAT0, LON0, STEP, observed, read, second, signal, sql, static
+from ..sources.bind import FACTOR, LAT0, LON0, SIDE, STEP, observed, read, second, signal, sql, static
 from .book import Book
 
 book = Book()
@@ -171,6 +171,21 @@ def scale_alignment(spark, sf):
     return exact.withColumn("k", 3 * F.round((F.col("i") - 0.1) / 3.0).cast("int")).join(nearest, "k", "left").select("i", "j", F.coalesce("f", "near", F.lit(1.0)).alias("scale_factor"))
 
 
+_SCALE = "known AS (SELECT CAST(s_suppkey % 20 AS INT) AS i, CAST((s_suppkey // 20) % 20 AS INT) AS j, CAST(1 + avg(s_nationkey)/100.0 AS DOUBLE) AS f FROM supplier GROUP BY 1, 2)"
+
+
+@book.add("join02_supplier_alignment", sql("SELECT i, j, round(coalesce(f, near, 1.0) + 1e-7, 6) AS scale_factor FROM cells LEFT JOIN known USING (i, j) LEFT JOIN (SELECT c.i, c.j, first(k.f ORDER BY (c.i-k.i)*(c.i-k.i)+(c.j-k.j)*(c.j-k.j), k.i, k.j) AS near FROM cells c CROSS JOIN known k GROUP BY c.i, c.j) USING (i, j)", _SCALE))
+def supplier_alignment(spark, sf):
+    """Scale factors of the cells that have suppliers; cells that have none take the nearest cell's, else 1."""
+    place = [(F.col("s_suppkey") % SIDE).cast("int").alias("i"), (F.floor(F.col("s_suppkey") / SIDE) % SIDE).cast("int").alias("j")]
+    known = read(spark, sf, "supplier").groupBy(*place).agg((1 + F.avg("s_nationkey") / 100.0).alias("f"))
+    exact = observed(spark, sf).select("i", "j").distinct().join(known, ["i", "j"], "left")
+    k = known.select(F.col("i").alias("ki"), F.col("j").alias("kj"), F.col("f").alias("kf"))
+    apart = F.pow(F.col("i") - F.col("ki"), 2) + F.pow(F.col("j") - F.col("kj"), 2)
+    nearest = exact.where("f is null").select("i", "j").crossJoin(F.broadcast(k)).groupBy("i", "j").agg(F.min_by("kf", F.struct(apart, "ki", "kj")).alias("near"))  # SIDE x SIDE cells at most
+    return exact.join(nearest, ["i", "j"], "left").select("i", "j", near(F.coalesce("f", "near", F.lit(1.0)), 6).alias("scale_factor"))
+
+
 @book.add("join03_residual", sql("SELECT t, i, j, round(value-other + 1e-7, 6) AS residual FROM fine JOIN second USING (t, i, j)"))
 def residual(spark, sf):
     return observed(spark, sf).join(second(spark, sf), ["t", "i", "j"]).select("t", "i", "j", near(F.col("value") - F.col("other"), 6).alias("residual"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import series as op
-from ..sources.bind import observed, signal, sql
+from ..sources.bind import observed, second, signal, sql
 from .book import Book
 from .grid_queries import near, r6
 
@@ -65,6 +65,25 @@ def extension(spark, sf):
     return op.linear_fill(signal(spark, sf).select("t", "i", "j", "value"), "value", "filled").where("t % 7 = 0").select("t", "i", "j", r6("filled", "value"))
 
 
+#: Both series (s = 1, 2) on all cells and on the union of their months, filled as in ``_LINE``.
+_UNION = """axis AS (SELECT t FROM fine UNION SELECT t FROM second),
+grid AS (SELECT t, i, j FROM (SELECT i, j FROM fine UNION SELECT i, j FROM second) CROSS JOIN axis),
+ser AS (SELECT 1 AS s, g.t, g.i, g.j, f.value FROM grid g LEFT JOIN fine f USING (t, i, j) UNION ALL SELECT 2, g.t, g.i, g.j, o.other FROM grid g LEFT JOIN second o USING (t, i, j)),
+""" + _LINE.replace("signal", "ser").replace("PARTITION BY i, j", "PARTITION BY s, i, j").replace("GROUP BY i, j", "GROUP BY s, i, j").replace("USING (i, j)", "USING (s, i, j)").replace("SELECT i, j", "SELECT s, i, j").replace("k.t, k.i, k.j", "k.s, k.t, k.i, k.j")
+
+
+@book.add("win06_union_extension", sql("SELECT g.t, g.i, g.j, round(a.filled + 1e-7, 6) AS value, round(b.filled + 1e-7, 6) AS other FROM grid g LEFT JOIN (SELECT * FROM line WHERE s = 1) a USING (t, i, j) LEFT JOIN (SELECT * FROM line WHERE s = 2) b USING (t, i, j)", _UNION))
+def union_extension(spark, sf):
+    """Both products on the union of their month axes, every month, filled and carried on past their ends."""
+    x, y = observed(spark, sf).select("t", "i", "j", "value"), second(spark, sf)
+    months = x.select("t").union(y.select("t")).distinct()
+    cells = x.select("i", "j").union(y.select("i", "j")).distinct()
+    grid = cells.crossJoin(F.broadcast(months))  # the month axis: some hundreds of rows
+    both = grid.join(x, ["t", "i", "j"], "left").join(y, ["t", "i", "j"], "left")
+    filled = op.linear_fill(op.linear_fill(both, "value", "a"), "other", "b")
+    return filled.select("t", "i", "j", r6("a", "value"), r6("b", "other"))
+
+
 @book.add("win07_gap_runs", sql("SELECT i, j, min(t) AS first, max(t) AS last, count(*) AS length FROM (SELECT i, j, t, t - row_number() OVER (PARTITION BY i, j ORDER BY t) AS g FROM signal WHERE value IS NULL) GROUP BY i, j, g"))
 def gap_runs(spark, sf):
     return op.gap_runs(signal(spark, sf), "value").select("i", "j", "first", "last", "length")
