@@ -20,10 +20,21 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){13,}+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
-#: Lower-case words that raise the score of a span when one stands in the 40 characters before it.
+#: Length of an IBAN by country, from the registry.
+IBAN = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_KNOWN = "|".join(" ".join(IBAN.values()).split())
+#: A span ends with its country's length, whatever capitals and digits follow; that of a country without one is as
+#: long as can be, up to the next IBAN of a known one.
+PATTERNS["iban"] = (
+    "(?<![A-Za-z0-9])(?:" + "".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}|" for n, c in IBAN.items())
+    + rf"(?!{_KNOWN})[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{_KNOWN})[0-9]{{2}}) ?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"
+)
+#: Lower-case words that raise the score of a span when one stands in the 40 characters before or after it.
 CONTEXT = {
     "email": ["mail", "contact", "write"],
     "ip": ["ip", "address", "host", "server"],
@@ -97,23 +108,39 @@ def found(kind: str, t: Column) -> Column:
     empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,score:double>>)")
     words = "|".join(CONTEXT[kind])
 
-    def step(acc: Column, part: Column) -> Column:
+    def plain(x: Column) -> Column:
+        return F.translate(x, "\x02", "")
+
+    def ahead(all_parts: Column) -> Column:
+        """Each part with the 40 characters after its span: eight more parts hold as many, as no span has less than five."""
+
+        def one(p: Column, i: Column) -> Column:
+            rest = F.transform(F.slice(all_parts, i + 2, 8), lambda q: F.left(plain(F.left(q, F.lit(41))), F.lit(40)))
+            after = F.concat(F.left(F.substring_index(p, "\x02", -1), F.lit(40)), F.array_join(rest, ""))
+            return F.struct(p.alias("part"), F.when(F.contains(p, F.lit("\x02")), F.left(after, F.lit(40))).otherwise("").alias("after"))
+
+        return F.transform(all_parts, one)
+
+    def step(acc: Column, x: Column) -> Column:
+        part = x["part"]
         hit = F.contains(part, F.lit("\x02"))
         m = F.substring_index(part, "\x02", 1)
         start = acc["pos"]
-        near = F.lower(acc["tail"]).rlike(rf"(?<![a-z])(?:{words})")
+        near = F.lower(F.concat_ws("\x02", acc["tail"], x["after"])).rlike(rf"(?<![a-z])(?:{words})")
         score = F.lit(PRIOR[kind] + (0.3 if kind in CHECKED else 0.0)) + F.when(near, 0.3).otherwise(0.0)
         score = F.least(score, F.lit(1.0))
         keep = hit & _holds(kind, m) & (F.lit(kind in BASE) | (score >= LEAST))
         span = F.struct(start.alias("start"), F.lit(k).alias("kind"), (start + F.length(m)).alias("end"), score.alias("score"))
         return F.struct(
             (start + F.length(part) - F.when(hit, 1).otherwise(0)).alias("pos"),
-            F.right(part, F.lit(40)).alias("tail"),
+            F.right(F.concat(acc["tail"], plain(F.right(part, F.lit(41)))), F.lit(40)).alias("tail"),
             F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
         )
 
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), empty.alias("spans"))
-    return F.when(_guard(kind, t), F.aggregate(parts, zero, step, lambda a: a["spans"])).otherwise(empty)
+    # bound to a name within an array, so that the parts are made once
+    spans = F.get(F.transform(F.array(parts), lambda p: F.aggregate(ahead(p), zero, step, lambda a: a["spans"])), F.lit(0))
+    return F.when(_guard(kind, t), spans).otherwise(empty)
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

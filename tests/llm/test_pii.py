@@ -62,3 +62,17 @@ def test_mask_and_empty(spark):
     assert got == {1: "é to <email> now", 2: None, 3: "", 4: "<email>"}
     assert pii_spans(docs.where("false")).count() == 0
     assert digest(pii_spans(docs.union(docs))).count() == 8
+
+
+def test_iban_before_capitals_and_context_on_both_sides(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    texts = [
+        f"{iban} BIC COBADEFF", f"pay {iban} 2024", f"{iban.replace(' ', '')} {iban} GB82 WEST 1234 5698 7654 32 X", f"AB12 {iban}", "DE89 3704 0044 0532 0130 01 BIC",
+        "123-45-6789 (social security)", "123-45-6789, 123-45-6788 and 123-45-6787 are ssn", "ssn: 123-45-6789, 123-45-6788", "123-45-6789" + " " * 41 + "ssn", "plain 123-45-6789 number",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in masked(docs).collect()}
+    assert got == {
+        0: "<iban> BIC COBADEFF", 1: "pay <iban> 2024", 2: "<iban> <iban> <iban> X", 3: "AB12 <iban>", 4: texts[4],
+        5: "<ssn> (social security)", 6: "<ssn>, <ssn> and <ssn> are ssn", 7: "ssn: <ssn>, <ssn>", 8: texts[8], 9: texts[9],
+    }
