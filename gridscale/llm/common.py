@@ -15,16 +15,28 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs``, dealt evenly if its files split into fewer tasks than there are cores, as one small file does.
+
+    Tables of any size worth a cluster split finely enough and stay as they are.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back, so that lineage ends here.
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one is made.
+    The folder comes from ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves in local mode,
+    whose executors are in the driver; on a cluster it is an error.
     """
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if not configured and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 

@@ -118,6 +118,21 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
     return best[capacity], taken
 
 
+def _inverse(a: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination by row operations. The driver shares its cores with Spark, where the threads of a
+    linear algebra library wait for each other; a basis of some hundred columns needs none."""
+    m = len(a)
+    both = np.hstack([a, np.eye(m)])
+    for k in range(m):
+        pivot = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        factor = both[:, k].copy()
+        factor[k] = 0
+        both -= factor[:, None] * both[k]
+    return both[:, m:]
+
+
 def patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
     """(times, items of each class) that cover ``demand`` exactly; sizes and capacity are in units."""
     m = len(size)
@@ -129,7 +144,7 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[
         value, taken = knapsack(np.maximum(price, 0), size, capacity)
         if value <= 1 + GAP:
             break
-        way = inverse @ taken
+        way = (inverse * taken).sum(axis=1)
         up = way > 1e-9
         ratio = np.where(up, x / np.where(up, way, 1), np.inf)
         out = int(np.argmin(ratio))
@@ -140,8 +155,8 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[
         inverse -= np.outer(way, row)
         inverse[out] = row
         if step % 400 == 399:
-            inverse = np.linalg.inv(columns)
-            x = np.maximum(inverse @ demand, 0)
+            inverse = _inverse(columns)
+            x = np.maximum((inverse * demand).sum(axis=1), 0)
     found, left = [], demand.astype(np.int64).copy()
     for k in np.argsort(-x):
         a = columns[:, k].astype(np.int64)
@@ -232,7 +247,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, width: int =
     n_keys = keys.count()
     chosen = texts.withColumn("doc_key", F.coalesce("doc_id", F.lit(-1))).join((F.broadcast if n_keys <= BROADCAST_KEYS else lambda x: x)(keys.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_key"), "h")), ["doc_key", "h"], "left_semi").dropDuplicates(["doc_key", "h"])
     again = chosen.drop("doc_id").join(by_doc.withColumn("doc_key", F.coalesce("doc_id", F.lit(-1))), ["doc_key", "h"]).select("doc_id", "text", "places")
-    refit = again.mapInPandas(_cut_pieces(tokenizer), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    with arrow_rows(spark):
+        refit = cut(again.mapInPandas(_cut_pieces(tokenizer), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"))
     full = numbered(pieces.where(F.col("length") == capacity).withColumn("_g", F.lit(0)), ["_g"], ["doc_id", "h", "start"], "n", buckets)
     full = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("n") + kept).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return whole_pieces.unionByName(full).unionByName(refit)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from .common import load
+from .common import load, spread
 from . import decontaminate
 from .decontaminate import contained
 from .jaccard import jaccard_join
@@ -19,23 +19,23 @@ from .vectors import near_vectors
 
 
 def op1_decontamination(spark, sf_dir):
-    return contained(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return contained(spread(load(spark, sf_dir, "documents")), load(spark, sf_dir, "benchmark"))
 
 
 def op2_repeats(spark, sf_dir):
-    return remove_repeats(load(spark, sf_dir, "documents"))
+    return remove_repeats(spread(load(spark, sf_dir, "documents")))
 
 
 def op3_licences(spark, sf_dir):
-    return scan_licences(load(spark, sf_dir, "documents"))
+    return scan_licences(spread(load(spark, sf_dir, "documents")))
 
 
 def op4_packing(spark, sf_dir):
-    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(spread(load(spark, sf_dir, "documents")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op5_quality(spark, sf_dir):
-    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return quality_scores(spread(load(spark, sf_dir, "documents")), load(spark, sf_dir, "labels"))
 
 
 def op6_lm(spark, sf_dir):
@@ -43,11 +43,11 @@ def op6_lm(spark, sf_dir):
 
 
 def op7_jaccard(spark, sf_dir):
-    return jaccard_join(load(spark, sf_dir, "documents"))
+    return jaccard_join(spread(load(spark, sf_dir, "documents")))
 
 
 def op8_pii(spark, sf_dir):
-    return digest(pii_spans(load(spark, sf_dir, "documents")))
+    return digest(pii_spans(spread(load(spark, sf_dir, "documents"))))
 
 
 def op9_sharding(spark, sf_dir):
