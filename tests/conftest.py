@@ -1,7 +1,3 @@
-import os
-
-os.environ.setdefault("OMP_NUM_THREADS", "1")  # before numpy
-
 import pytest
 from pyspark.sql import SparkSession
 
