@@ -64,6 +64,18 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, bucket
     )
 
 
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str) -> DataFrame:
+    """``rows`` joined with ``counted``, which has each ``key`` once with its number ``n`` of rows.
+
+    Keys of more than a thousandth of the rows, a thousand at most, are broadcast, so that no task gets all rows of
+    such a key; the others are shuffled. ``counted`` should be cut, for it is read three times.
+    """
+    limit = max((counted.agg(F.sum(n)).first()[0] or 0) // 1000, 100)
+    hubs = F.broadcast(counted.where(F.col(n) > limit))
+    light = rows.join(F.broadcast(counted.where(F.col(n) > limit).select(key)), key, "left_anti")
+    return light.join(counted.where(F.col(n) <= limit), key).unionByName(rows.join(hubs, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

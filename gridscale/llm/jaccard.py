@@ -1,10 +1,11 @@
 """Similarity join on word shingles: MinHash banding finds candidates, full shingle sets verify them.
 
 1. A pass over the texts gives each document a hash of its shingle set and its band hashes. Documents of one
-   set are a class, carried from here on by its smallest id and its size.
+   set are a class, carried from here on by a number, and its smallest id and its size.
 2. Band hashes are shuffled; buckets with more than one class link their classes to the smallest one, and the
-   connected components of these links are the groups to verify. Components of more than ``MOST`` classes are
-   verified bucket by bucket instead, a pair in the first band it shares only.
+   connected components of these links are the groups to verify. A pair is compared if it shares a band: in a
+   component all at once, or, in components of more than ``MOST`` classes, bucket by bucket, in the first band that
+   the pair shares. Both ways give the same links.
 3. The shingle sets of grouped classes are read once more. Groups are cut into blocks of ``BLOCK`` classes or ``BLOCK_GRAMS`` shingles and
    each pair of blocks is one unit of work, which returns link counts and a spanning forest, never pairs.
 """
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, partitions, text_of
+from .common import arrow_rows, cut, join_counted, partitions, text_of
 from .components import components
 from .words import Words, shingles
 
@@ -31,7 +32,7 @@ BLOCK_GRAMS, SLICE = 2_000_000, 1_000_000
 BROADCAST_IDS = 1_000_000
 
 
-def bands_and_rows(threshold: float, recall: float = 0.9995, most: int = 160) -> tuple[int, int]:
+def bands_and_rows(threshold: float, recall: float = 0.99999, most: int = 192) -> tuple[int, int]:
     """The most selective banding (largest rows) that finds pairs at ``threshold`` with ``recall`` in ``most`` hashes."""
     for rows in range(12, 0, -1):
         bands = int(np.ceil(np.log(1 - recall) / np.log1p(-(threshold**rows))))
@@ -47,7 +48,7 @@ def _sketch(n_words: int, bands: int, rows: int):
         words = Words()
         for b in batches:
             out = []
-            for doc, text in zip(b["doc_id"], b["text"], strict=True):
+            for doc, h, text in zip(b["doc_id"], b["h"], b["text"], strict=True):
                 s = shingles(words.of(text), n_words)
                 if len(s):
                     low = np.full(len(factors), np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -56,8 +57,8 @@ def _sketch(n_words: int, bands: int, rows: int):
                     keys = [xxhash.xxh3_64_intdigest(low[k * rows : (k + 1) * rows].tobytes(), seed=k) for k in range(bands)]
                 else:
                     keys = []
-                out.append((doc, xxhash.xxh3_128_digest(s.tobytes()), len(s), np.array(keys, dtype=np.uint64).astype(np.int64)))
-            yield pd.DataFrame(out, columns=["doc_id", "set_key", "n_grams", "bands"])
+                out.append((doc, h, xxhash.xxh3_128_digest(s.tobytes()), len(s), np.array(keys, dtype=np.uint64).astype(np.int64)))
+            yield pd.DataFrame(out, columns=["doc_id", "h", "set_key", "n_grams", "bands"])
 
     return run
 
@@ -66,7 +67,7 @@ def _sets(n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for b in batches:
-            yield pd.DataFrame({"class_id": b["class_id"], "grams": [shingles(words.of(t), n_words).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"node": b["node"], "grams": [shingles(words.of(t), n_words).tobytes() for t in b["text"]]})
 
     return run
 
@@ -125,12 +126,16 @@ def _links(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
     if first != last:
         block = g["block"].to_numpy()
         linked &= block[:, None] != block[None, :]
-    if band >= 0:  # counted in the first band that both share
-        keys = np.stack([np.asarray(x, dtype=np.int64) for x in g["bands"]])
-        for k in range(band):
-            linked &= keys[:, None, k] != keys[None, :, k]
+    keys = np.stack([np.asarray(x, dtype=np.int64) for x in g["bands"]])
+    if band < 0:  # a whole component: pairs that share any band
+        share = np.zeros_like(linked)
+        for k in range(keys.shape[1]):
+            share |= keys[:, None, k] == keys[None, :, k]
+        linked &= share
+    for k in range(band):  # a bucket: counted in the first band that both share
+        linked &= keys[:, None, k] != keys[None, :, k]
     links = linked @ g["copies"].to_numpy()
-    ids = g["class_id"].to_numpy()
+    ids = g["node"].to_numpy()
     root = np.arange(m)
     while True:  # labels fall to the smallest index among the linked
         low = np.minimum(root, np.where(linked, root[None, :], m).min(axis=1, initial=m))
@@ -139,7 +144,7 @@ def _links(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
             break
         root = low
     some = links > 0
-    return pd.DataFrame({"class_id": ids[some], "links": links[some].astype(np.int64), "root": ids[root[some]]})
+    return pd.DataFrame({"node": ids[some], "links": links[some].astype(np.int64), "root": ids[root[some]]})
 
 
 def _verify(threshold: float):
@@ -164,51 +169,57 @@ def _verify(threshold: float):
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, class_id (smallest id with the same shingle set), n_links (other documents
-    at Jaccard ``threshold`` or more, copies included) and group_id (smallest id reachable by links).
+    at Jaccard ``threshold`` or more, copies included), group_id (smallest id reachable by links), text_hash
+    (64 bits of the text, which tells different texts of one id apart) and kept (true for one (doc_id, text_hash) of
+    each group: that of the smallest id, of the smallest hash on ties).
 
     Null text counts as empty; texts without words are copies of each other. Texts of fewer than ``n_words``
-    words are one shingle. Repeated rows count as copies. Rows with a null id form classes of their own with
-    null class_id and no links. An empty table gives an empty result; further columns are ignored.
+    words are one shingle. Repeated rows count as copies; different texts of one id are documents of their own.
+    Rows with a null id are kept, with null class_id and no links. An empty table gives an empty result; further
+    columns are ignored. A pair at the threshold is missed with a probability of some 0.00001, one above it less.
     """
     spark = docs.sparkSession
     bands, rows = bands_and_rows(threshold)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    t = text_of(text_col)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("h"), t.alias("text"))
     known = texts.where("doc_id is not null")
     with arrow_rows(spark):
-        sketch = cut(known.mapInPandas(_sketch(n_words, bands, rows), "doc_id long, set_key binary, n_grams long, bands array<long>"))
-    classes = cut(sketch.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
-    reps = sketch.join(classes, (sketch.set_key == classes.set_key) & (sketch.doc_id == classes.class_id)).select("class_id", "copies", "n_grams", "bands").dropDuplicates(["class_id"])
-    spread = reps.select("class_id", "n_grams", F.posexplode("bands").alias("band", "key"))
-    buckets = spread.groupBy("key").agg(F.min("class_id").alias("root"), F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams_all")).where("n > 1")
-    stars = cut(spread.join(buckets, "key").select("class_id", "n_grams", "band", "key", "root"))
-    comp = cut(components(stars.select(F.col("class_id").alias("a"), F.col("root").alias("b"))))
-    weighed = comp.join(stars.select(F.col("class_id").alias("node"), "n_grams").distinct(), "node")
-    size = weighed.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams_all"))
-    sized = comp.join(size, "component").select(F.col("node").alias("class_id"), "component", "m", "grams_all")
-    small = sized.where(F.col("m") <= MOST).select(F.col("component").alias("gid"), F.lit(-1).alias("band"), "class_id", "m", "grams_all")
-    wide = stars.join(sized.where(F.col("m") > MOST).select("class_id"), "class_id")
-    wide = wide.join(buckets.select("key", F.col("n").alias("m"), "grams_all"), "key").select(F.col("key").alias("gid"), "band", "class_id", "m", "grams_all")
+        sketch = cut(known.mapInPandas(_sketch(n_words, bands, rows), "doc_id long, h long, set_key binary, n_grams long, bands array<long>"))
+    classes = sketch.groupBy("set_key").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    # numbers are fixed once the table is written
+    classes = cut(classes.select("set_key", F.monotonically_increasing_id().alias("node"), F.col("first.doc_id").alias("class_id"), F.col("first.h").alias("h"), "copies", "n_grams", "bands"))
+    spread = classes.select("node", "n_grams", F.posexplode("bands").alias("band", "key"))
+    buckets = cut(spread.groupBy("key").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams_all")).where("n > 1"))
+    stars = cut(join_counted(spread, buckets.select("key", "root", "n"), "key", "n").select("node", "n_grams", "band", "key", "root"))
+    comp = cut(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    size = comp.join(classes.select("node", "n_grams"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams_all"))
+    sized = cut(join_counted(comp, cut(size), "component", "m"))
+    small = sized.where(F.col("m") <= MOST).select(F.col("component").alias("gid"), F.lit(-1).alias("band"), "node", "m", "grams_all")
+    wide = stars.join(sized.where(F.col("m") > MOST).select("node"), "node").select("key", "band", "node")
+    wide = join_counted(wide, buckets.select("key", F.col("n").alias("m"), "grams_all"), "key", "m").select(F.col("key").alias("gid"), "band", "node", "m", "grams_all")
     members = small.unionByName(wide)
 
-    ids = sized.select(F.col("class_id").alias("doc_id"))
-    chosen = known.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets = chosen.withColumnRenamed("doc_id", "class_id").select("class_id", "text").mapInPandas(_sets(n_words), "class_id long, grams binary").dropDuplicates(["class_id"])
-    lean = reps.select("class_id", "copies", "bands").join(wide.select("class_id").distinct().withColumn("_wide", F.lit(True)), "class_id", "left")
-    lean = lean.select("class_id", "copies", F.when(F.col("_wide"), F.col("bands")).alias("bands"))
-    full = members.join(sets, "class_id").join(lean, "class_id")
+    chosen = sized.select("node").join(classes.select("node", "class_id", "h"), "node").select(F.col("class_id").alias("doc_id"), "h", "node")
+    picked = known.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, ["doc_id", "h"])
+    sets = picked.select("node", "text").mapInPandas(_sets(n_words), "node long, grams binary").dropDuplicates(["node"])
+    full = members.join(sets, "node").join(classes.select("node", "copies", "bands"), "node")
     n_blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("grams_all") / BLOCK_GRAMS)).cast("int")
-    blocks = full.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("class_id"), F.col("nb")).cast("int"))
+    blocks = full.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     units = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        "gid", "band", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "class_id", "copies", "bands", "grams"
+        "gid", "band", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "node", "copies", "bands", "grams"
     )
     dealt = units.repartition(4 * partitions(spark), "gid", "band", "b1", "b2").sortWithinPartitions("gid", "band", "b1", "b2")
     with arrow_rows(spark, 200):
-        links = cut(dealt.mapInPandas(_verify(threshold), "class_id long, links long, root long"))
-    n_links = links.groupBy("class_id").agg(F.sum("links").alias("links"))
-    groups = components(links.select(F.col("class_id").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("class_id"), F.col("component").alias("group_id"))
-    told = classes.join(n_links, "class_id", "left").join(groups, "class_id", "left")
-    result = sketch.select("doc_id", "set_key").join(told, "set_key").select(
-        "doc_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id")
+        links = cut(dealt.mapInPandas(_verify(threshold), "node long, links long, root long"))
+    n_links = links.groupBy("node").agg(F.sum("links").alias("links"))
+    groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    told = classes.select("set_key", "node", "class_id", "h", "copies").join(n_links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lowest = cut(told.groupBy("component").agg(F.min(F.struct("class_id", "h")).alias("low"), F.count(F.lit(1)).alias("n")))
+    told = cut(join_counted(told, lowest, "component", "n").select("set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "low", "copies"))
+    result = join_counted(sketch.select("doc_id", "h", "set_key"), told, "set_key", "copies").select(
+        "doc_id", "class_id", "n_links", F.col("low.class_id").alias("group_id"), F.col("h").alias("text_hash"), (F.struct(F.col("doc_id").alias("class_id"), "h") == F.col("low")).alias("kept")
+    )
+    unknown = texts.where("doc_id is null").select(
+        "doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("group_id"), F.col("h").alias("text_hash"), F.lit(True).alias("kept")
     )
-    unknown = texts.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("group_id"))
     return result.unionByName(unknown)

@@ -5,7 +5,8 @@ emission weights and transitions gives each line its marginal probability by for
 marginals, weighted by line length, make the document's mean, which a logistic fit on the training documents
 turns into a score. Only the text is an input.
 
-The fit uses at most ``SAMPLE`` labelled documents, chosen by a hash of their id; scoring runs in map tasks.
+The fit uses at most ``SAMPLE`` labelled documents of ``SAMPLE_BYTES`` together, chosen by a hash of their id;
+scoring runs in map tasks.
 """
 
 from __future__ import annotations
@@ -17,15 +18,19 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import arrow_rows, cut, text_of
 
 #: Labelled documents that the fit uses at most.
 SAMPLE = 4000
-#: Documents of more lines than this are scored, but the fit does not use them.
-FIT_LINES = 1000
+#: Bytes that these have together at most; in the order of the hash, what comes after goes.
+SAMPLE_BYTES = 32_000_000
+#: In the fit, longer documents are several chains of so many lines, all of which count.
+CHAIN = 256
 LEAST = 0.3
 SLICE = 1_000_000
 
@@ -98,8 +103,9 @@ def _lattice(n_lines: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield live, first[live] + t
 
 
-def forward_backward(emission: np.ndarray, transition: np.ndarray, n_lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginal probability of state 1 of each line, expected transitions (summed, 2 x 2) and log partition of each text.
+def forward_backward(emission: np.ndarray, transition: np.ndarray, n_lines: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marginal probability of state 1 of each line, expected transitions (2 x 2, summed over texts by ``weight``) and
+    log partition of each text.
 
     ``emission`` is the score of state 1 against state 0; ``transition`` holds log potentials.
     """
@@ -129,9 +135,10 @@ def forward_backward(emission: np.ndarray, transition: np.ndarray, n_lines: np.n
     inner[np.r_[0, np.cumsum(n_lines)[:-1]]] = False
     i = np.flatnonzero(inner)
     pair = np.zeros((2, 2))
+    w = np.ones(len(i)) if weight is None else np.repeat(weight, n_lines)[i]
     for x in range(2):
         for y in range(2):
-            pair[x, y] = np.exp(a[i - 1, x] + transition[x, y] + e[i, y] + b[i, y] - doc_z[i]).sum()
+            pair[x, y] = (np.exp(a[i - 1, x] + transition[x, y] + e[i, y] + b[i, y] - doc_z[i]) * w).sum()
     return good, pair, log_z
 
 
@@ -150,23 +157,40 @@ def _means(good: np.ndarray, length: np.ndarray, n_lines: np.ndarray) -> np.ndar
     return np.bincount(doc, good * weight, len(n_lines)) / np.bincount(doc, weight, len(n_lines))
 
 
+def chains(n_lines: np.ndarray, longest: int = CHAIN) -> np.ndarray:
+    """Lengths of the chains that documents of ``n_lines`` lines are cut into."""
+    return np.concatenate([np.r_[np.full(n // longest, longest), [n % longest] if n % longest else []].astype(np.int64) for n in n_lines])
+
+
+def objective(p: np.ndarray, x: np.ndarray, y: np.ndarray, n_lines: np.ndarray, weight: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """Loss and its gradient: minus the weighted log likelihood of chains whose lines all have the chain's label ``y``,
+    plus half the penalty times the squares. The last four of ``p`` are the transitions."""
+    transition = p[-4:].reshape(2, 2)
+    emission = x @ p[:-4]
+    good, pair, log_z = forward_backward(emission, transition, n_lines, weight)
+    chain = np.repeat(np.arange(len(n_lines)), n_lines)
+    steps = n_lines - 1
+    own = y * (np.bincount(chain, emission, len(n_lines)) + steps * transition[1, 1]) + (1 - y) * steps * transition[0, 0]
+    held = np.diag([(weight * steps * (1 - y)).sum(), (weight * steps * y).sum()])
+    loss = -(weight * (own - log_z)).sum() + penalty / 2 * (p * p).sum()
+    g = np.concatenate([x.T @ ((good - y[chain]) * weight[chain]), (pair - held).ravel()]) + penalty * p
+    return float(loss), g
+
+
 def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0.08, penalty: float = 1e-3) -> Model:
     """Maximum conditional likelihood when every line takes its document's label, by Adam over all documents."""
     if len(texts) == 0:
         return Model(np.zeros(3 * N_OWN + 3), np.zeros((2, 2)), 1.0, 0.0)
     own, length, n_lines = line_features(texts)
     x = chain_features(own, n_lines)
-    y = np.repeat(labels, n_lines).astype(float)
-    doc_weight = 1.0 / n_lines  # long documents count as much as short ones
-    inner = np.ones(len(y), dtype=bool)
-    inner[np.r_[0, np.cumsum(n_lines)[:-1]]] = False
+    parts = chains(n_lines)
+    n_parts = -(-n_lines // CHAIN)
+    y = np.repeat(labels, n_parts).astype(float)
+    weight = np.repeat(1.0 / n_lines, n_parts) / len(texts)  # long documents count as much as short ones
     p = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(p), np.zeros_like(p)
-    held = np.array([[((y[inner] == b) & (y[inner] == a)).sum() if a == b else 0 for b in range(2)] for a in range(2)], dtype=float)
-    w = np.repeat(doc_weight, n_lines)
     for k in range(1, rounds + 1):
-        good, pair, _ = forward_backward(x @ p[:-4], p[-4:].reshape(2, 2), n_lines)
-        g = np.concatenate([x.T @ ((good - y) * w) / len(texts), ((pair - held) / max(len(y), 1)).ravel()]) + penalty * p
+        _, g = objective(p, x, y, parts, weight, penalty)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p -= rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     model = Model(p[:-4], p[-4:].reshape(2, 2), 1.0, 0.0)
@@ -211,38 +235,59 @@ def _is_held_out(doc_id):
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model from at most ``sample`` labelled documents outside the held-out fold, chosen by a hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from at most ``sample`` labelled documents outside the held-out fold, chosen by a hash of their id, of
+    at most ``sample_bytes`` bytes together."""
     ids = labels.where(F.col("quality").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     ids = ids.where(~_is_held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    texts = texts.where(F.regexp_count("text", F.lit("\n")) < FIT_LINES)
-    got = texts.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).toPandas()
+    sizes = texts.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h")).join(F.broadcast(ids), "doc_id")
+    turn = sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)  # at most ``sample`` small rows
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = [(r["doc_id"], r["h"], r["quality"]) for r in turn.withColumn("_s", so_far).where(F.col("_s") <= sample_bytes).collect()]
+    spark = docs.sparkSession
+    keys = spark.createDataFrame(chosen, "doc_id long, h long, quality int").dropDuplicates(["doc_id", "h"])
+    got = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).orderBy(F.xxhash64("doc_id"), "doc_id", "h").toPandas()
     return fit(got["text"].tolist(), got["quality"].to_numpy())
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, keep: bool = False) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted; with ``keep`` the columns of ``docs``, then score and predicted.
+def _texts(b: pd.Series) -> list[str]:
+    return ["" if t is None else str(t) for t in b]
+
 
-    Null text counts as empty and is scored as one empty line. Repeated rows give repeated rows, a null id is
-    kept, an empty table gives an empty result, and without labels every score is 0.5. Lines end at ``\\n``.
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted; further columns of ``docs`` are ignored.
+
+    Null text counts as empty and is scored as one empty line. Repeated rows give repeated rows and equal texts equal
+    scores, a null id is kept, an empty table gives an empty result, and without labels every score is 0.5. A score
+    of exactly the limit counts as good. Lines end at ``\\n``. Where labels of one id differ, the higher counts.
     """
-    model = train(docs, labels, id_col, text_col, sample)
+    model = train(docs, labels, id_col, text_col, sample, sample_bytes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                s = score(model, b.pop("_text").tolist())
-                yield b.assign(_score=s)
+                yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": score(model, _texts(b["text"]))})
 
-    given = docs if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("_text"))
-    if keep:
-        given = docs.withColumn("_text", text_of(text_col))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text") + ", _score double"
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     with arrow_rows(docs.sparkSession, 1000):
-        out = given.mapInPandas(run, schema)
-        out = out if keep else cut(out)
-    predicted = F.when(F.col("_score") >= LEAST, 1).otherwise(0)
-    if keep:
-        return out.withColumn("predicted", predicted).withColumnRenamed("_score", "score")
-    return out.select("doc_id", _is_held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), predicted.alias("predicted"))
+        out = cut(texts.mapInPandas(run, "doc_id long, score double"))
+    return out.select("doc_id", _is_held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= LEAST, 1).otherwise(0).alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the limit, with all their columns as they were.
+
+    Rows are read, scored and passed on in one Arrow pass, so that neither ids nor column names matter: null and
+    repeated ids and any further columns are kept; null text is scored as empty and stays null.
+    """
+    model = train(docs, labels, id_col, text_col, sample, sample_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+                yield b.filter(pa.array(score(model, ["" if t is None else str(t) for t in texts]) >= LEAST))
+
+    with arrow_rows(docs.sparkSession, 500):
+        return cut(docs.mapInArrow(run, docs.schema))

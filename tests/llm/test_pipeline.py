@@ -40,3 +40,32 @@ def test_null_rows_pass_through(spark):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, SF).count() == 2, name
     assert corpus_pipeline.STAGES[0][1](spark, docs.where("false"), SF).count() == 0
+
+
+ROWS = [
+    (1, "A plain line of text that people read.", "en", "a", 10), (1, "A plain line of text that people read.", "en", "a", 10), (1, "Quite another text of the same id, with some words more.", "en", "a", 5),
+    (2, "A plain line of text that people read.", "en", "b", 10), (None, "A plain line of text that people read.", "en", "b", 10), (3, "", None, None, 0), (4, None, None, None, None),
+    (5, "write to a.b@example.com today " * 4000, "en", "c", 1), (6, "end of it all, long line " * 20000, "en", "c", 1),
+]
+
+
+def test_stages_on_repeated_long_and_clashing_rows(spark):
+    """Nulls, empty and long texts, repeated rows and ids, ties, and columns whose names the stages use themselves."""
+    plain = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.selectExpr("*", "1 as score", "2 as _spans", "3 as _hash", "4 as h", "5 as node", "6 as kept", "7 as found", "8 as _text")
+    by_name = dict(corpus_pipeline.STAGES)
+    kept = by_name["near_duplicates"](spark, docs, SF).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, (r.text or "")[:8]) for r in kept) == [(-1, "A plain "), (1, "A plain "), (1, "Quite an"), (3, ""), (5, "write to"), (6, "end of i")]
+    assert by_name["decontamination"](spark, docs, SF).count() == len(ROWS)
+    masked = by_name["pii"](spark, docs, SF).collect()
+    assert len(masked) == len(ROWS) and sum((r.text or "").count("<email>") for r in masked) == 4000 and sum("@" in (r.text or "") for r in masked) == 0
+    packed = by_name["packing"](spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == {r[0] for r in ROWS} and sum(r.length for r in packed if r.doc_id in (3, 4)) == 2
+    good = by_name["quality"](spark, docs, SF)
+    assert good.columns == corpus_pipeline.COLUMNS and good.count() <= len(ROWS)
+
+
+def test_stages_on_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from gridscale.llm.quality import chain_features, fit, forward_backward, line_features, quality_scores, score
+from gridscale.llm.quality import chain_features, chains, fit, forward_backward, good_documents, line_features, objective, quality_scores, score, train
 
 
 def test_marginals_against_enumeration():
@@ -24,6 +24,38 @@ def test_marginals_against_enumeration():
     assert np.allclose(pair, want_pair)
 
 
+def test_gradient_by_finite_differences():
+    rng = np.random.default_rng(7)
+    n_lines = np.array([3, 1, 5, 2])
+    x, y, weight = rng.normal(size=(11, 6)), np.array([1.0, 0.0, 1.0, 0.0]), rng.uniform(0.1, 1, 4)
+    p = rng.normal(size=10)
+    _, g = objective(p, x, y, n_lines, weight, 0.01)
+    for k in range(len(p)):
+        d = np.zeros(len(p))
+        d[k] = 1e-5
+        slope = (objective(p + d, x, y, n_lines, weight, 0.01)[0] - objective(p - d, x, y, n_lines, weight, 0.01)[0]) / 2e-5
+        assert abs(slope - g[k]) < 1e-6
+
+
+def test_chains_hold_every_line():
+    assert chains(np.array([3, 8, 17]), 8).tolist() == [3, 8, 8, 8, 1]
+
+
+def test_document_score_against_enumeration(spark):
+    """The score of a short document from all labellings of its lines, in plain Python."""
+    rng = np.random.default_rng(8)
+    texts = ["good line of words here\nanother one follows it", "| # |\n%%%% 1 2 3\n| | |\nx", "", "one"] * 10
+    model = fit(texts, np.array([1, 0, 0, 1] * 10))
+    for text in texts[:4]:
+        own, length, n_lines = line_features([text])
+        e = chain_features(own, n_lines) @ model.weights
+        ways = {w: np.exp(e @ w + sum(model.transition[a, b] for a, b in itertools.pairwise(w))) for w in itertools.product((0, 1), repeat=len(e))}
+        good = sum(v * np.array(w) for w, v in ways.items()) / sum(ways.values())
+        mean = np.clip((good * (length + 1e-3)).sum() / (length + 1e-3).sum(), 1e-6, 1 - 1e-6)
+        want = 1 / (1 + np.exp(-(model.scale * np.log(mean / (1 - mean)) + model.shift)))
+        assert abs(score(model, [text, *rng.permutation(texts)])[0] - want) < 1e-9
+
+
 def test_features_are_of_their_own_text():
     texts = ["one two\n| a | b |", "", "\n\n", "x" * 5000, "é é\tü", "a a a\na a a"]
     own, length, n_lines = line_features(texts)
@@ -52,3 +84,18 @@ def test_edges(spark):
     assert quality_scores(docs.where("false"), labels).count() == 0
     m = fit([], np.array([]))
     assert score(m, ["a", ""]).tolist() == [0.5, 0.5]
+
+
+def test_good_documents_keep_rows_and_columns(spark):
+    rows = [(1, "x", 1.0), (None, None, 2.0), (1, "y\n" * 20000, None), (1, "x", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double").withColumnRenamed("score", "_text")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    got = good_documents(docs, labels)
+    assert got.schema == docs.schema and sorted(map(str, got.collect())) == sorted(map(str, docs.collect()))
+    assert good_documents(docs.where("false"), labels).count() == 0
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(k, "word " * 100) for k in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    assert np.isfinite(train(docs, labels, sample_bytes=1200).weights).all() and not train(docs, labels, sample_bytes=10).weights.any()
