@@ -7,44 +7,70 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscale.llm.common import cut, load
+from gridscale.llm.common import cut, load, spread
 from gridscale.llm.decontaminate import contained
-from gridscale.llm.jaccard import jaccard_join
+from gridscale.llm.jaccard import BROADCAST_IDS, jaccard_join
 from gridscale.llm.packing import pack
 from gridscale.llm.pii import masked
-from gridscale.llm.quality import quality_scores
+from gridscale.llm.quality import good_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches the threshold; labels only train the model."""
-    return quality_scores(docs, load(spark, sf_dir, "labels"), keep=True).where("predicted = 1").select(*COLUMNS)
+    """Rows whose quality score reaches the threshold; labels only train the model.
+
+    Null texts are scored as empty ones. Null ids, repeated ids and repeated rows are judged by their text alone.
+    An empty table gives an empty one; columns beyond those of documents are dropped.
+    """
+    return good_documents(docs.select(*COLUMNS), load(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; documents without an id stay."""
-    links = jaccard_join(docs)
-    gone = links.where(F.col("doc_id") != F.col("group_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    named = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where("doc_id is null"))
+    """One row of each group of near copies: that of the smallest id, of the smallest text hash on ties.
+
+    Rows without an id stay, for nothing tells which of them to keep. Different texts of one id are documents of
+    their own; a row said again is a copy, and one of it stays. Null and empty texts are copies of each other. An
+    empty table gives an empty one; columns beyond those of documents are dropped.
+    """
+    gone = jaccard_join(docs).where("doc_id is not null and not kept").select("doc_id", F.col("text_hash").alias("_hash")).distinct()
+    rows = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    few = gone.count() <= BROADCAST_IDS
+    kept = rows.join(F.broadcast(gone) if few else gone, ["doc_id", "_hash"], "left_anti")
+    # of repeated rows of one id and text, which are rare, all are still there
+    again = kept.where("doc_id is not null").groupBy("doc_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "_hash")
+    again = cut(again)
+    few = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
+    once = kept.join(few, ["doc_id", "_hash"], "left_anti")
+    one = kept.join(few, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return once.unionByName(one).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no test item."""
-    found = contained(docs, load(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows of documents that contain no test item.
+
+    Rows of one id are judged together; rows without an id and null texts stay. An empty table gives an empty one;
+    columns beyond those of documents are dropped.
+    """
+    found = cut(contained(docs, load(spark, sf_dir, "benchmark")).select("doc_id").distinct())
+    few = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    return docs.join(few, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data masked; n_chars is that of the new text."""
-    out = masked(docs)
+    """All rows, with personal data masked; n_chars is that of the new text, or as it was where the text is null.
+
+    Ids play no part, so null and repeated ones are kept; columns beyond those of documents are dropped.
+    """
+    out = masked(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences."""
+    """Pieces of the documents, packed into sequences; a null or empty text is the one token that ends a document.
+
+    Repeated rows are packed as documents of their own, null ids are kept, and further columns are ignored.
+    """
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -54,7 +80,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    docs = spread(load(spark, sf_dir, "documents"))
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name not in ("quality", "packing"):  # the first is written already, the last is the result
+            docs = cut(docs)
     return docs
