@@ -23,13 +23,34 @@ from .words import WORD, Words, grams
 
 #: The statements by which works name these licences.
 TEMPLATES = {
+    "agpl": [
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
+    ],
     "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "Apache License Version 2.0 January 2004"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Licensed under the BSD License", "Released under the BSD 3-Clause License"],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted",
+        "Licensed under the BSD License",
+        "Released under the BSD 3-Clause License",
+        "Released under the BSD 2-Clause License",
+    ],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc0": ["Licensed under CC0 1.0 Universal", "CC0 1.0 Universal Public Domain Dedication", "has waived all copyright and related or neighboring rights to this work"],
+    "epl": ["Licensed under the Eclipse Public License 2.0", "made available under the terms of the Eclipse Public License"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License", "Licensed under the GNU GPL"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License"],
+    "lgpl": [
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
+    ],
     "mit": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
 #: Made-up licence language; NAME stands for a random word.
 OTHER = [
@@ -38,9 +59,10 @@ OTHER = [
 ]
 FAMILIES = list(TEMPLATES)
 CLASSES = [*FAMILIES, "unknown", "none"]
-SAMPLE, SPAN, BITS = 400, 24, 18
-#: Lines of the sampled documents that the fit uses at most.
-LINES = 3000
+#: Documents, chosen by a hash of their id, whose whole texts are the fit's ordinary lines and paragraphs.
+SAMPLE = 150
+#: Words that are read at a time, and bits of a feature's number.
+SPAN, BITS = 24, 18
 #: Made-up ordinary lines.
 MADE = 1000
 CONFIRM, LEAST = 0.6, 0.5
@@ -70,7 +92,7 @@ class Model:
 def fit(negatives: list[str], seed: int = 5, rounds: int = 120) -> Model:
     rng = np.random.default_rng(seed)
     memory = Words()
-    ordinary = np.array([x for t in negatives for x in t.split()] or ["the", "of", "and"], dtype=object)
+    ordinary = np.array([x for t in negatives[:: max(len(negatives) // 2000, 1)] for x in t.split()] or ["the", "of", "and"], dtype=object)
 
     def varied(t: str) -> str:
         words = [w for w in t.split() if rng.random() > 0.06]
@@ -83,7 +105,7 @@ def fit(negatives: list[str], seed: int = 5, rounds: int = 120) -> Model:
     # words of licences out of order and alone, and other words alone
     made = [" ".join(rng.permutation([*rng.choice(apart, rng.integers(1, 4)), *rng.choice(ordinary, rng.integers(0, 9))])) for _ in range(MADE)]
     made += [str(w) for w in [*np.unique(apart), *rng.choice(ordinary, MADE // 4)]]
-    for t in [*rng.permutation(np.array(negatives, dtype=object))[:LINES], *made]:
+    for t in [*negatives, *made]:
         g = set(grams(memory.of(t), 2).tolist())
         if not any(len(g & p) > 0.4 * len(p) for p in pairs):
             rows.append((t, len(CLASSES) - 1))
@@ -168,15 +190,15 @@ def _stretches(first: np.ndarray, sizes: np.ndarray, line: np.ndarray, follows:
 def _scan(model: Model):
     memory = Words()
     pairs = [(k, _fixed(t, memory)) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
-    #: Of each template, the pairs that no template of another family has: they tell CC BY from CC BY-NC.
+    #: Of each template, the pairs that no template of another family has: they tell GPL from LGPL, and CC BY from CC BY-NC.
     own = [np.setdiff1d(t, np.concatenate([x for j, x in pairs if j != k])) for k, t in pairs]
 
-    def confirmed(g: np.ndarray, first: int) -> dict[int, np.ndarray]:
-        """Families with most pairs of a template among ``g``, with that template; all but ``first`` need most of its own pairs too."""
+    def confirmed(g: np.ndarray) -> dict[int, np.ndarray]:
+        """Families with most pairs of a template, and most of those that are its own, among ``g``, with that template."""
         out, most = {}, {}
         for (k, t), o in zip(pairs, own, strict=True):
             share = np.isin(t, g).mean()
-            if share >= CONFIRM and share > most.get(k, 0) and (k == first or (len(o) and np.isin(o, g).mean() >= CONFIRM)):
+            if share >= CONFIRM and share > most.get(k, 0) and np.isin(o, g).mean() >= CONFIRM:
                 out[k], most[k] = t, share
         return out
 
@@ -210,7 +232,6 @@ def _scan(model: Model):
                 n_features = 2 * (end - start) - 1
                 z = (sums1[end] - sums1[start] + sums2[end - 1] - sums2[start]) / np.sqrt(n_features)[:, None] + model.bias
                 p = _softmax(z / model.temperature)
-                top = p[:, :-1].argmax(axis=1)
                 for s in np.flatnonzero(1 - p[:, -1] >= LEAST):  # licence language of any kind
                     doc = of[line[start[s]]]
                     if start[s] >= until[doc]:
@@ -218,7 +239,7 @@ def _scan(model: Model):
                     until[doc] = max(until[doc], end[s])
                     single = line[start[s]] == line[end[s] - 1]
                     g = grams(w[start[s] : end[s]], 2)
-                    names = confirmed(g, int(top[s]))
+                    names = confirmed(g)
                     for k, t in names.items():
                         families[doc].add(FAMILIES[k])
                         at = start[s] + np.flatnonzero(np.isin(g, t))
@@ -233,17 +254,22 @@ def _scan(model: Model):
     return run
 
 
-def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+    """A model whose ordinary lines and paragraphs are the whole texts of ``sample`` documents."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    chosen = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
+    return fit([x for r in chosen.collect() for x in _read(r["text"].split("\n"))])
+
+
+def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
     """One row per input row: doc_id, family (``none``, ``unknown`` or a family: the most probable, confirmed ones first,
-    then those within a line), its probability, n_found (separate stretches of licence language), line_no (0-based
-    line of the family) and families (all confirmed ones, sorted).
+    then those within a line, and the first in the text of equally probable ones), its probability, n_found (separate
+    stretches of licence language), line_no (0-based line of the family) and families (all confirmed ones, sorted).
 
     Null text counts as empty and gives ``none``; repeated rows give repeated rows; a null id is kept; an empty
     table gives an empty result; further columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    chosen = texts.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    heads = [r[0] for r in chosen.select(F.transform(F.slice(F.split("text", "\n"), 1, 20), lambda x: F.substring(x, 1, 400))).collect()]
-    model = fit([x for head in heads for x in _read(head)])
+    model = model or train(docs, id_col, text_col, sample)
     with arrow_rows(docs.sparkSession, 500):
         return cut(texts.mapInPandas(_scan(model), "doc_id long, family string, probability double, n_found long, line_no long, families array<string>"))
