@@ -2,7 +2,8 @@
 
 Count tables of all orders are partitioned by hash. Documents come in blocks; a block sends the distinct n-grams
 that its exploded texts hold, with their counts, to the partitions (a relation block x n-gram in packed columns).
-A partition adds up the counts of each n-gram over all blocks and joins the sums back to the blocks that asked.
+A partition is a range of hashes; there are as many as the corpus's words need for each to hold some ``PER_PART``
+n-grams at most, so that a task's memory does not grow with the corpus. A partition adds up the counts of each n-gram over all blocks and joins the sums back to the blocks that asked.
 The block then scores its documents with whole-corpus counts, less the counts of the document scored, so that no
 document vouches for itself. A frequent n-gram travels once for each block, not once for each occurrence.
 """
@@ -23,9 +24,11 @@ from .words import Words, mix
 ALPHA = 0.4
 #: Count that stands for a word which no other document holds.
 UNSEEN = 0.5
-#: Bytes of an n-gram hash that travel; the partition stands for the bits above. Partitions grow with the input,
-#: and so does the space of hashes.
-_BYTES = 5
+#: Occurrences of n-grams for each partition of the count tables.
+PER_PART = 4_000_000
+#: Bits of an n-gram's 64-bit hash that don't travel. Two of the n-grams of a corpus of 10^12 share the other 56 bits
+#: in one of some 70,000 cases, within 0.5 GB in one of 10^8.
+_DROPPED = np.uint64(8)
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -43,17 +46,32 @@ def _ids(words: list[np.ndarray], order: int) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def _pack(at: np.ndarray) -> bytes:
-    """Small numbers, byte by byte, compressed."""
+def _squeeze(v: np.ndarray, size: int) -> bytes:
+    """Small numbers of ``size`` bytes, byte by byte, compressed."""
     import zstandard
 
-    return zstandard.compress(at.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(v).view(np.uint8).reshape(-1, size).T.tobytes(), 1)
 
 
-def _unpack(packed: bytes) -> np.ndarray:
+def _stretch(packed: bytes, size: int) -> np.ndarray:
     import zstandard
 
-    return np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    return np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(size, -1).T.copy().view(f"<u{size}").ravel()
+
+
+def _pack(at: np.ndarray) -> bytes:
+    return _squeeze(at.astype("<u4"), 4)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return _stretch(packed, 4)
+
+
+def _in_order(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the keys by value, and where each partition ends in it."""
+    turn = np.argsort(keys, kind="stable")
+    part = ((keys[turn] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return turn, np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
 
 
 def _key(words: list[np.ndarray]) -> bytes:
@@ -69,14 +87,11 @@ def _ask(order: int, parts: int):
             ids = _ids(words, order)
             keys = np.concatenate([k for k, _, _ in ids])
             counts = np.concatenate([np.bincount(at, minlength=len(k)) for k, at, _ in ids]).astype("<u4")
-            part = ((keys >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
-            turn = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[turn], np.arange(parts + 1))
-            packed = keys.view(np.uint8).reshape(-1, 8)[:, :_BYTES]
-            for p in range(parts):
+            turn, ends = _in_order(keys, parts)
+            for p in np.flatnonzero(ends[1:] > ends[:-1]):
                 t = turn[ends[p] : ends[p + 1]]
-                if len(t):
-                    out.append((p, key, packed[t].tobytes(), _pack(counts[t])))
+                step = np.diff(keys[t] >> _DROPPED, prepend=np.uint64(0))
+                out.append((p, key, _squeeze(step.astype("<u8"), 8), _pack(counts[t])))
             yield pd.DataFrame(out, columns=["part", "block", "grams", "counts"])
 
     return run
@@ -85,11 +100,9 @@ def _ask(order: int, parts: int):
 def _answer(g: pd.DataFrame) -> pd.DataFrame:
     given = [_unpack(c) for c in g["counts"]]
     sizes = [len(c) for c in given]
-    raw = np.frombuffer(b"".join(g["grams"]), dtype=np.uint8).reshape(-1, _BYTES)
-    keys = np.zeros((len(raw), 8), dtype=np.uint8)
-    keys[:, :_BYTES] = raw
+    keys = np.concatenate([np.cumsum(_stretch(x, 8), dtype=np.uint64) for x in g["grams"]])
     counts = np.concatenate(given)
-    _, at = np.unique(keys.view("<u8").ravel(), return_inverse=True)
+    _, at = np.unique(keys, return_inverse=True)
     total = np.bincount(at, counts)[at]
     small = np.minimum(total, 2**32 - 1).astype("<u4")
     ends = np.cumsum(sizes)
@@ -147,9 +160,11 @@ def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
     blocks when read twice, as files do; otherwise the job fails rather than return wrong scores.
     """
     spark = docs.sparkSession
-    parts = 2 * partitions(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
+    all_words = texts.select(F.sum(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
+    parts = max(2 * partitions(spark), -(-order * all_words // PER_PART))
+
     def scored(key: tuple, blocks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         answers = answers.drop_duplicates("part").sort_values("part")
@@ -160,8 +175,7 @@ def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
             words = [vocabulary[at[e - n : e]] for e, n in zip(ends, row.sizes, strict=True)]
             ids = _ids(words, order)
             keys = np.concatenate([k for k, _, _ in ids])
-            part = ((keys >> np.uint64(48)) % np.uint64(parts)).astype(np.int64)
-            turn = np.argsort(part, kind="stable")
+            turn, _ = _in_order(keys, parts)
             got = np.concatenate([np.array([], dtype="<u4"), *map(_unpack, answers["totals"])])
             if len(got) != len(keys):
                 raise RuntimeError("a block of documents has no counts: its input was not the same when read again")
@@ -176,6 +190,38 @@ def lm_scores(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col:
         asked = texts.mapInPandas(_ask(order, parts), "part int, block binary, grams binary, counts binary")
         answers = asked.groupBy("part").applyInPandas(_answer, "block binary, part int, totals binary")
         blocks = texts.mapInPandas(_blocks(), "block binary, ids array<long>, sizes array<long>, vocabulary binary, at binary")
-        all_words = texts.select(F.sum(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")))).first()[0] or 0
         done = cut(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, "doc_id long, n_words long, log_score double"))
     return done.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+
+
+def lm_scores_relational(docs: DataFrame, order: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same scores, from tables with a row for each n-gram: exact, without Python, and the plain form of the method.
+
+    A table of distinct n-grams by row of ``docs``, with its counts, is joined on the n-gram with the counts of the
+    whole corpus; positions, with their n-grams of each order, are joined with that, and summed by row. It writes some
+    tens of times its input to disk; ``lm_scores`` is the packed form of the same joins.
+    """
+    t = F.lower(text_of(text_col))
+    words = F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    base = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), words.alias("w")))
+
+    def gram(i, n: int):
+        """The run of ``n`` words that ends at ``i``."""
+        return F.when(i >= n - 1, F.array_join(F.slice("w", F.greatest(i - n + 2, F.lit(1)), n), " "))
+
+    at = base.select("row", F.size("w").alias("own_words"), "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("i"))
+    at = at.select("row", "own_words", "i", *[gram(F.col("i"), n).alias(f"g{n}") for n in range(1, order + 1)], *[gram(F.col("i") - 1, n).alias(f"c{n}") for n in range(1, order)])
+    held = at.select("row", F.explode(F.array(*[f"g{n}" for n in range(1, order + 1)])).alias("g")).where("g is not null").groupBy("row", "g").agg(F.count(F.lit(1)).alias("own"))
+    total = held.groupBy("g").agg(F.sum("own").alias("total"))
+    rest = held.join(total, "g").select("row", "g", (F.col("total") - F.col("own")).alias("rest"))
+    for name in [*[f"g{n}" for n in range(1, order + 1)], *[f"c{n}" for n in range(1, order)]]:
+        at = at.join(rest.select("row", F.col("g").alias(name), F.col("rest").alias(f"n_{name}")), ["row", name], "left")
+    all_words = base.agg(F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("all_words"))  # one row
+    at = at.crossJoin(F.broadcast(all_words))
+    deepest = F.least(F.col("i"), F.lit(order - 1))
+    score = F.log(F.greatest(F.col("n_g1"), F.lit(UNSEEN)) / F.greatest(F.col("all_words") - F.col("own_words"), F.lit(1))) + deepest * float(np.log(ALPHA))
+    for n in range(2, order + 1):
+        score = F.when(F.col(f"n_g{n}") > 0, F.log(F.col(f"n_g{n}") / F.col(f"n_c{n - 1}")) + (deepest - (n - 1)) * float(np.log(ALPHA))).otherwise(score)
+    sums = at.groupBy("row").agg(F.sum(score).alias("log_score"))
+    done = base.select("row", "doc_id", F.size("w").cast("long").alias("n_words")).join(sums, "row", "left").select("doc_id", "n_words", F.coalesce("log_score", F.lit(0.0)).alias("log_score"))
+    return done.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))

@@ -3,7 +3,8 @@ import math
 
 import pytest
 
-from gridscale.llm.lm import lm_scores
+from gridscale.llm import lm
+from gridscale.llm.lm import lm_scores, lm_scores_relational
 from gridscale.llm.words import WORD
 
 
@@ -44,3 +45,12 @@ def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm_scores(docs).count() == 0
     assert lm_scores(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first().n_words == 2
+
+
+def test_relational_form_and_many_partitions(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(None, None), (7, ""), (7, "a b a b a b"), (7, "a b a b a b")], "doc_id long, text string"))
+    key = lambda r: (r.doc_id or -1, r.n_words, round(r.log_score, 6), None if r.mean_log_score is None else round(r.mean_log_score, 6))
+    want = sorted(map(key, lm_scores_relational(docs).collect()), key=str)
+    assert sorted(map(key, lm_scores(docs).collect()), key=str) == want
+    monkeypatch.setattr(lm, "PER_PART", 5000)
+    assert sorted(map(key, lm_scores(docs).collect()), key=str) == want
