@@ -47,6 +47,8 @@ CONTEXT = {
 PRIOR = {"email": 0.7, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.4, "ssn": 0.3}
 CHECKED = {"card", "iban"}
 LEAST = 0.5
+#: Items that a fold which appends takes at a time, so that its work does not grow with their square.
+CHUNK = 256
 
 
 def _digits(m: Column) -> Column:
@@ -101,45 +103,60 @@ def _guard(kind: str, t: Column) -> Column:
     }[kind]
 
 
+def _fold(items: Column, empty: Column, outs: str, step) -> Column:
+    """Outs (of SQL type ``outs``) of a fold over ``items`` whose state is (pos, out), by CHUNK items: a state's ``out``
+    is copied at every item, so it starts anew with each chunk."""
+    last = F.greatest(F.floor((F.size(items) - 1) / CHUNK).cast("int"), F.lit(0))
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(items, c * CHUNK + 1, F.lit(CHUNK)))
+
+    def one(a: Column, chunk: Column) -> Column:
+        inner = F.aggregate(chunk, F.struct(a["pos"].alias("pos"), empty.alias("out")), step)
+        # bound to a name within an array, so that it is worked out once
+        return F.get(F.transform(F.array(inner), lambda x: F.struct(x["pos"].alias("pos"), F.concat(a["outs"], F.array(x["out"])).alias("outs"))), F.lit(0))
+
+    zero = F.struct(F.lit(0).alias("pos"), F.expr(f"cast(array() as array<{outs}>)").alias("outs"))
+    return F.aggregate(chunks, zero, one, lambda a: a["outs"])
+
+
 def found(kind: str, t: Column) -> Column:
     """Array of (start, kind index, end, score) of the spans that hold; positions in code points, end exclusive."""
     k = KINDS.index(kind)
     parts = F.split(F.regexp_replace(t, f"({PATTERNS[kind]})", "\x01$1\x02"), "\x01")
-    empty = F.expr("cast(array() as array<struct<start:int,kind:int,end:int,score:double>>)")
+    span_type = "array<struct<start:int,kind:int,end:int,score:double>>"
+    empty = F.expr(f"cast(array() as {span_type})")
     words = "|".join(CONTEXT[kind])
 
     def plain(x: Column) -> Column:
         return F.translate(x, "\x02", "")
 
-    def ahead(all_parts: Column) -> Column:
-        """Each part with the 40 characters after its span: eight more parts hold as many, as no span has less than five."""
+    def read(all_parts: Column) -> Column:
+        """Of each part its length, its span if one holds, and the score by the 40 characters before and after it.
+
+        As no span has less than five characters, eight more parts on either side hold as many.
+        """
 
         def one(p: Column, i: Column) -> Column:
-            rest = F.transform(F.slice(all_parts, i + 2, 8), lambda q: F.left(plain(F.left(q, F.lit(41))), F.lit(40)))
-            after = F.concat(F.left(F.substring_index(p, "\x02", -1), F.lit(40)), F.array_join(rest, ""))
-            return F.struct(p.alias("part"), F.when(F.contains(p, F.lit("\x02")), F.left(after, F.lit(40))).otherwise("").alias("after"))
+            hit = F.contains(p, F.lit("\x02"))
+            m = F.substring_index(p, "\x02", 1)
+            later = F.transform(F.slice(all_parts, i + 2, 8), lambda q: F.left(plain(F.left(q, F.lit(41))), F.lit(40)))
+            after = F.left(F.concat(F.left(F.substring_index(p, "\x02", -1), F.lit(40)), F.array_join(later, "")), F.lit(40))
+            earlier = F.transform(F.slice(all_parts, F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda q: F.right(plain(F.right(q, F.lit(41))), F.lit(40)))
+            before = F.right(F.array_join(earlier, ""), F.lit(40))
+            near = F.lower(F.concat_ws("\x02", before, after)).rlike(rf"(?<![a-z])(?:{words})")
+            score = F.least(F.lit(PRIOR[kind] + (0.3 if kind in CHECKED else 0.0)) + F.when(near, 0.3).otherwise(0.0), F.lit(1.0))
+            told = F.when(hit & _holds(kind, m), score)
+            told = told if kind in BASE else F.when(told >= LEAST, told)
+            return F.struct((F.length(p) - F.when(hit, 1).otherwise(0)).alias("length"), F.length(m).alias("size"), told.alias("score"))
 
         return F.transform(all_parts, one)
 
     def step(acc: Column, x: Column) -> Column:
-        part = x["part"]
-        hit = F.contains(part, F.lit("\x02"))
-        m = F.substring_index(part, "\x02", 1)
         start = acc["pos"]
-        near = F.lower(F.concat_ws("\x02", acc["tail"], x["after"])).rlike(rf"(?<![a-z])(?:{words})")
-        score = F.lit(PRIOR[kind] + (0.3 if kind in CHECKED else 0.0)) + F.when(near, 0.3).otherwise(0.0)
-        score = F.least(score, F.lit(1.0))
-        keep = hit & _holds(kind, m) & (F.lit(kind in BASE) | (score >= LEAST))
-        span = F.struct(start.alias("start"), F.lit(k).alias("kind"), (start + F.length(m)).alias("end"), score.alias("score"))
-        return F.struct(
-            (start + F.length(part) - F.when(hit, 1).otherwise(0)).alias("pos"),
-            F.right(F.concat(acc["tail"], plain(F.right(part, F.lit(41)))), F.lit(40)).alias("tail"),
-            F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"),
-        )
+        span = F.struct(start.alias("start"), F.lit(k).alias("kind"), (start + x["size"]).alias("end"), x["score"].alias("score"))
+        return F.struct((start + x["length"]).alias("pos"), F.when(x["score"].isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), empty.alias("spans"))
-    # bound to a name within an array, so that the parts are made once
-    spans = F.get(F.transform(F.array(parts), lambda p: F.aggregate(ahead(p), zero, step, lambda a: a["spans"])), F.lit(0))
+    # bound to names within arrays, so that the parts are made once
+    spans = F.get(F.transform(F.array(parts), lambda p: F.get(F.transform(F.array(read(p)), lambda r: F.flatten(_fold(r, empty, span_type, step))), F.lit(0))), F.lit(0))
     return F.when(_guard(kind, t), spans).otherwise(empty)
 
 
@@ -183,17 +200,18 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     t = F.col(text_col)
     clean = F.translate(text_of(text_col), "\x01\x02", "\x03\x03")
-    spans = F.array_sort(F.concat(*[found(k, clean) for k in KINDS]))
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["pos"]
         between = F.substring(t, acc["pos"] + 1, s["start"] - acc["pos"])
         return F.struct(
             F.greatest(acc["pos"], s["end"]).alias("pos"),
-            F.when(new, F.concat(acc["done"], between, F.get(names, s["kind"]))).otherwise(acc["done"]).alias("done"),
+            F.when(new, F.concat(acc["out"], between, F.get(names, s["kind"]))).otherwise(acc["out"]).alias("out"),
         )
 
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("done"))
-    done = F.aggregate(F.col("_spans"), zero, step, lambda a: F.concat(a["done"], F.substring(t, a["pos"] + 1, F.length(t))))
-    plan = docs.withColumn("_spans", spans)
-    return plan.withColumn(text_col, F.when(F.size("_spans") > 0, done).otherwise(t)).drop("_spans")
+    def replaced(spans: Column) -> Column:
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.when(F.size(spans) > 0, F.concat(F.array_join(_fold(spans, F.lit(""), "string", step), ""), F.substring(t, last + 1, F.length(t)))).otherwise(t)
+
+    spans = F.array_sort(F.concat(*[found(k, clean) for k in KINDS]))
+    return docs.withColumn(text_col, F.get(F.transform(F.array(spans), replaced), F.lit(0)))

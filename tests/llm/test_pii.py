@@ -76,3 +76,12 @@ def test_iban_before_capitals_and_context_on_both_sides(spark):
         0: "<iban> BIC COBADEFF", 1: "pay <iban> 2024", 2: "<iban> <iban> <iban> X", 3: "AB12 <iban>", 4: texts[4],
         5: "<ssn> (social security)", 6: "<ssn>, <ssn> and <ssn> are ssn", 7: "ssn: <ssn>, <ssn>", 8: texts[8], 9: texts[9],
     }
+
+
+def test_many_spans_and_a_clashing_column(spark):
+    text = "call +49 30 1234567 or write a.b@example.com now; " * 5000
+    docs = spark.createDataFrame([(1, text, 7), (2, None, 8), (3, "", 9)], "doc_id long, text string, _spans int")
+    got = {r.doc_id: r for r in digest(pii_spans(docs)).collect()}
+    assert got[1].n_email == got[1].n_phone == 5000 and got[2].n_email == got[3].n_email == 0
+    out = {r.doc_id: r for r in masked(docs).collect()}
+    assert out[1].text == "call <phone> or write <email> now; " * 5000 and out[2].text is None and out[3].text == "" and out[1]._spans == 7
