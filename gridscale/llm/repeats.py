@@ -6,9 +6,11 @@ windows it stands for. Phrases are dealt by the trigger's hash. Of equal phrases
 in full. Where a trigger has several phrases, those distinct phrases are its dictionary: the ``LENGTH``-byte
 prefixes of their suffixes are put in order (a suffix array cut off at LENGTH bytes), and of equal neighbours all
 but the earliest are repeats. As phrases reach LENGTH bytes beyond their last window, the order of the parse
-behind them, which full prefix-free parsing adds, is not needed.
+behind them, which full prefix-free parsing adds, is not needed. A trigger of more than ``HOT`` distinct phrases
+would be a large group: its windows are dealt one by one, by their bytes' hash, each bucket of documents sending
+only its own earliest of equal ones.
 
-Texts are read in Arrow batches, triggers travel in packed columns of 29 bytes or less each, and a frequent phrase
+The number of groups follows the bytes of the table. Texts are read in Arrow batches, triggers travel in packed columns of 29 bytes or less each, and a frequent phrase
 travels once for each batch.
 """
 
@@ -27,6 +29,10 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, cut, partitions, text_of
 
 LENGTH, GRAM = 100, 32
+#: Bytes of the table for each group of triggers and each bucket of documents.
+GROUP_BYTES = 16_000_000
+#: Distinct phrases of a trigger beyond which its windows are dealt by their own bytes.
+HOT = 4096
 #: Window starts that are hashed at a time.
 CHUNK = 1 << 19
 #: Windows that are put in order at a time within a group of triggers.
@@ -105,6 +111,11 @@ def _split(part: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield p, turn[ends[p] : ends[p + 1]]
 
 
+def _bucket(d: np.ndarray, var: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a document, by its id and the checksum of its text."""
+    return (d % buckets + var.astype(np.int64) % buckets) % buckets
+
+
 def _ask(parts: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -121,7 +132,7 @@ def _ask(parts: int):
             same = np.zeros(len(doc), dtype=bool)  # a repeated row's phrases are sent once
             same[order] = ~new
             out = []
-            for p, t in _split(np.where(later, d % parts, (gram % np.uint64(parts)).astype(np.int64)), parts):
+            for p, t in _split(np.where(later, _bucket(d, var, parts), (gram % np.uint64(parts)).astype(np.int64)), parts):
                 for kind, own in ((1, t[later[t]]), (0, t[~later[t] & ~same[t]])):
                     if len(own):
                         out.append((p, kind, d[own].tobytes(), var[own].tobytes(), lo[own].astype(np.uint32).tobytes(), (hi - lo)[own].astype(np.uint8).tobytes(), b"" if kind else gram[own].tobytes(), b"" if kind else phrase[own].tobytes()))
@@ -136,11 +147,11 @@ def _join(column, kind: str) -> np.ndarray:
 
 def _packed(buckets: int, kind: np.ndarray, d, var, lo, span, gram) -> list[tuple]:
     out = []
-    for k in (1, 2):
+    for k in (1, 2, 3):
         own = np.flatnonzero(kind == k)
-        for bucket, t in _split((d[own] % buckets).astype(np.int64), buckets):
+        for bucket, t in _split(_bucket(d[own], var[own], buckets), buckets):
             t = own[t]
-            out.append((bucket, k, d[t].tobytes(), var[t].tobytes(), lo[t].tobytes(), span[t].tobytes(), gram[t].tobytes() if k == 2 else b""))
+            out.append((bucket, k, d[t].tobytes(), var[t].tobytes(), lo[t].tobytes(), span[t].tobytes(), gram[t].tobytes() if k > 1 else b""))
     return out
 
 
@@ -159,12 +170,12 @@ def _judge(buckets: int):
             new_gram = np.r_[True, x[1:] != x[:-1]]
             new = new_gram | np.r_[True, y[1:] != y[:-1]]
             n_phrases = np.bincount(np.cumsum(new_gram) - 1, new)
-            several = n_phrases[np.cumsum(new_gram) - 1] > 1
+            several = n_phrases[np.cumsum(new_gram) - 1]
             head = np.flatnonzero(new)[np.cumsum(new) - 1]
             o, q = order, order[head]
             later = (d[o] != d[q]) | (var[o] != var[q]) | (lo[o] != lo[q])
             kind = np.zeros(len(d), dtype=np.int8)
-            kind[order] = np.where(later, 1, np.where(new & several, 2, 0))
+            kind[order] = np.where(later, 1, np.where(new & (several > HOT), 3, np.where(new & (several > 1), 2, 0)))
             out += _packed(buckets, kind, d, var, lo, span, gram)
         return pd.DataFrame(out, columns=["bucket", "kind", "docs", "variants", "starts", "lengths", "grams"])
 
@@ -189,35 +200,90 @@ def _texts(b: pd.DataFrame) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def _fetch(parts: int):
-    """The bytes of the phrases that must be compared, dealt by trigger."""
+    """The bytes of the phrases that must be compared, dealt by trigger; of hot triggers (kind 1) the windows' hashes,
+    dealt by these; and windows that are repeats within the bucket (kind 2)."""
 
     def run(b: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(b) and len(g):
             raw, doc, variant = _texts(b)
             at = {(x, y): k for k, (x, y) in enumerate(zip(doc.tolist(), variant.tolist(), strict=True))}
-            d, var, lo, span, gram = (_join(g[c], k) for c, k in (("docs", "<i8"), ("variants", "<u4"), ("starts", "<u4"), ("lengths", "u1"), ("grams", "<u8")))
-            texts = [raw[at[x, y]][s : s + n + LENGTH] for x, y, s, n in zip(d.tolist(), var.tolist(), lo.tolist(), span.tolist(), strict=True)]
-            for p, t in _split((gram % np.uint64(parts)).astype(np.int64), parts):
-                out.append((p, d[t].tobytes(), var[t].tobytes(), lo[t].tobytes(), span[t].tobytes(), gram[t].tobytes(), b"".join(texts[k] for k in t)))
-        return pd.DataFrame(out, columns=["part", "docs", "variants", "starts", "lengths", "grams", "bytes"])
+            for kind, own in g.groupby("kind"):
+                d, var, lo, span, gram = (_join(own[c], k) for c, k in (("docs", "<i8"), ("variants", "<u4"), ("starts", "<u4"), ("lengths", "u1"), ("grams", "<u8")))
+                texts = [raw[at[x, y]][s : s + n + LENGTH] for x, y, s, n in zip(d.tolist(), var.tolist(), lo.tolist(), span.tolist(), strict=True)]
+                if kind == 2:
+                    for p, t in _split((gram % np.uint64(parts)).astype(np.int64), parts):
+                        out.append((p, 0, d[t].tobytes(), var[t].tobytes(), lo[t].tobytes(), span[t].tobytes(), gram[t].tobytes(), b"".join(texts[k] for k in t)))
+                    continue
+                for a in range(0, len(texts), SORTED // LENGTH):
+                    own_texts = texts[a : a + SORTED // LENGTH]
+                    data = np.frombuffer(b"".join(own_texts), dtype=np.uint8)
+                    entry, step, begin = _windows(span[a : a + len(own_texts)])
+                    h1, h2 = _hashes(data, begin[entry] + step)
+                    e = a + entry
+                    out += _dealt_windows(parts, d[e], var[e], (lo[e] + step).astype(np.uint32), h1, h2)
+        return pd.DataFrame(out, columns=["part", "kind", "docs", "variants", "starts", "lengths", "grams", "bytes"])
 
     return run
 
 
+def _windows(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrase and place in it of every window of the phrases, and where each phrase begins when they are joined."""
+    size = span.astype(np.int64) + LENGTH
+    n = span.astype(np.int64) + 1
+    entry = np.repeat(np.arange(len(span)), n)
+    return entry, np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n), np.cumsum(size) - size
+
+
+def _hashes(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the windows at ``start``."""
+    window = np.ascontiguousarray(sliding_window_view(data, LENGTH)[start])
+    eight = np.ascontiguousarray(np.pad(window, ((0, 0), (0, -LENGTH % 8)))).view("<u8")
+    out = []
+    for factor in (_M, 0xD6E8FEB86659FD93):
+        h = np.zeros(len(window), dtype=np.uint64)
+        for k in range(eight.shape[1]):
+            h = _mix((h ^ eight[:, k]) * np.uint64(factor) + np.uint64(k))
+        out.append(h)
+    return out[0], out[1]
+
+
+def _dealt_windows(parts: int, d, var, place, h1, h2) -> list[tuple]:
+    """The earliest of equal windows to the parts of their hashes; the others are repeats, by the part of their bucket."""
+    out = []
+    order = np.lexsort((place, var, d, h2, h1))
+    new = np.r_[True, (h1[order][1:] != h1[order][:-1]) | (h2[order][1:] != h2[order][:-1])]
+    for kind, own in ((1, order[new]), (2, order[~new])):
+        part = (h1[own] % np.uint64(parts)).astype(np.int64) if kind == 1 else _bucket(d[own], var[own], parts)
+        for p, t in _split(part, parts):
+            t = own[t]
+            out.append((p, kind, d[t].tobytes(), var[t].tobytes(), place[t].astype(np.uint32).tobytes(), b"", h1[t].tobytes() if kind == 1 else b"", h2[t].tobytes() if kind == 1 else b""))
+    return out
+
+
 def _order(buckets: int):
     """Repeats among the suffixes of each trigger's distinct phrases."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        hot = g[g["kind"] == 1]
+        d, var, place, h1, h2 = (_join(hot[c], k) for c, k in (("docs", "<i8"), ("variants", "<u4"), ("starts", "<u4"), ("grams", "<u8"), ("bytes", "<u8")))
+        order = np.lexsort((place, var, d, h2, h1))
+        later = order[1:][(h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1])]
+        told = g[g["kind"] == 2]
+        done = [np.concatenate([x[later], _join(told[c], k)]) for x, c, k in ((d, "docs", "<i8"), (var, "variants", "<u4"), (place, "starts", "<u4"))]
+        n_done = len(done[0])
+        g = g[g["kind"] == 0]
         d, var, lo, span, gram = (_join(g[c], k) for c, k in (("docs", "<i8"), ("variants", "<u4"), ("starts", "<u4"), ("lengths", "u1"), ("grams", "<u8")))
         data = _join(g["bytes"], "u1")
         size = span.astype(np.int64) + LENGTH
         begin = np.cumsum(size) - size
         order = np.argsort(gram, kind="stable")
         n_windows = span.astype(np.int64)[order] + 1
-        groups = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]])
+        groups = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]]) if len(gram) else np.array([], dtype=np.int64)
         windows_before = np.r_[0, np.cumsum(n_windows)]
         out, a = [], 0
+        if n_done:
+            out += _packed(buckets, np.ones(n_done, dtype=np.int8), *done, np.zeros(n_done, dtype=np.uint8), None)
         while a < len(groups):
             b = a + 1  # whole triggers, about SORTED windows at a time
             while b < len(groups) and windows_before[groups[b] if b < len(groups) else -1] - windows_before[groups[a]] < SORTED:
@@ -279,15 +345,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result; further columns are ignored.
     """
     spark = docs.sparkSession
-    parts = buckets = 4 * partitions(spark)
     raw_id = F.col(id_col).cast("long")
     texts = docs.select(raw_id.alias("doc_id"), F.coalesce(raw_id, F.lit(_LAST)).alias("doc"), text_of(text_col).alias("text"))
-    small = texts.withColumn("bucket", F.pmod("doc", F.lit(buckets)).cast("int")).mapInPandas(_compress, "doc_id long, doc long, text binary, bucket int")
+    n_bytes = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = buckets = max(4 * partitions(spark), -(-n_bytes // GROUP_BYTES))
+    n = F.lit(buckets)
+    bucket = F.pmod(F.pmod("doc", n) + F.pmod(F.crc32(F.col("text").cast("binary")), n), n).cast("int")
+    small = texts.withColumn("bucket", bucket).mapInPandas(_compress, "doc_id long, doc long, text binary, bucket int")
     dealt = small.groupBy("bucket")
     with arrow_rows(spark, 500):
         asked = texts.select("doc", "text").mapInPandas(_ask(parts), "part int, kind int, docs binary, variants binary, starts binary, lengths binary, grams binary, phrases binary")
         judged = cut(asked.groupBy("part").applyInPandas(_judge(buckets), _COLUMNS))
-        fetched = dealt.cogroup(judged.where("kind = 2").groupBy("bucket")).applyInPandas(_fetch(parts), "part int, docs binary, variants binary, starts binary, lengths binary, grams binary, bytes binary")
+        fetched = dealt.cogroup(judged.where("kind > 1").groupBy("bucket")).applyInPandas(_fetch(parts), "part int, kind int, docs binary, variants binary, starts binary, lengths binary, grams binary, bytes binary")
         found = cut(fetched.groupBy("part").applyInPandas(_order(buckets), _COLUMNS))
         spans = judged.where("kind = 1").unionByName(found)
         return cut(dealt.cogroup(spans.groupBy("bucket")).applyInPandas(_finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))

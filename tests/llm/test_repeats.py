@@ -2,7 +2,9 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
+from gridscale.llm import repeats
 from gridscale.llm.repeats import remove_repeats
 
 
@@ -37,7 +39,10 @@ def test_table(spark):
     assert sum(r.n_removed for r in check(spark, rows)) > 0
 
 
-def test_made_cases(spark):
+@pytest.mark.parametrize("hot,group", [(4096, 16_000_000), (1, 16_000_000), (3, 2000)])
+def test_made_cases(spark, monkeypatch, hot, group):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "GROUP_BYTES", group)
     rng = random.Random(1)
     word = lambda n: "".join(rng.choice("abcdefgh é\n") for _ in range(n))
     shared = [word(n) for n in (99, 100, 101, 150, 400, 3000)]
@@ -46,5 +51,13 @@ def test_made_cases(spark):
     check(spark, rows)
 
 
+def test_line_that_all_share_between_different_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 20)
+    rng = random.Random(3)
+    line = "".join(rng.choice("abcdefghijkl ") for _ in range(160))
+    rows = [(i, "".join(rng.choice("mnopqrstuv ") for _ in range(90)) + line + "".join(rng.choice("wxyz ") for _ in range(90))) for i in range(300)] + [(i, line) for i in range(300, 330)] + [(None, line), (None, line)]
+    assert sum(r.n_removed >= 160 for r in check(spark, rows)) >= 329
+
+
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
