@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Rows of a few numbers each that may be broadcast.
+SMALL = 500_000
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -64,16 +68,23 @@ def numbered(df: DataFrame, group: list[str], order: list[str], out: str, bucket
     )
 
 
+def join_few(rows: DataFrame, few: DataFrame, keys: str | list[str], how: str = "inner", most: int = SMALL) -> DataFrame:
+    """``rows`` joined with ``few``, which is counted first and broadcast up to ``most`` rows; it should be cut."""
+    return rows.join(F.broadcast(few) if few.count() <= most else few, keys, how)
+
+
 def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str) -> DataFrame:
     """``rows`` joined with ``counted``, which has each ``key`` once with its number ``n`` of rows.
 
-    Keys of more than a thousandth of the rows, a thousand at most, are broadcast, so that no task gets all rows of
-    such a key; the others are shuffled. ``counted`` should be cut, for it is read three times.
+    Up to SMALL keys are broadcast. Of more, those of more than a thousandth of the rows, a thousand at most, are
+    broadcast, so that no task gets all rows of such a key, and the others are shuffled. ``counted`` should be cut.
     """
-    limit = max((counted.agg(F.sum(n)).first()[0] or 0) // 1000, 100)
-    hubs = F.broadcast(counted.where(F.col(n) > limit))
-    light = rows.join(F.broadcast(counted.where(F.col(n) > limit).select(key)), key, "left_anti")
-    return light.join(counted.where(F.col(n) <= limit), key).unionByName(rows.join(hubs, key))
+    keys, total = counted.agg(F.count(F.lit(1)), F.sum(n)).first()
+    if keys <= SMALL:
+        return rows.join(F.broadcast(counted), key)
+    hub = F.col(n) > max((total or 0) // 1000, 100)
+    light = rows.join(F.broadcast(counted.where(hub).select(key)), key, "left_anti")
+    return light.join(counted.where(~hub), key).unionByName(rows.join(F.broadcast(counted.where(hub)), key))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,13 +1,18 @@
 """Benchmark decontamination: documents that contain most of a test item's word shingles.
 
-Built-in SQL functions only. Items are partitioned by size: an item of n shingles keeps, as its MinHash sketch,
-its n - ceil(threshold x n) + 1 smallest shingle hashes. A document that contains the threshold share of an item
-cannot miss all of these, so one join of the documents' shingles with the sketches finds every candidate; the
+Built-in SQL functions only. An item of n shingles keeps, as its MinHash sketch, the smallest of its shingle hashes.
+Items are partitioned by size, in powers of two of n, and the partition's sizes tell how many hashes its sketches need:
+a document that contains the threshold share of an item of n can miss n - ceil(threshold x n) of its shingles at
+most, so with one hash more it cannot miss all, and no document needs a signature of its own length. A partition of
+many items is cut further by their ids, so that every piece's sketches can be broadcast; up to ``PIECES`` pieces,
+documents are searched piece by piece without a shuffle of their shingles, beyond that by one shuffled join. The
 candidates' shingles are then counted exactly.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +20,8 @@ from .common import cut, text_of
 
 #: Tables of item shingles up to so many rows (24 bytes each), and lists of so many ids, are broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Pieces of sketches that are searched one after the other.
+PIECES = 8
 
 
 def words_of(t: Column) -> Column:
@@ -31,6 +38,23 @@ def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _pieces(sketch: DataFrame, per_level: dict[int, int]) -> list[DataFrame]:
+    """The sketches in pieces of at most some BROADCAST_ROWS: neighbouring size partitions together, large ones cut by id."""
+    groups, rows = [[]], 0
+    for level in sorted(per_level):
+        if groups[-1] and rows + per_level[level] > BROADCAST_ROWS:
+            groups.append([])
+            rows = 0
+        groups[-1].append(level)
+        rows += per_level[level]
+    out = []
+    for levels in groups:
+        own = sketch.where(F.col("level").isin(levels)).select("item_id", "h")
+        cuts = -(-2 * sum(per_level[x] for x in levels) // BROADCAST_ROWS) if sum(per_level[x] for x in levels) > BROADCAST_ROWS else 1
+        out += [own.where(F.pmod(F.xxhash64("item_id"), F.lit(cuts)) == k) for k in range(cuts)] if cuts > 1 else [own]
+    return out
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n_words: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, n_shingles, n_found, containment.
 
@@ -48,7 +72,10 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n_words
     n_grams = grams.count()
     of_item = grams.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_shingles"), F.sort_array(F.collect_list("h")).alias("hs"))
     needed = F.ceil(F.col("n_shingles") * threshold - 1e-9)
-    sketch = of_item.select("item_id", F.explode(F.slice("hs", F.lit(1), (F.col("n_shingles") - needed + 1).cast("int"))).alias("h"))
+    level = F.floor(F.log2(F.col("n_shingles"))).cast("int")
+    sketch = of_item.select("item_id", level.alias("level"), F.explode(F.slice("hs", F.lit(1), (F.col("n_shingles") - needed + 1).cast("int"))).alias("h"))
+    sketch = cut(sketch)
+    per_level = {r["level"]: r["rows"] for r in sketch.groupBy("level").agg(F.count(F.lit(1)).alias("rows")).collect()}  # some tens of rows
 
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
@@ -57,7 +84,12 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n_words
         every = F.concat(*[_runs(F.col("w"), n) for n in sizes]) if len(sizes) > 1 else _runs(F.col("w"), sizes[0])
         return w.select("doc_id", F.explode(wrap(every)).alias("h"))
 
-    found = exploded(texts).join(_maybe_broadcast(sketch, n_grams), "h").select("doc_id", "item_id").distinct()
+    pieces = _pieces(sketch, per_level)
+    shingled = exploded(texts)
+    if len(pieces) > PIECES:
+        found = shingled.join(sketch, "h").select("doc_id", "item_id").distinct()
+    else:
+        found = reduce(DataFrame.unionByName, [shingled.join(F.broadcast(p), "h").select("doc_id", "item_id") for p in pieces]).distinct()
     candidates = cut(found)
     ids = candidates.select("doc_id").distinct()
     chosen = texts.join(_maybe_broadcast(ids, ids.count()), "doc_id", "left_semi")

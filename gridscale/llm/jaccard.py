@@ -21,15 +21,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut, join_counted, partitions, text_of
+from .common import arrow_rows, cut, join_counted, join_few, partitions, text_of
 from .components import components
 from .words import Words, shingles
 
-BLOCK, MOST = 512, 8192
+BLOCK, MOST = 256, 8192
 #: Shingles of a block, and of a slice of the hash range that is counted at a time.
 BLOCK_GRAMS, SLICE = 2_000_000, 1_000_000
-#: Up to so many classes to verify, their ids are broadcast to filter the second reading of the texts.
+#: Up to so many ids or hashes of documents are broadcast.
 BROADCAST_IDS = 1_000_000
+#: Up to so many classes are broadcast with their band hashes.
+BROADCAST_BANDS = 100_000
 
 
 def bands_and_rows(threshold: float, recall: float = 0.99999, most: int = 192) -> tuple[int, int]:
@@ -65,8 +67,10 @@ def _sketch(n_words: int, bands: int, rows: int):
 
 def _sets(n_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for b in batches:
+        words, seen = Words(), set()
+        for b in batches:  # a row said again gives the same set
+            b = b[~b["node"].isin(seen)].drop_duplicates("node")
+            seen.update(b["node"])
             yield pd.DataFrame({"node": b["node"], "grams": [shingles(words.of(t), n_words).tobytes() for t in b["text"]]})
 
     return run
@@ -115,6 +119,7 @@ def _shared_slice(sets: list[np.ndarray]) -> np.ndarray:
 
 def _links(g: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links of one pair of blocks: for each class the documents it links to, and a root it is linked with."""
+    g = g.drop_duplicates("node")
     first, last = int(g["b1"].iloc[0]), int(g["b2"].iloc[0])
     band = int(g["band"].iloc[0])
     sets = [np.frombuffer(x, dtype=np.uint64) for x in g["grams"]]
@@ -192,17 +197,18 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, id_c
     buckets = cut(spread.groupBy("key").agg(F.min("node").alias("root"), F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams_all")).where("n > 1"))
     stars = cut(join_counted(spread, buckets.select("key", "root", "n"), "key", "n").select("node", "n_grams", "band", "key", "root"))
     comp = cut(components(stars.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    size = comp.join(classes.select("node", "n_grams"), "node").groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams_all"))
-    sized = cut(join_counted(comp, cut(size), "component", "m"))
-    small = sized.where(F.col("m") <= MOST).select(F.col("component").alias("gid"), F.lit(-1).alias("band"), "node", "m", "grams_all")
-    wide = stars.join(sized.where(F.col("m") > MOST).select("node"), "node").select("key", "band", "node")
-    wide = join_counted(wide, buckets.select("key", F.col("n").alias("m"), "grams_all"), "key", "m").select(F.col("key").alias("gid"), "band", "node", "m", "grams_all")
-    members = small.unionByName(wide)
-
-    chosen = sized.select("node").join(classes.select("node", "class_id", "h"), "node").select(F.col("class_id").alias("doc_id"), "h", "node")
-    picked = known.join(F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen, ["doc_id", "h"])
-    sets = picked.select("node", "text").mapInPandas(_sets(n_words), "node long, grams binary").dropDuplicates(["node"])
-    full = members.join(sets, "node").join(classes.select("node", "copies", "bands"), "node")
+    info = cut(join_few(classes.select("node", "class_id", "h", "copies", "n_grams", "bands"), comp, "node"))
+    size = cut(info.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("grams_all")))
+    sized = cut(join_counted(info, size, "component", "m"))
+    own = ["node", "copies", "bands"]
+    small = sized.where(F.col("m") <= MOST).select(F.col("component").alias("gid"), F.lit(-1).alias("band"), *own, "m", "grams_all")
+    wide = join_few(stars.select("key", "band", "node"), sized.where(F.col("m") > MOST).select(*own), "node", most=BROADCAST_BANDS)
+    wide = join_counted(wide, buckets.select("key", F.col("n").alias("m"), "grams_all"), "key", "m").select(F.col("key").alias("gid"), "band", *own, "m", "grams_all")
+    members = cut(small.unionByName(wide))
+
+    picked = join_few(known, sized.select(F.col("class_id").alias("doc_id"), "h", "node"), ["doc_id", "h"], most=BROADCAST_IDS)
+    sets = picked.select("node", "text").mapInPandas(_sets(n_words), "node long, grams binary")
+    full = join_few(sets, members, "node", most=BROADCAST_BANDS)
     n_blocks = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("grams_all") / BLOCK_GRAMS)).cast("int")
     blocks = full.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     units = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
@@ -213,7 +219,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, n_words: int = 5, id_c
         links = cut(dealt.mapInPandas(_verify(threshold), "node long, links long, root long"))
     n_links = links.groupBy("node").agg(F.sum("links").alias("links"))
     groups = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    told = classes.select("set_key", "node", "class_id", "h", "copies").join(n_links, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    linked = cut(n_links.join(groups, "node"))
+    told = join_few(classes.select("set_key", "node", "class_id", "h", "copies"), linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = cut(told.groupBy("component").agg(F.min(F.struct("class_id", "h")).alias("low"), F.count(F.lit(1)).alias("n")))
     told = cut(join_counted(told, lowest, "component", "n").select("set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "low", "copies"))
     result = join_counted(sketch.select("doc_id", "h", "set_key"), told, "set_key", "copies").select(
