@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridscale.llm.common import cut, load, spread
+from gridscale.llm.common import cut, join_few, load, spread
 from gridscale.llm.decontaminate import contained
 from gridscale.llm.jaccard import BROADCAST_IDS, jaccard_join
 from gridscale.llm.packing import pack
@@ -33,16 +33,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     their own; a row said again is a copy, and one of it stays. Null and empty texts are copies of each other. An
     empty table gives an empty one; columns beyond those of documents are dropped.
     """
-    gone = jaccard_join(docs).where("doc_id is not null and not kept").select("doc_id", F.col("text_hash").alias("_hash")).distinct()
+    gone = cut(jaccard_join(docs).where("doc_id is not null and not kept").select("doc_id", F.col("text_hash").alias("_hash")).distinct())
     rows = docs.select(*COLUMNS).withColumn("_hash", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    few = gone.count() <= BROADCAST_IDS
-    kept = rows.join(F.broadcast(gone) if few else gone, ["doc_id", "_hash"], "left_anti")
+    kept = join_few(rows, gone, ["doc_id", "_hash"], "left_anti", BROADCAST_IDS)
     # of repeated rows of one id and text, which are rare, all are still there
-    again = kept.where("doc_id is not null").groupBy("doc_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "_hash")
-    again = cut(again)
-    few = F.broadcast(again) if again.count() <= BROADCAST_IDS else again
-    once = kept.join(few, ["doc_id", "_hash"], "left_anti")
-    one = kept.join(few, ["doc_id", "_hash"], "left_semi").dropDuplicates(["doc_id", "_hash"])
+    again = cut(kept.where("doc_id is not null").groupBy("doc_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "_hash"))
+    once = join_few(kept, again, ["doc_id", "_hash"], "left_anti", BROADCAST_IDS)
+    one = join_few(kept, again, ["doc_id", "_hash"], "left_semi", BROADCAST_IDS).dropDuplicates(["doc_id", "_hash"])
     return once.unionByName(one).select(*COLUMNS)
 
 
@@ -53,8 +50,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     columns beyond those of documents are dropped.
     """
     found = cut(contained(docs, load(spark, sf_dir, "benchmark")).select("doc_id").distinct())
-    few = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
-    return docs.join(few, "doc_id", "left_anti").select(*COLUMNS)
+    return join_few(docs, found, "doc_id", "left_anti", BROADCAST_IDS).select(*COLUMNS)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
