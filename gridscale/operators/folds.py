@@ -44,3 +44,17 @@ def roles(samples: DataFrame, centres: DataFrame, spans: DataFrame, space_buffer
     close = F.col("t").between(F.col("t0") - time_buffer, F.col("t1") + time_buffer) & ~in_test
     role = F.when(same & in_test, "test").when(close | (near & ~same), "buffer").otherwise("train")
     return samples.crossJoin(F.broadcast(folds)).withColumn("role", role).withColumn("fold", (F.col("fsb") * n_time + F.col("tb") + 1).cast("int"))
+
+
+def composition(samples: DataFrame, centres: DataFrame, spans: DataFrame, space_buffer: float, time_buffer: int) -> DataFrame:
+    """Like ``roles``, with the kind of buffer told apart: where several apply, temporal_buffer overrides
+    spatial_buffer, that overrides test, and that train. The buffers hold no test sample, so both agree on the rest."""
+    x = roles(samples, centres, spans, space_buffer, time_buffer)
+    in_test = F.col("t").between(F.col("t0"), F.col("t1"))
+    close = F.col("t").between(F.col("t0") - time_buffer, F.col("t1") + time_buffer) & ~in_test
+    return x.withColumn("role", F.when(F.col("role") != "buffer", F.col("role")).when(close, "temporal_buffer").otherwise("spatial_buffer"))
+
+
+def with_labels(samples: DataFrame, labels: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples with the block of their coordinates; ``labels`` has a row for each distinct coordinate."""
+    return samples.join(labels, keys, "left")

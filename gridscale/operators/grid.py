@@ -77,3 +77,45 @@ def clip_spread(df: DataFrame, value: str, n_std: float = 3.0) -> DataFrame:
 def hash_sample(df: DataFrame, keys: list[str], n: int, seed: str) -> DataFrame:
     """``n`` rows without replacement, the same for the same keys and seed."""
     return df.orderBy(F.md5(F.concat_ws("-", *[F.col(k).cast("string") for k in keys], F.lit(seed)))).limit(n)
+
+
+def in_any_polygon(points: DataFrame, polygons: list[list[tuple[float, float]]], x: str = "lon", y: str = "lat") -> DataFrame:
+    """``inside`` for each point: whether one of the polygons holds it."""
+    flags = []
+    for k, ring in enumerate(polygons):
+        points = in_polygon(points, edges_of(ring), x, y).withColumnRenamed("inside", f"_in{k}")
+        flags.append(F.col(f"_in{k}"))
+    return points.withColumn("inside", F.greatest(*flags, F.lit(False))).drop(*[f"_in{k}" for k in range(len(polygons))])
+
+
+def aggregation_factor(coarse_step: float, fine_step: float) -> int:
+    """Fine cells along a side of a coarse one."""
+    return round(coarse_step / fine_step)
+
+
+def matched(columns: list[str], wanted: list[str], prefix: str = "soil_") -> dict[str, str]:
+    """Column for each wanted name, in the order wanted: the name itself, or without ``prefix``; names found nowhere are left out."""
+    out = {}
+    for name in wanted:
+        bare = name.removeprefix(prefix)
+        if name in columns or bare in columns:
+            out[name] = name if name in columns else bare
+    return out
+
+
+def base_subset(df: DataFrame, names: list[str], keys: list[str], n: int = 10) -> DataFrame:
+    """Keys and the first ``n`` training features; an error tells which are absent."""
+    absent = [c for c in names[:n] if c not in df.columns]
+    if absent:
+        raise ValueError(f"base features not found: {absent}")
+    return df.select(*keys, *names[:n])
+
+
+def axes(df: DataFrame | None, spark, n_rows: int, n_columns: int, n_months: int, box: tuple[float, float, float, float]) -> DataFrame:
+    """(t, i, j, lat, lon): distinct cells and months of ``df``, or evenly spaced ones over ``box`` where there is none."""
+    if df is not None:
+        return df.select("i", "j", "lat", "lon").distinct().crossJoin(F.broadcast(df.select("t").distinct()))  # the month axis
+    line = lambda n, name: spark.range(n).select(F.col("id").cast("int").alias(name))
+    grid = line(n_rows, "i").crossJoin(F.broadcast(line(n_columns, "j"))).crossJoin(F.broadcast(line(n_months, "t")))
+    at = lambda k, n, lo, hi: F.lit(lo) + F.col(k) * ((hi - lo) / max(n - 1, 1))
+    return grid.select("t", "i", "j", at("i", n_rows, box[0], box[1]).alias("lat"), at("j", n_columns, box[2], box[3]).alias("lon"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import RobustScaler, VectorAssembler
+from pyspark.ml.feature import RobustScaler, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,25 +13,65 @@ from pyspark.sql.window import Window
 from .metrics import regression
 
 
+#: Families, and the parameters each starts from.
+DEFAULTS = {
+    "rf": {"numTrees": 20, "maxDepth": 6},
+    "gbr": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2},
+    "xgb": {"maxIter": 12, "maxDepth": 5, "stepSize": 0.2, "subsamplingRate": 0.8},
+    "lgb": {"maxIter": 12, "maxDepth": 4, "stepSize": 0.25, "featureSubsetStrategy": "onethird"},
+    "catb": {"maxIter": 10, "maxDepth": 6, "stepSize": 0.15},
+    "linear": {"regParam": 0.01},
+    "nn": {"rounds": 20, "rate": 0.08},
+    "svr": {"rounds": 20, "rate": 0.08},
+}
+
+
 def regressor(name: str, **params):
-    """An estimator by family name; tree boosters of all kinds map to Spark's gradient-boosted trees."""
+    """A tree or linear estimator by family name; boosters of all kinds map to Spark's gradient-boosted trees, each
+    with its own defaults, which ``params`` override."""
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-    common = {"featuresCol": "features", "labelCol": "y", "predictionCol": "prediction"}
-    if name == "rf":
-        return RandomForestRegressor(**common, seed=42, **{"numTrees": 20, "maxDepth": 6, **params})
-    if name in ("gbr", "xgb", "lgb", "catb"):
-        return GBTRegressor(**common, seed=42, **{"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, **params})
-    if name == "linear":
-        return LinearRegression(**common, **{"regParam": 0.01, **params})
-    raise ValueError(f"no model named {name}")
+    kinds = {"rf": RandomForestRegressor, "gbr": GBTRegressor, "xgb": GBTRegressor, "lgb": GBTRegressor, "catb": GBTRegressor, "linear": LinearRegression}
+    if name not in kinds:
+        raise ValueError(f"no model named {name}")
+    seed = {} if name == "linear" else {"seed": 42}
+    return kinds[name](featuresCol="features", labelCol="y", predictionCol="prediction", **seed, **{**DEFAULTS[name], **params})
+
+
+class Descent:
+    """A network or an epsilon-insensitive fit as an estimator; it scales its features itself."""
+
+    def __init__(self, name: str, features: list[str], rounds: int, rate: float):
+        self.name, self.features, self.rounds, self.rate = name, features, rounds, rate
+
+    def fit(self, table: DataFrame):
+        from .gradient import Network, svr
+
+        model = Network(self.features) if self.name == "nn" else svr(self.features)
+        return model.fit(table.dropna(subset=[*self.features, "y"]), rounds=self.rounds, rate=self.rate)
 
 
-def pipeline(name: str, features: list[str], **params) -> Pipeline:
-    """Rows with a missing feature are skipped; the linear model is scaled by median and quartiles."""
-    if name != "linear":
+def pipeline(name: str, features: list[str], scaling: str | None = None, **params):
+    """Rows with a missing feature are skipped. ``scaling`` is robust (median and quartiles, the linear model's own),
+    standard (mean and deviation) or None; networks and epsilon-insensitive fits scale by themselves."""
+    if name in ("nn", "svr"):
+        return Descent(name, features, **{**DEFAULTS[name], **params})
+    scaling = scaling or ("robust" if name == "linear" else None)
+    if scaling is None:
         return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip"), regressor(name, **params)])
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), RobustScaler(inputCol="raw", outputCol="features", withCentering=True), regressor(name, **params)])
+    scaler = RobustScaler(inputCol="raw", outputCol="features", withCentering=True) if scaling == "robust" else StandardScaler(inputCol="raw", outputCol="features", withMean=True)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw", handleInvalid="skip"), scaler, regressor(name, **params)])
+
+
+def trained(table: DataFrame, features: list[str], models: list[str], tuned: dict[str, dict] | None = None, scaling: str | None = None) -> tuple[dict, dict[str, str]]:
+    """Fitted models by name, with tuned parameters where there are some, and what went wrong with those that failed."""
+    done, failed = {}, {}
+    for name in models:
+        try:
+            done[name] = pipeline(name, features, scaling, **(tuned or {}).get(name, {})).fit(table)
+        except Exception as e:  # one model that cannot be fitted must not stop the others
+            failed[name] = str(e).split("\n")[0]
+    return done, failed
 
 
 def hash_split(df: DataFrame, keys: list[str], share: float, seed: int = 42) -> Column:
@@ -50,18 +90,26 @@ def simple_validation(table: DataFrame, features: list[str], models: list[str],
     return reduce(DataFrame.unionByName, out)
 
 
-def blocked_validation(with_roles: DataFrame, features: list[str], models: list[str]) -> DataFrame:
-    """Metrics by model and fold of a table with ``fold`` and ``role``; a fold without rows on a side is skipped."""
+def blocked_validation(with_roles: DataFrame, features: list[str], models: list[str], tuned: dict[str, dict] | None = None, workers: int = 4) -> DataFrame:
+    """Metrics by model and fold of a table with ``fold`` and ``role``; a fold without rows on a side is skipped, and so
+    is a model that cannot be fitted on it. Up to ``workers`` fits run at a time, each a set of Spark jobs."""
+    from concurrent.futures import ThreadPoolExecutor
+
     sizes = with_roles.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "test").alias("n_test")).orderBy("fold").collect()
-    out = []
-    for s in sizes:
-        if s.n_train and s.n_test:
-            own = with_roles.where(F.col("fold") == s.fold)
-            for name in models:
-                fitted = pipeline(name, features).fit(own.where("role = 'train'"))
-                m = regression(fitted.transform(own.where("role = 'test'")), "y", "prediction", [])
-                out.append(m.select(F.lit(name).alias("model"), F.lit(s.fold).alias("fold"), F.lit(s.n_train).alias("n_train"), F.lit(s.n_test).alias("n_test"), "r2", "rmse", "mae"))
-    return reduce(DataFrame.unionByName, out)
+
+    def one(task: tuple) -> list[tuple]:
+        name, s = task
+        own = with_roles.where(F.col("fold") == s.fold)
+        done, _ = trained(own.where("role = 'train'"), features, [name], tuned)
+        if not done:
+            return []
+        m = regression(done[name].transform(own.where("role = 'test'")), "y", "prediction", []).first()
+        return [(name, s.fold, s.n_train, s.n_test, m.r2, m.rmse, m.mae)]
+
+    tasks = [(name, s) for s in sizes if s.n_train and s.n_test for name in models]
+    with ThreadPoolExecutor(workers) as pool:
+        rows = [r for got in pool.map(one, tasks) for r in got]  # a row for each fold and model
+    return with_roles.sparkSession.createDataFrame(rows, "model string, fold int, n_train long, n_test long, r2 double, rmse double, mae double")
 
 
 def weights(summary: DataFrame, score: str, inverse: bool = False, floor: float = 0.05) -> DataFrame:

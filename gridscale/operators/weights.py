@@ -97,6 +97,65 @@ def within(cells: DataFrame, centres: DataFrame, radius: float, power: float = 1
     return w.join(total, ["i", "j"]).withColumn("w", F.col("w") / F.col("s")).drop("s")
 
 
+def _index_axis(cells: DataFrame, index: str, out: str, w: str, place: Column, n: int, method: str) -> DataFrame:
+    """Weights of one axis whose lines lie at ``place`` among ``n`` source lines; nothing outside them."""
+    x = axis(cells, index).withColumn("_x", place).where(F.col("_x").between(0, n - 1))
+    if method == "nearest":
+        return x.select(index, F.ceil(F.col("_x") - 0.5).cast("int").alias(out), F.lit(1.0).alias(w))
+    low = F.least(F.floor("_x"), F.lit(max(n - 2, 0))).cast("int")
+    f = F.col("_x") - low
+    if method == "bilinear":
+        taps = [(0, 1 - f), (1, f)]
+    else:
+        taps = list(zip((-1, 0, 1, 2), (-0.5 * f + f * f - 0.5 * f**3, 1 - 2.5 * f * f + 1.5 * f**3, 0.5 * f + 2 * f * f - 1.5 * f**3, -0.5 * f * f + 0.5 * f**3), strict=True))
+    some = F.array(*[F.struct(F.greatest(F.least(low + k, F.lit(n - 1)), F.lit(0)).alias(out), v.alias(w)) for k, v in taps])
+    return x.select(index, F.explode(some).alias("p")).select(index, "p.*").groupBy(index, out).agg(F.sum(w).alias(w)).where(F.col(w) != 0)
+
+
+def at_places(cells: DataFrame, places: tuple[Column, Column], n_rows: int, n_columns: int, method: str = "bilinear") -> DataFrame:
+    """Weights of source lines for ``cells`` (i, j) that lie at ``places`` (columns of i and of j) in the source's index space."""
+    return _product(cells, _index_axis(cells, "i", "ci", "wi", places[0], n_rows, method), _index_axis(cells, "j", "cj", "wj", places[1], n_columns, method))
+
+
+def refine(coarse_cells: DataFrame, factor: int, n_rows: int, n_columns: int, method: str = "bilinear") -> DataFrame:
+    """Weights of a grid ``factor`` times as fine whose first and last lines lie on those of the coarse one."""
+    spark = coarse_cells.sparkSession
+    lines = lambda n, name: spark.range(n * factor).select(F.col("id").cast("int").alias(name))
+    cells = lines(n_rows, "i").crossJoin(F.broadcast(lines(n_columns, "j")))  # the new grid itself
+    place = lambda name, n: F.col(name) * ((n - 1) / (n * factor - 1))
+    return at_places(cells, (place("i", n_rows), place("j", n_columns)), n_rows, n_columns, method)
+
+
+def smoothed(table: DataFrame, cells: DataFrame, n_rows: int, n_columns: int, sigma: float = 1.0) -> DataFrame:
+    """The weights of ``table`` followed by a Gaussian pass over its cells, which skips cells without weights; like the
+    table itself they don't depend on time, so smoothing costs nothing for each month."""
+    import math
+
+    radius = int(4 * sigma + 0.5)
+    raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-radius, radius + 1)]
+    taps = F.array(*[F.struct(F.lit(k - radius).alias("k"), F.lit(v / sum(raw)).alias("g")) for k, v in enumerate(raw)])
+    w = table.select("i", "j", "ci", "cj", "w")
+    mass = cells.select("i", "j").distinct().join(table.select("i", "j").distinct().withColumn("m", F.lit(1.0)), ["i", "j"], "left").select("i", "j", F.coalesce("m", F.lit(0.0)).alias("m"))
+    for index, n in (("i", n_rows), ("j", n_columns)):
+        other = "j" if index == "i" else "i"
+        to = cells.select("i", "j").distinct().select("i", "j", F.explode(taps).alias("p")).select("i", "j", "p.g", _mirror(F.col(index) + F.col("p.k"), n).alias("_from"))
+        moved = w.select(other, F.col(index).alias("_from"), "ci", "cj", "w")
+        w = to.join(moved, [other, "_from"]).groupBy("i", "j", "ci", "cj").agg(F.sum(F.col("g") * F.col("w")).alias("w"))
+        mass = to.join(mass.select(other, F.col(index).alias("_from"), "m"), [other, "_from"]).groupBy("i", "j").agg(F.sum(F.col("g") * F.col("m")).alias("m"))
+    own = table.select("i", "j").distinct()
+    return w.join(mass, ["i", "j"]).join(own, ["i", "j"]).select("i", "j", "ci", "cj", (F.col("w") / F.col("m")).alias("w"))
+
+
+def apply_all(tables: dict[str, DataFrame], coarse: DataFrame, value: str, out: str) -> DataFrame:
+    """(method, t, i, j, out) for the weight tables of several methods: one table, one join, one aggregation."""
+    from functools import reduce
+
+    every = reduce(DataFrame.unionByName, [t.select(F.lit(m).alias("method"), "i", "j", "ci", "cj", "w") for m, t in tables.items()])
+    size = every.groupBy("method", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    x = every.join(coarse.select("t", "ci", "cj", value), ["ci", "cj"]).groupBy("method", "t", "i", "j").agg(F.sum(F.col("w") * F.col(value)).alias("s"), F.count(value).alias("known"))
+    return x.join(size, ["method", "i", "j"]).select("method", "t", "i", "j", F.when(F.col("known") == F.col("n"), F.col("s")).alias(out))
+
+
 def apply(weights: DataFrame, coarse: DataFrame, value: str, out: str) -> DataFrame:
     """(t, i, j, out): the weighted sum; null where a coarse value that has a weight is missing."""
     size = weights.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"))

@@ -57,6 +57,57 @@ def save_metrics(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)  # metric tables have a few rows
 
 
+def save_tuned(best: DataFrame, path: str) -> None:
+    """Best parameters (model, value, params) as JSON lines, one for each model."""
+    best.select("model", "value", "params").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_tuned(spark: SparkSession, path: str | None) -> dict[str, dict[str, str]]:
+    """Tuned parameters by model; empty where none were saved."""
+    if not path:
+        return {}
+    try:
+        saved = spark.read.schema("model string, value double, params map<string,string>").json(path)
+        return {r.model: r.params for r in saved.collect()}  # a row for each model
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return {}
+
+
+def with_tuned(defaults: dict[str, dict], tuned: dict[str, dict]) -> dict[str, dict]:
+    """Parameters by model: the tuned ones where there are some, over the defaults."""
+    return {m: {**p, **tuned.get(m, {})} for m, p in defaults.items()} | {m: p for m, p in tuned.items() if m not in defaults}
+
+
+def catalogue(files: DataFrame, months: DataFrame, first_year: int) -> DataFrame:
+    """(source, variable, t, file) for every source, variable and month: ``files`` (source, variable, file) by the month
+    of their names, on the month spine (t); the file of an absent month is null."""
+    named = files.withColumn("t", month_of_name(F.col("file"), first_year)).where("t is not null").groupBy("source", "variable", "t").agg(F.max("file").alias("file"))
+    spine = files.select("source", "variable").distinct().crossJoin(F.broadcast(months.select("t").distinct()))  # the month axis
+    return spine.join(named, ["source", "variable", "t"], "left")
+
+
+def save_run_info(spark: SparkSession, path: str, title: str, step: str, seed: int) -> None:
+    """A row that tells what wrote a table: title, step, date and seed."""
+    spark.range(1).select(F.lit(title).alias("title"), F.lit(step).alias("step"), F.current_date().alias("date"), F.lit(seed).alias("seed")).write.mode("append").parquet(path)
+
+
+def save_cv(results: DataFrame, path: str) -> None:
+    """Fold results as one CSV file for each model, under the model's name."""
+    results.repartition("model").write.mode("overwrite").partitionBy("model").csv(path, header=True)
+
+
+def months_stored(spark: SparkSession, path: str, expected: int, share: float = 0.95) -> bool:
+    """Whether the table at ``path`` has enough of the expected months to be used again."""
+    try:
+        return spark.read.parquet(path).select("t").distinct().count() >= share * expected
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return False
+
+
 def save_models(models: dict, path: str, ensemble: DataFrame | None = None) -> None:
     for name, model in models.items():
         model.write().overwrite().save(f"{path}/{name}")
