@@ -78,7 +78,10 @@ def _axes(body: str) -> str:
     return f"ri AS ({a}), rj AS ({b}), w AS (SELECT cells.i, cells.j, ci, cj, wi*wj AS w FROM cells JOIN ri USING (i) JOIN rj USING (j))"
 
 
-_APPLY = "SELECT t, i, j, CASE WHEN count(value) = any_value(n) THEN round(sum(w*value) + 3e-8, 6) END AS value FROM w JOIN coarse USING (ci, cj) JOIN (SELECT i, j, count(*) AS n FROM w GROUP BY i, j) USING (i, j) GROUP BY t, i, j"
+#: Rounded to what the order of a sum of some 5e4 each cannot change, after a shift that no short decimal has as its half.
+_APPLY = "SELECT t, i, j, CASE WHEN count(value) = any_value(n) THEN round(sum(w*value) + 1.2345678e-6, 2) END AS value FROM w JOIN coarse USING (ci, cj) JOIN (SELECT i, j, count(*) AS n FROM w GROUP BY i, j) USING (i, j) GROUP BY t, i, j"
+#: The same without rounding, for what works on with it.
+_PLAIN = _APPLY.replace("round(sum(w*value) + 1.2345678e-6, 2)", "sum(w*value)")
 _P = "({x}-2)/5.0::DOUBLE"
 _LOW = f"least(floor({_P}), 2)"
 BILINEAR = _axes(f"SELECT {{x}}, CAST({_LOW} AS INT)+k AS {{c}}, CASE WHEN k=0 THEN 1-({_P}-{_LOW}) ELSE {_P}-{_LOW} END AS {{w}} FROM (SELECT DISTINCT {{x}} FROM cells), (SELECT unnest([0,1]) AS k) WHERE {{x}} BETWEEN 2 AND 17")
@@ -105,7 +108,7 @@ def _table(spark, sf, method: str):
 
 def _to_fine(method: str):
     def run(spark, sf):
-        return weights.apply(_table(spark, sf, method), _coarse(spark, sf), "value", "value").select("t", "i", "j", F.round(F.col("value") + 3e-8, 6).alias("value"))
+        return weights.apply(_table(spark, sf, method), _coarse(spark, sf), "value", "value").select("t", "i", "j", F.round(F.col("value") + 1.2345678e-6, 2).alias("value"))
 
     return run
 
@@ -135,10 +138,10 @@ def smooth(spark, sf):
     return weights.gaussian(signal(spark, sf), "value", "v", SIDE, SIDE).select("t", "i", "j", r6("v", "value"))
 
 
-@book.add("grd09_gaussian_kernel", sql("SELECT t, i, j, CASE WHEN b.value IS NOT NULL AND m > 0 THEN round(v/m + 1e-7, 6) END AS value FROM s2 JOIN bi b USING (t, i, j)", BILINEAR, f"bi AS ({_APPLY})", _smooth_sql("bi")))
+@book.add("grd09_gaussian_kernel", sql("SELECT t, i, j, CASE WHEN b.value IS NOT NULL AND m > 0 THEN round(v/m + 1.2345678e-6, 2) END AS value FROM s2 JOIN bi b USING (t, i, j)", BILINEAR, f"bi AS ({_PLAIN})", _smooth_sql("bi")))
 def gaussian_kernel(spark, sf):
-    b = weights.apply(_table(spark, sf, "bilinear"), _coarse(spark, sf), "value", "value").withColumn("value", near("value", 6))
-    return weights.gaussian(b, "value", "v", SIDE, SIDE, restore_nulls=True).select("t", "i", "j", r6("v", "value"))
+    b = weights.apply(_table(spark, sf, "bilinear"), _coarse(spark, sf), "value", "value")
+    return weights.gaussian(b, "value", "v", SIDE, SIDE, restore_nulls=True).select("t", "i", "j", F.round(F.col("v") + 1.2345678e-6, 2).alias("value"))
 
 
 def _sobel(source: str, out: str, v: str) -> str:
@@ -160,11 +163,8 @@ def _corrected(spark, sf):
     """Fine predictions plus the coarse residual carried down by each method."""
     fine = observed(spark, sf).select("t", "i", "j", "value", (F.col("pr") * 100).alias("predicted"))
     c = coarsen(fine, FACTOR, {"value": "mean", "predicted": "mean"}, SIDE, SIDE).withColumn("residual", F.col("value") - F.col("predicted"))
-    out = None
-    for m in METHODS:
-        r = weights.apply(_table(spark, sf, m), c, "residual", "correction")
-        x = fine.join(r, ["t", "i", "j"]).select(F.lit(m).alias("method"), "t", "i", "j", "predicted", "correction", (F.col("predicted") + F.col("correction")).alias("corrected"))
-        out = x if out is None else out.unionByName(x)
+    r = weights.apply_all({m: _table(spark, sf, m) for m in METHODS}, c, "residual", "correction")
+    out = fine.join(r, ["t", "i", "j"]).select("method", "t", "i", "j", "predicted", "correction", (F.col("predicted") + F.col("correction")).alias("corrected"))
     return out, c
 
 
@@ -178,9 +178,9 @@ def _corrected_sql() -> list[str]:
     return [*parts, "co AS (" + " UNION ALL ".join(f"SELECT method, t, i, j, predicted, correction, predicted+correction AS corrected FROM fp JOIN c_{m} USING (t, i, j)" for m in METHODS) + ")"]
 
 
-@book.add("grd12_all_methods", sql("SELECT method, t, i, j, round(correction + 1e-7, 6) AS correction FROM co", *_corrected_sql()))
+@book.add("grd12_all_methods", sql("SELECT method, t, i, j, round(correction + 1.2345678e-6, 2) AS correction FROM co", *_corrected_sql()))
 def all_methods(spark, sf):
-    return _corrected(spark, sf)[0].select("method", "t", "i", "j", r6("correction"))
+    return _corrected(spark, sf)[0].select("method", "t", "i", "j", F.round(F.col("correction") + 1.2345678e-6, 2).alias("correction"))
 
 
 _SCORES = "sc AS (SELECT method, count(*) AS n, 1-sum((value-p)**2)/any_value(v) AS r2, sqrt(avg((value-p)**2)) AS rmse, avg(abs(value-p)) AS mae, avg(p-value) AS bias FROM (SELECT method, value, p, sum((value-m)**2) OVER (PARTITION BY method) AS v FROM (SELECT method, cr.value, p, avg(cr.value) OVER (PARTITION BY method) AS m FROM (SELECT method, t, i//5 AS ci, j//5 AS cj, avg(corrected) AS p FROM co GROUP BY 1,2,3,4 HAVING avg(corrected) IS NOT NULL) JOIN cr USING (t, ci, cj))) GROUP BY method)"
@@ -204,4 +204,7 @@ def best_method(spark, sf):
 
 @book.add("prj10_corrected_product", sql("SELECT t, i, j, round(predicted + 1e-7, 6) AS predicted_uncorrected, round(correction + 1e-7, 6) AS residual_correction, round(corrected + 1e-7, 6) AS downscaled FROM co WHERE method = 'geographic'", *_corrected_sql()))
 def corrected_product(spark, sf):
-    return _corrected(spark, sf)[0].where("method = 'geographic'").select("t", "i", "j", r6("predicted", "predicted_uncorrected"), r6("correction", "residual_correction"), r6("corrected", "downscaled"))
+    fine = observed(spark, sf).select("t", "i", "j", "value", (F.col("pr") * 100).alias("predicted"))
+    c = coarsen(fine, FACTOR, {"value": "mean", "predicted": "mean"}, SIDE, SIDE).withColumn("residual", F.col("value") - F.col("predicted"))
+    x = fine.join(weights.apply(_table(spark, sf, "geographic"), c, "residual", "correction"), ["t", "i", "j"]).withColumn("corrected", F.col("predicted") + F.col("correction"))
+    return x.select("t", "i", "j", r6("predicted", "predicted_uncorrected"), r6("correction", "residual_correction"), r6("corrected", "downscaled"))

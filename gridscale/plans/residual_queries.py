@@ -99,9 +99,9 @@ CO = [
 ]
 
 
-@book.add("grd12_eight_methods", sql(told_sql("SELECT method, t, i, j, correction FROM co", "correction", "method t i j"), *CO))
+@book.add("grd12_eight_methods", sql(told_sql("SELECT method, t, i, j, correction FROM co", "correction", "method t i j", 2), *CO))
 def eight_methods(spark, sf):
-    return told(corrected(spark, sf)[0].select("method", "t", "i", "j", "correction"))
+    return told(corrected(spark, sf)[0].select("method", "t", "i", "j", "correction"), 2)
 
 
 _PAIRS = "pa AS (SELECT method, t, ci, cj, cr.value, before, after FROM (SELECT method, t, i//5 AS ci, j//5 AS cj, avg(predicted) AS before, avg(corrected) AS after FROM co GROUP BY 1, 2, 3, 4) JOIN cr USING (t, ci, cj) WHERE cr.value IS NOT NULL AND before IS NOT NULL AND after IS NOT NULL)"
@@ -114,12 +114,12 @@ def pairs(spark, sf):
     return p.join(c.select("t", "ci", "cj", "value"), ["t", "ci", "cj"]).dropna(subset=["value", "before", "after"])
 
 
-@book.add("join06_before_after", sql(told_sql("SELECT method, t, ci, cj, value, before, after FROM pa WHERE t IN (SELECT t FROM (SELECT DISTINCT t FROM pa) ORDER BY t LIMIT 20)", "value before after", "method t ci cj"), *CO, _PAIRS))
+@book.add("join06_before_after", sql(told_sql("SELECT method, t, ci, cj, value, before, after FROM pa WHERE t IN (SELECT t FROM (SELECT DISTINCT t FROM pa) ORDER BY t LIMIT 20)", "value before after", "method t ci cj", 2), *CO, _PAIRS))
 def before_after(spark, sf):
     """The first 20 common months, as the pairing of several methods takes."""
     p = pairs(spark, sf)
     months = p.select("t").distinct().orderBy("t").limit(20)
-    return told(p.join(F.broadcast(months), "t").select("method", "t", "ci", "cj", "value", "before", "after"))
+    return told(p.join(F.broadcast(months), "t").select("method", "t", "ci", "cj", "value", "before", "after"), 2)
 
 
 _M = "SELECT method, count(*) AS n, 1-sum((value-{p})**2)/any_value(v) AS r2, sqrt(avg((value-{p})**2)) AS rmse, avg(abs(value-{p})) AS mae, avg({p}-value) AS bias FROM pa JOIN (SELECT method, var_pop(value)*count(*) AS v FROM pa GROUP BY method) USING (method) GROUP BY method"
