@@ -28,7 +28,7 @@ from .common import arrow_rows, cut, text_of
 #: Labelled documents that the fit uses at most.
 SAMPLE = 4000
 #: Bytes that these have together at most; in the order of the hash, what comes after goes.
-SAMPLE_BYTES = 32_000_000
+SAMPLE_BYTES = 16_000_000
 #: In the fit, longer documents are several chains of so many lines, all of which count.
 CHAIN = 256
 LEAST = 0.3
@@ -181,8 +181,10 @@ def fit(texts: list[str], labels: np.ndarray, rounds: int = 150, rate: float = 0
     """Maximum conditional likelihood when every line takes its document's label, by Adam over all documents."""
     if len(texts) == 0:
         return Model(np.zeros(3 * N_OWN + 3), np.zeros((2, 2)), 1.0, 0.0)
-    own, length, n_lines = line_features(texts)
+    # slice by slice, for the features of a line take some twenty times its bytes while they are made
+    own, length, n_lines = (np.concatenate(v) for v in zip(*map(line_features, _slices(texts)), strict=True))
     x = chain_features(own, n_lines)
+    del own
     parts = chains(n_lines)
     n_parts = -(-n_lines // CHAIN)
     y = np.repeat(labels, n_parts).astype(float)
@@ -211,17 +213,21 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def score(model: Model, texts: list[str]) -> np.ndarray:
-    """Scores of all texts, worked out some ``SLICE`` characters at a time."""
-    out, a = [], 0
+def _slices(texts: list[str]) -> Iterator[list[str]]:
+    """The texts, some ``SLICE`` characters at a time."""
+    a = 0
     while a < len(texts):
         b, size = a, 0
         while b < len(texts) and (b == a or size + len(texts[b]) <= SLICE):
             size += len(texts[b])
             b += 1
-        out.append(_score(model, texts[a:b]))
+        yield texts[a:b]
         a = b
-    return np.concatenate(out) if out else np.zeros(0)
+
+
+def score(model: Model, texts: list[str]) -> np.ndarray:
+    """Scores of all texts, worked out slice by slice."""
+    return np.concatenate([_score(model, some) for some in _slices(texts)]) if texts else np.zeros(0)
 
 
 def _score(model: Model, texts: list[str]) -> np.ndarray:
