@@ -108,18 +108,22 @@ def search(spark, sf):
     return out
 
 
+#: Samples that are explained, and background rows they are held against, at most; a sampling operator by its nature.
+EXPLAINED, BACKGROUND = 1000, 100
+
+
 def _explained(spark, sf):
     x = training(spark, sf).cache()
     model = train.pipeline("rf", FEATURES, numTrees=10, maxDepth=5).fit(x)
     keyed = x.withColumn("sample_id", F.concat_ws("-", "t", "i", "j"))
-    samples = keyed.orderBy(F.md5("sample_id")).limit(100)
-    background = x.orderBy(F.md5(F.concat_ws("-", "t", "i", "j", F.lit("b")))).limit(8)
+    samples = keyed.orderBy(F.md5("sample_id")).limit(EXPLAINED)
+    background = x.orderBy(F.md5(F.concat_ws("-", "t", "i", "j", F.lit("b")))).limit(BACKGROUND)
     return model, samples, background
 
 
 @book.add("xai01_attributions")
 def attributions(spark, sf):
-    return attribute.shapley(*_explained(spark, sf), FEATURES)[0]
+    return attribute.shapley(*_explained(spark, sf), FEATURES, rounds=BACKGROUND)[0]
 
 
 @book.add("xai02_interactions")
