@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-#: Rows of a few numbers each that may be broadcast.
-SMALL = 500_000
+#: Rows of a few numbers each that may be broadcast; some MB, for a driver holds many such tables in the course of a job.
+SMALL = 40_000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,9 +29,9 @@ BLOCK, MOST = 256, 8192
 #: Shingles of a block, and of a slice of the hash range that is counted at a time.
 BLOCK_GRAMS, SLICE = 2_000_000, 1_000_000
 #: Up to so many ids or hashes of documents are broadcast.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 #: Up to so many classes are broadcast with their band hashes.
-BROADCAST_BANDS = 100_000
+BROADCAST_BANDS = 40_000
 
 
 def bands_and_rows(threshold: float, recall: float = 0.99999, most: int = 192) -> tuple[int, int]:

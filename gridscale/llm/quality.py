@@ -28,7 +28,7 @@ from .common import arrow_rows, cut, text_of
 #: Labelled documents that the fit uses at most.
 SAMPLE = 4000
 #: Bytes that these have together at most; in the order of the hash, what comes after goes.
-SAMPLE_BYTES = 16_000_000
+SAMPLE_BYTES = 8_000_000
 #: In the fit, longer documents are several chains of so many lines, all of which count.
 CHAIN = 256
 LEAST = 0.3

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from gridscale.llm import jaccard
+from gridscale.llm import common, jaccard
 from gridscale.llm.components import components
 from gridscale.llm.words import WORD
 
@@ -85,6 +85,13 @@ def components_of(rows):
     return [Row(v[2]) for v in brute([(k, t) for k, (_, t) in enumerate(rows)]).values()]
 
 
+def test_hubs_and_shuffled_joins(spark, monkeypatch):
+    monkeypatch.setattr(common, "SMALL", 10)
+    rows = near(150, seed=12) + [(1000 + i, near(1)[0][1]) for i in range(200)]
+    got = {r.doc_id: (r.class_id, r.n_links, r.group_id) for r in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "x " * 100000)], "doc_id long, text string")
     assert {(r.doc_id, r.n_links) for r in jaccard.jaccard_join(docs).collect()} == {(None, 0), (1, 0)}
