@@ -223,3 +223,23 @@ def steps_of_the_job(spark, sf):
     steps.run(job)
     told = job.read("bake_off").select(F.col("method").alias("product"), "n", "r2", "rmse", "mae")
     return told.unionByName(job.read("metrics").select(F.col("stage").alias("product"), "n", "r2", "rmse", "mae"))
+
+
+@book.add("join14_block_labels", sql("SELECT t, i, j, CAST((i//10)*2+j//10 AS INT) AS block FROM fine"))
+def block_labels(spark, sf):
+    """The label of each distinct coordinate, brought back to all samples."""
+    x = observed(spark, sf).select("t", "i", "j")
+    labels = x.select("i", "j").distinct().withColumn("block", (F.floor(F.col("i") / 10) * 2 + F.floor(F.col("j") / 10)).cast("int"))
+    return folds.with_labels(x, labels, ["i", "j"])
+
+
+@book.add("ts08_fill_run")
+def fill_all(spark, sf):
+    """Irregular observations brought to months, every cell filled, and how each kind of fill went."""
+    from ..operators import grid, series
+    from ..sources.bind import month_index
+
+    x = read(spark, sf, "lineitem").select((F.col("l_partkey") % SIDE).cast("int").alias("i"), (F.floor(F.col("l_partkey") / SIDE) % SIDE).cast("int").alias("j"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.col("l_extendedprice").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tie"))
+    monthly = grid.regular_axis(x, ["i", "j"], "ts", "value", "month", "tie").select(month_index(F.col("step")).alias("t"), "i", "j", "value")
+    told = series.stl_fill(monthly).groupBy("i", "j").agg(*[F.first(c).alias(c) for c in ("method", "values_filled", "test_r2", "test_rmse")])
+    return told.groupBy("method").agg(F.count(F.lit(1)).alias("cells"), F.sum("values_filled").alias("values_filled"), F.avg("test_r2").alias("mean_r2"), F.avg("test_rmse").alias("mean_rmse"))

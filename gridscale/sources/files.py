@@ -20,6 +20,16 @@ def with_month(df: DataFrame, first_year: int) -> DataFrame:
     return df.withColumn("t", month_of_name(F.col("_metadata.file_name"), first_year)).where("t is not null")
 
 
+def monthly_cells(rows: DataFrame, first_year: int, months: tuple[int, int], lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
+    """Cells (i, j, lat, lon, value) of monthly files on every month of ``months``: rows of files without a month in
+    their name or outside are left out, cells are clipped to the box, and absent months are null."""
+    from ..operators.grid import clip_box
+
+    x = clip_box(with_month(rows, first_year).where(F.col("t").between(*months)), lat, lon)
+    spine = rows.sparkSession.range(months[0], months[1] + 1).select(F.col("id").cast("int").alias("t"))  # the month axis
+    return x.select("i", "j", "lat", "lon").distinct().crossJoin(F.broadcast(spine)).join(x.select("t", "i", "j", "value"), ["t", "i", "j"], "left")
+
+
 def resolve(columns: list[str], candidates: list[str]) -> str:
     """The first candidate among the columns."""
     for c in candidates:
@@ -109,16 +119,30 @@ def months_stored(spark: SparkSession, path: str, expected: int, share: float =
 
 
 def save_models(models: dict, path: str, ensemble: DataFrame | None = None) -> None:
+    from pyspark.sql import SparkSession
+
     for name, model in models.items():
         model.write().overwrite().save(f"{path}/{name}")
+    SparkSession.active().createDataFrame([(n,) for n in models], "model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
     if ensemble is not None:
         ensemble.select("model", "weight").write.mode("overwrite").parquet(f"{path}/ensemble")
 
 
-def load_models(spark: SparkSession, path: str, names: list[str]) -> tuple[dict, dict[str, float]]:
-    """Fitted pipelines by name, and ensemble weights (empty where none were saved)."""
+def save_attributions(phi: DataFrame, path: str) -> None:
+    phi.select("model", "sample_id", "feature", "x", "phi").write.mode("overwrite").partitionBy("model").parquet(path)
+
+
+def load_attributions(spark: SparkSession, path: str, models: list[str] | None = None) -> DataFrame:
+    """Saved attributions, of some models or of all."""
+    x = spark.read.parquet(path)
+    return x.where(F.col("model").isin(models)) if models else x
+
+
+def load_models(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[dict, dict[str, float]]:
+    """Fitted pipelines by name, those named or all that were saved, and ensemble weights (empty where none were saved)."""
     from pyspark.ml import PipelineModel
 
+    names = names or [r.model for r in spark.read.parquet(f"{path}/names").collect()]  # a row for each model
     try:
         weights = {r.model: r.weight for r in spark.read.parquet(f"{path}/ensemble").collect()}  # a row for each model
     except AnalysisException as e:

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridscale.operators import grid, study, train
-from gridscale.sources.files import catalogue, load_tuned, months_stored, save_cv, save_run_info, save_tuned, with_tuned
+from gridscale.sources.files import catalogue, load_attributions, load_models, load_tuned, monthly_cells, months_stored, save_attributions, save_cv, save_models, save_run_info, save_tuned, with_tuned
 
 
 def test_spaces_are_drawn_in_range_and_mapped(spark):
@@ -76,3 +76,27 @@ def test_steps_are_stored_and_used_again(spark, tmp_path):
     stamp = [r.date for r in job.read("run_info").collect()]
     steps.gap_fill(job)
     assert len(job.read("run_info").collect()) == len(stamp)
+
+
+def test_product_without_correction_is_the_prediction(spark, tmp_path):
+    from gridscale.plans import steps
+    from gridscale.plans.downscale import Settings
+
+    told = spark.createDataFrame([(0, 1, 1, 2.5)], "t int, i int, j int, predicted double")
+    told.write.parquet(str(tmp_path / "fine_prediction"))
+    job = steps.Job(spark, str(tmp_path), None, None, None, settings=Settings(correct=False))
+    steps.correct(job)
+    assert [tuple(r) for r in job.read("product").collect()] == [(0, 1, 1, 2.5, 0.0, 2.5)]
+
+
+def test_monthly_files_models_and_attributions(spark, tmp_path):
+    for m in ("199501", "199503", "readme"):
+        spark.createDataFrame([(0, 0, 1.0, 5.0, float(len(m))), (1, 0, 9.0, 5.0, 2.0)], "i int, j int, lat double, lon double, value double").toPandas().to_parquet(tmp_path / f"{m}.parquet")
+    got = monthly_cells(spark.read.parquet(str(tmp_path / "*.parquet")), 1995, (0, 2), (0.0, 2.0), (4.0, 6.0))
+    assert sorted((r.t, r.i, r.value) for r in got.collect() if r.value is not None) == [(0, 0, 6.0), (2, 0, 6.0)] and got.count() == 3
+    table = spark.createDataFrame([(float(k), 2.0 * k) for k in range(30)], "a double, y double")
+    save_models({"linear": train.pipeline("linear", ["a"]).fit(table)}, str(tmp_path / "models"))
+    models, weights = load_models(spark, str(tmp_path / "models"))
+    assert list(models) == ["linear"] and weights == {}
+    save_attributions(spark.createDataFrame([("a", "1", "x", 0.5, 0.1), ("b", "1", "x", 0.5, 0.2)], "model string, sample_id string, feature string, x double, phi double"), str(tmp_path / "phi"))
+    assert [r.phi for r in load_attributions(spark, str(tmp_path / "phi"), ["b"]).collect()] == [0.2] and load_attributions(spark, str(tmp_path / "phi")).count() == 2
