@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -53,3 +56,17 @@ def test_patterns():
     found = patterns(size, demand.astype(float), 128)
     assert (sum(n * a for n, a in found) == demand).all() and all(a @ size <= 128 for _, a in found)
     assert sum(n for n, _ in found) <= 1.01 * max((demand @ size) / 128, demand[64:].sum()) + 64
+
+
+def test_fresh_process_with_threaded_libraries():
+    """Packing of a whole table ends with as many library threads as there are cores, beside Spark in one process."""
+    code = (
+        "import sys; sys.path.insert(0, '.');"
+        "from pyspark.sql import SparkSession;"
+        "s = SparkSession.builder.master('local[4]').config('spark.sql.shuffle.partitions', '4').config('spark.ui.enabled', 'false').getOrCreate();"
+        "from gridscale.llm.packing import pack; import public_tokenizers;"
+        "print('sequences', pack(s.read.parquet('/root/testdata/sf0.1/documents.parquet').repartition(4), public_tokenizers.path('word_bpe_49k.json')).select('sequence_id').distinct().count())"
+    )
+    env = {k: v for k, v in os.environ.items() if not k.endswith("_NUM_THREADS")}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=400, check=True)
+    assert int(done.stdout.split("sequences ")[1]) > 1000

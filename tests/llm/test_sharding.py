@@ -43,3 +43,20 @@ def test_place_balances_all_three():
     at = place(items, 24)
     sums = np.array([items[at == s].sum(axis=0) for s in range(24)])
     assert (np.abs(sums / sums.mean(axis=0) - 1).max(axis=0) < [0.01, 0.05, 0.05]).all()
+
+
+def test_place_against_a_plain_version():
+    """Largest first, to the shard of highest dot product with what is left among those with room, in plain Python."""
+    rng = np.random.default_rng(4)
+    items = np.ceil(rng.pareto(2, (300, 3)) * [100, 17, 1])
+    total = [sum(r[d] for r in items.tolist()) for d in range(3)]
+    share = [[x / t * 5 for x, t in zip(r, total)] for r in items.tolist()]
+    left, want = [[1.0] * 3 for _ in range(5)], [0] * len(share)
+    for k in sorted(range(len(share)), key=lambda k: -share[k][0]):
+        room = [s for s in range(5) if left[s][0] >= share[k][0]]
+        if room:
+            want[k] = max(room, key=lambda s: (round(sum(a * b for a, b in zip(left[s], share[k])), 12), -s))
+        else:
+            want[k] = max(range(5), key=lambda s: (left[s][0], -s))
+        left[want[k]] = [a - b for a, b in zip(left[want[k]], share[k])]
+    assert place(items, 5).tolist() == want
