@@ -136,18 +136,18 @@ def gains(spark, sf):
 _GAIN = "SELECT method, a.n, a.r2, a.rmse, a.mae, a.bias, a.r2-b.r2 AS gain_r2, b.rmse-a.rmse AS gain_rmse, b.mae-a.mae AS gain_mae FROM ma a JOIN mb b USING (method)"
 
 
-@book.add("agg37_improvement", sql(told_sql(_GAIN, "r2 rmse mae bias gain_r2 gain_rmse gain_mae", "method n"), *CO, _PAIRS, *_GAINS))
+@book.add("agg37_improvement", sql(told_sql(_GAIN, "r2 rmse mae bias gain_r2 gain_rmse gain_mae", "method n", 3), *CO, _PAIRS, *_GAINS))
 def improvement(spark, sf):
-    return told(gains(spark, sf))
+    return told(gains(spark, sf), 3)
 
 
-@book.add("grd13_eight_scores", sql(told_sql("SELECT method, n, CASE WHEN n > 10 THEN r2 END AS r2, CASE WHEN n > 10 THEN rmse END AS rmse, CASE WHEN n > 10 THEN mae END AS mae, CASE WHEN n > 10 THEN bias END AS bias FROM ma", "r2 rmse mae bias", "method n"), *CO, _PAIRS, *_GAINS))
+@book.add("grd13_eight_scores", sql(told_sql("SELECT method, n, CASE WHEN n > 10 THEN r2 END AS r2, CASE WHEN n > 10 THEN rmse END AS rmse, CASE WHEN n > 10 THEN mae END AS mae, CASE WHEN n > 10 THEN bias END AS bias FROM ma", "r2 rmse mae bias", "method n", 3), *CO, _PAIRS, *_GAINS))
 def eight_scores(spark, sf):
     g = gains(spark, sf)
-    return told(g.select("method", "n", *[F.when(F.col("n") > 10, F.col(c)).alias(c) for c in ("r2", "rmse", "mae", "bias")]))
+    return told(g.select("method", "n", *[F.when(F.col("n") > 10, F.col(c)).alias(c) for c in ("r2", "rmse", "mae", "bias")]), 3)
 
 
-@book.add("pipe09_bake_off", sql(told_sql("SELECT arg_max(method, (r2, method)) AS best, max(r2) AS r2, max(r2) - any_value(b0) AS gain FROM ma, (SELECT max(r2) AS b0 FROM mb WHERE method = 'geographic')", "r2 gain", "best"), *CO, _PAIRS, *_GAINS))
+@book.add("pipe09_bake_off", sql(told_sql("SELECT arg_max(method, (r2, method)) AS best, max(r2) AS r2, max(r2) - any_value(b0) AS gain FROM ma, (SELECT max(r2) AS b0 FROM mb WHERE method = 'geographic')", "r2 gain", "best", 3), *CO, _PAIRS, *_GAINS))
 def bake_off(spark, sf):
     """The best method by its score, and what it gains over the uncorrected product; of equal ones the last by name."""
     g = gains(spark, sf)
