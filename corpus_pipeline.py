@@ -79,6 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(load(spark, sf_dir, "documents"))
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
-        if name not in ("quality", "packing"):  # the first is written already, the last is the result
+        if name != "packing":  # the last is the result
             docs = cut(docs)
     return docs

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -28,20 +29,29 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share. Where that is unset, a temporary folder
+    serves in local mode, whose executors are in the driver; on a cluster it is an error."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, so that lineage ends here.
+    """``df`` written as Parquet to the shared folder and read back, so that lineage ends here.
 
-    The folder comes from ``spark.checkpoint.dir``. Where that is unset, a temporary folder serves in local mode,
-    whose executors are in the driver; on a cluster it is an error.
+    Later reads take the columns they need only. The files go when the application ends.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if not configured and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    folder = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 def text_of(column: str = "text") -> Column:
@@ -92,12 +102,15 @@ def partitions(spark: SparkSession) -> int:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """Smaller Arrow batches for jobs run inside, so that Python workers hold few whole texts at a time."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def arrow_rows(spark: SparkSession, rows: int = 500, size: str = "16m") -> Iterator[None]:
+    """Smaller Arrow batches for jobs run inside, so that Python workers hold few whole texts at a time: at most
+    ``rows`` rows and, but for one longer text, ``size`` bytes."""
+    new = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name in new}
+    for name, value in new.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)

@@ -21,13 +21,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import arrow_rows, cut, text_of
 
 #: Labelled documents that the fit uses at most.
 SAMPLE = 4000
-#: Bytes that these have together at most; in the order of the hash, what comes after goes.
+#: Bytes that these have together at most; in the order of the hash, a text that doesn't fit any more is left out.
 SAMPLE_BYTES = 8_000_000
 #: In the fit, longer documents are several chains of so many lines, all of which count.
 CHAIN = 256
@@ -249,8 +248,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     sizes = texts.select("doc_id", F.octet_length("text").alias("size"), F.xxhash64("text").alias("h")).join(F.broadcast(ids), "doc_id")
     turn = sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)  # at most ``sample`` small rows
-    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = [(r["doc_id"], r["h"], r["quality"]) for r in turn.withColumn("_s", so_far).where(F.col("_s") <= sample_bytes).collect()]
+    chosen, room = [], sample_bytes
+    for r in turn.collect():
+        if r["size"] <= room:  # a text that doesn't fit is left out by itself
+            chosen.append((r["doc_id"], r["h"], r["quality"]))
+            room -= r["size"]
     spark = docs.sparkSession
     keys = spark.createDataFrame(chosen, "doc_id long, h long, quality int").dropDuplicates(["doc_id", "h"])
     got = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(keys), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"]).orderBy(F.xxhash64("doc_id"), "doc_id", "h").toPandas()
@@ -290,10 +292,10 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     model = train(docs, labels, id_col, text_col, sample, sample_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
+        for whole in batches:
+            for a in range(0, len(whole), 500):
+                b = whole.slice(a, 500)
                 texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
                 yield b.filter(pa.array(score(model, ["" if t is None else str(t) for t in texts]) >= LEAST))
 
-    with arrow_rows(docs.sparkSession, 500):
-        return cut(docs.mapInArrow(run, docs.schema))
+    return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from gridscale.llm.quality import chain_features, chains, fit, forward_backward, good_documents, line_features, objective, quality_scores, score, train
 
@@ -99,3 +100,16 @@ def test_sample_is_bounded_by_bytes(spark):
     docs = spark.createDataFrame([(k, "word " * 100) for k in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
     assert np.isfinite(train(docs, labels, sample_bytes=1200).weights).all() and not train(docs, labels, sample_bytes=10).weights.any()
+
+
+def test_one_large_labelled_text_does_not_empty_the_sample(spark):
+    """Whatever its place in the order of the hash, a text over the bound is left out by itself."""
+    r = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{r}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{r}/labels.parquet").select("doc_id", "quality")
+    ids = spark.range(10_000, 10_400).where("crc32(cast(cast(id as string) as binary)) % 5 <> 0").orderBy(F.xxhash64("id")).limit(1)  # the smallest hash of some hundred ids
+    first = ids.first()[0]
+    large = spark.createDataFrame([(first,)], "doc_id long").select("doc_id", F.expr("repeat('one more line of this text\n', 340000)").alias("text"))
+    more = labels.unionByName(spark.createDataFrame([(first, 1)], "doc_id long, quality int"))
+    assert labels.select(F.min(F.xxhash64("doc_id"))).first()[0] > more.where(f"doc_id = {first}").select(F.xxhash64("doc_id")).first()[0]
+    a, b = train(docs, labels), train(docs.unionByName(large), more)
+    assert np.allclose(a.weights, b.weights) and a.scale == b.scale and np.abs(a.weights).max() > 0.1
