@@ -17,6 +17,7 @@ from .repeats import remove_repeats
 from .runs import periodic_runs, run_digest, with_period
 from .sharding import shard
 from .vectors import near_vectors
+from .whiten import whiten
 
 
 def op1_decontamination(spark, sf_dir):
@@ -59,9 +60,13 @@ def op10_embeddings(spark, sf_dir):
     return near_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whiten(spread(load(spark, sf_dir, "embeddings")))
+
+
 def op13_runs(spark, sf_dir):
     return run_digest(periodic_runs(with_period(spread(load(spark, sf_dir, "documents"))), texts=False))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_repeats": op2_repeats, "op3_licences": op3_licences, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_lm": op6_lm, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding, "op10_embeddings": op10_embeddings, "op13_runs": op13_runs}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_repeats": op2_repeats, "op3_licences": op3_licences, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_lm": op6_lm, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding, "op10_embeddings": op10_embeddings, "op11_whitening": op11_whitening, "op13_runs": op13_runs}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.sql()}

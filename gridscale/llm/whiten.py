@@ -276,6 +276,8 @@ def fit(distinct: DataFrame, components: int = COMPONENTS) -> dict[int, Whitenin
 def identity_errors(distinct: DataFrame, fits: dict[int, Whitening]) -> dict[int, float]:
     """Largest entry of |covariance of the whitened fit list - identity| for each length, measured over the list."""
 
+    reals = pa.list_(pa.float64())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for d, x in _by_dim(batches, "x"):
@@ -287,26 +289,18 @@ def identity_errors(distinct: DataFrame, fits: dict[int, Whitening]) -> dict[int
             own[1] += moved * n / (own[0] + n)
             own[0] += n
         for d, (n, mean, spread) in total.items():
-            yield pa.RecordBatch.from_pydict({"dim": pa.array([d], pa.int32()), "n": [n], "mean": [mean.tolist()], "spread": [spread.ravel().tolist()]})
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([d], pa.int32()), "n": [n], "mean": pa.array([mean.tolist()], reals), "spread": pa.array([spread.ravel().tolist()], reals)})
 
     parts = distinct.mapInArrow(run, "dim int, n long, mean array<double>, spread array<double>")
-    # added in Spark element by element: sums of the tasks' means and spreads, around a mean of all that is 0 but for rounding
-    sums = parts.select("dim", "n", F.posexplode("mean").alias("i", "mean"))
-    means = {(r["dim"], r["i"]): r["mean"] / r["n"] for r in sums.groupBy("dim", "i").agg(F.sum(F.col("n") * F.col("mean")).alias("mean"), F.sum("n").alias("n")).collect()}
-    out = {}
-    for d, f in fits.items():
-        k = int(f.usable.sum())
-        mean = np.array([means[d, i] for i in range(k)]) if k else np.zeros(0)
-        moved = F.transform(F.col("mean"), lambda x, i, mean=mean: x - F.get(F.lit([float(v) for v in mean]), i))
-        own = parts.where(F.col("dim") == d).select("n", "spread", moved.alias("m")) if k else None
-        if own is None:
-            out[d] = 0.0
-            continue
-        cells = own.select("n", F.posexplode("spread").alias("c", "s"), "m").select("c", (F.col("s") + F.col("n") * F.get("m", F.floor(F.col("c") / k).cast("int")) * F.get("m", F.col("c") % k)).alias("s"))
-        covariance = np.zeros(k * k)
-        for r in cells.groupBy("c").agg(F.sum("s").alias("s")).collect():
-            covariance[r["c"]] = r["s"] / f.n
-        out[d] = float(np.abs(covariance.reshape(k, k) - np.eye(k)).max())
+    # tasks have centred on their own means, which the sums put right: dim x components^2 rows come to the driver
+    cells = parts.select("dim", "n", "mean", F.size("mean").alias("k"), F.posexplode("spread").alias("c", "s"))
+    cells = cells.select("dim", "n", "k", "c", "s", F.get("mean", F.floor(F.col("c") / F.col("k")).cast("int")).alias("a"), F.get("mean", F.col("c") % F.col("k")).alias("b"))
+    n, a, b = F.col("n"), F.col("a"), F.col("b")
+    sums = cells.groupBy("dim", "k", "c").agg(F.sum("n").alias("n"), F.sum(F.col("s") + n * a * b).alias("s"), F.sum(n * a).alias("a"), F.sum(n * b).alias("b"))
+    out = dict.fromkeys(fits, 0.0)
+    for r in sums.collect():
+        covariance = r["s"] / r["n"] - r["a"] / r["n"] * r["b"] / r["n"]
+        out[r["dim"]] = max(out[r["dim"]], abs(covariance - (r["c"] // r["k"] == r["c"] % r["k"])))
     return out
 
 
