@@ -7,6 +7,7 @@ import public_tokenizers
 from .common import load, spread
 from . import decontaminate
 from .decontaminate import contained
+from .extract import extract
 from .jaccard import jaccard_join
 from .licences import scan_licences
 from .lm import lm_scores
@@ -64,9 +65,13 @@ def op11_whitening(spark, sf_dir):
     return whiten(spread(load(spark, sf_dir, "embeddings")))
 
 
+def op12_pages(spark, sf_dir):
+    return extract(spread(load(spark, sf_dir, "pages")))
+
+
 def op13_runs(spark, sf_dir):
     return run_digest(periodic_runs(with_period(spread(load(spark, sf_dir, "documents"))), texts=False))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_repeats": op2_repeats, "op3_licences": op3_licences, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_lm": op6_lm, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding, "op10_embeddings": op10_embeddings, "op11_whitening": op11_whitening, "op13_runs": op13_runs}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_repeats": op2_repeats, "op3_licences": op3_licences, "op4_packing": op4_packing, "op5_quality": op5_quality, "op6_lm": op6_lm, "op7_jaccard": op7_jaccard, "op8_pii": op8_pii, "op9_sharding": op9_sharding, "op10_embeddings": op10_embeddings, "op11_whitening": op11_whitening, "op12_pages": op12_pages, "op13_runs": op13_runs}
 ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontaminate.sql()}
