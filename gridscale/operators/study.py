@@ -56,24 +56,29 @@ def n_trials(model: str, n: int) -> int:
 
 
 def mapped(model: str, params: dict, most_trees: int, most_depth: int) -> dict:
-    """Parameters of Spark's estimator for those of a trial; trees and depth are held to what the cluster is given for."""
-    number = lambda *names: next((params[n] for n in names if params.get(n) is not None), None)
-    depth = int(number("max_depth"))
-    out = {"maxDepth": max(1, min(depth if depth > 0 else most_depth, most_depth)), ("numTrees" if model == "rf" else "maxIter"): max(1, min(int(number("n_estimators")), most_trees))}
-    leaf, gain, share, step = number("min_samples_leaf", "min_child_samples", "min_child_weight"), number("gamma", "min_split_gain", "min_impurity_decrease"), number("max_samples", "subsample"), number("learning_rate")
-    columns = number("colsample_bytree", "feature_fraction")
-    if leaf is not None:
-        out["minInstancesPerNode"] = max(1, int(leaf))
-    if gain is not None:
-        out["minInfoGain"] = float(gain)
-    if share is not None:
-        out["subsamplingRate"] = float(share)
-    if step is not None:
-        out["stepSize"] = float(step)
-    if columns is not None:
-        out["featureSubsetStrategy"] = str(round(min(float(columns), 1.0), 4))
-    if params.get("max_features"):
-        out["featureSubsetStrategy"] = params["max_features"]
+    """Parameters of the estimator for those of a trial. Numbers of trees, leaves and levels are scaled from the space's
+    range to what the cluster is given for (``most_trees``, ``most_depth``), so that different trials stay different."""
+    top = {p[0]: p[3] for p in SPACES[model] if p[1] in ("int", "float", "log")}
+    number = lambda name, otherwise=None: params.get(name) if params.get(name) is not None else otherwise
+    scaled = lambda name, most: max(1, round(float(params[name]) * most / top[name]))
+    if model == "rf":
+        out = {"numTrees": scaled("n_estimators", most_trees), "maxDepth": min(scaled("max_depth", most_depth), 30), "minInstancesPerNode": max(int(number("min_samples_leaf", 1)), int(number("min_samples_split", 2)) // 2)}
+        out |= {"minInfoGain": float(number("min_impurity_decrease", 0.0)), "subsamplingRate": float(number("max_samples", 1.0)), "featureSubsetStrategy": number("max_features", "auto")}
+        return out
+    out = {"rounds": scaled("n_estimators", most_trees), "rate": float(params["learning_rate"]) * top["n_estimators"] / most_trees * 0.05, "l1": float(params["reg_alpha"]), "l2": float(params["reg_lambda"]), "least_weight": float(params["min_child_weight"])}
+    out["rate"] = min(out["rate"], 0.5)
+    if model == "xgb":
+        out |= {"depth": scaled("max_depth", most_depth), "sample": "rows", "rows": float(params["subsample"]), "columns": float(params["colsample_bytree"]) * float(params["colsample_bylevel"]), "least_gain": float(params["gamma"]), "most_step": float(params["max_delta_step"])}
+        out |= {"grow": "leafwise", "leaves": 1 << out["depth"]} if params["grow_policy"] == "lossguide" else {"grow": "depthwise"}
+        return out
+    out |= {"leaves": max(2, scaled("num_leaves", 1 << most_depth)), "depth": 0 if int(params["max_depth"]) <= 0 else scaled("max_depth", most_depth), "columns": float(params["feature_fraction"]), "least_rows": int(params["min_child_samples"]), "least_gain": float(params["min_split_gain"])}
+    kind = params["boosting_type"]
+    if kind == "goss":
+        out |= {"sample": "goss", "top": float(params["top_rate"]), "other": float(params["other_rate"])}
+    else:
+        out |= {"sample": "rows", "rows": float(params["bagging_fraction"])}
+    if kind == "dart":
+        out |= {"drop": float(params["drop_rate"]), "most_drop": int(params["max_drop"]), "skip_drop": float(params["skip_drop"])}
     return out
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .boost import FAMILIES, Booster
 from .metrics import regression
 
 
@@ -17,21 +18,20 @@ from .metrics import regression
 DEFAULTS = {
     "rf": {"numTrees": 20, "maxDepth": 6},
     "gbr": {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2},
-    "xgb": {"maxIter": 12, "maxDepth": 5, "stepSize": 0.2, "subsamplingRate": 0.8},
-    "lgb": {"maxIter": 12, "maxDepth": 4, "stepSize": 0.25, "featureSubsetStrategy": "onethird"},
-    "catb": {"maxIter": 10, "maxDepth": 6, "stepSize": 0.15},
+    "xgb": {"rounds": 10, "depth": 4, "rate": 0.3},
+    "lgb": {"rounds": 10, "leaves": 15, "rate": 0.3},
+    "catb": {"rounds": 10, "depth": 4, "rate": 0.3},
     "linear": {"regParam": 0.01},
-    "nn": {"rounds": 20, "rate": 0.08},
-    "svr": {"rounds": 20, "rate": 0.08},
+    "nn": {"hidden": (16, 8), "rounds": 20, "rate": 0.08},
+    "svr": {"fourier": 128, "rounds": 20, "rate": 0.08},
 }
 
 
 def regressor(name: str, **params):
-    """A tree or linear estimator by family name; boosters of all kinds map to Spark's gradient-boosted trees, each
-    with its own defaults, which ``params`` override."""
+    """One of Spark's own estimators by family name."""
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
-    kinds = {"rf": RandomForestRegressor, "gbr": GBTRegressor, "xgb": GBTRegressor, "lgb": GBTRegressor, "catb": GBTRegressor, "linear": LinearRegression}
+    kinds = {"rf": RandomForestRegressor, "gbr": GBTRegressor, "linear": LinearRegression}
     if name not in kinds:
         raise ValueError(f"no model named {name}")
     seed = {} if name == "linear" else {"seed": 42}
@@ -41,19 +41,22 @@ def regressor(name: str, **params):
 class Descent:
     """A network or an epsilon-insensitive fit as an estimator; it scales its features itself."""
 
-    def __init__(self, name: str, features: list[str], rounds: int, rate: float):
-        self.name, self.features, self.rounds, self.rate = name, features, rounds, rate
+    def __init__(self, name: str, features: list[str], rounds: int, rate: float, **shape):
+        self.name, self.features, self.rounds, self.rate, self.shape = name, features, rounds, rate, shape
 
     def fit(self, table: DataFrame):
         from .gradient import Network, svr
 
-        model = Network(self.features) if self.name == "nn" else svr(self.features)
-        return model.fit(table.dropna(subset=[*self.features, "y"]), rounds=self.rounds, rate=self.rate)
+        model = Network(self.features, **self.shape) if self.name == "nn" else svr(self.features, **self.shape)
+        return model.fit(table, rounds=self.rounds, rate=self.rate)
 
 
 def pipeline(name: str, features: list[str], scaling: str | None = None, **params):
     """Rows with a missing feature are skipped. ``scaling`` is robust (median and quartiles, the linear model's own),
-    standard (mean and deviation) or None; networks and epsilon-insensitive fits scale by themselves."""
+    standard (mean and deviation) or None; networks and epsilon-insensitive fits scale by themselves, and the boosters of
+    this library (xgb, lgb, catb) need none."""
+    if name in FAMILIES:
+        return Booster(features, name, **{**DEFAULTS[name], **params})
     if name in ("nn", "svr"):
         return Descent(name, features, **{**DEFAULTS[name], **params})
     scaling = scaling or ("robust" if name == "linear" else None)
@@ -80,13 +83,18 @@ def hash_split(df: DataFrame, keys: list[str], share: float, seed: int = 42) ->
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") < int(share * 16**8)
 
 
-def simple_validation(table: DataFrame, features: list[str], models: list[str], keys: list[str], share: float = 0.7) -> DataFrame:
-    """Test metrics of each model after one repeatable split."""
-    x = table.withColumn("_train", hash_split(table, keys, share)).cache()
+def simple_validation(table: DataFrame, features: list[str], models: list[str], keys: list[str], share: float = 0.7, tuned: dict[str, dict] | None = None) -> DataFrame:
+    """Test metrics of each model after one repeatable split, and its r2 on the training rows; models that cannot be
+    fitted are left out. ``tuned`` has parameters by model."""
+    x = table.withColumn("_train", hash_split(table, keys, share))
+    done, _ = trained(x.where("_train"), features, models, tuned)
     out = []
-    for name in models:
-        fitted = pipeline(name, features).fit(x.where("_train"))
-        out.append(regression(fitted.transform(x.where("not _train")), "y", "prediction", []).withColumn("model", F.lit(name)))
+    for name, model in done.items():
+        own = regression(model.transform(x.where("_train")), "y", "prediction", []).select(F.col("r2").alias("train_r2"))
+        test = regression(model.transform(x.where("not _train")), "y", "prediction", [])
+        out.append(test.crossJoin(F.broadcast(own)).withColumn("model", F.lit(name)))  # a row each
+    if not out:
+        return table.sparkSession.createDataFrame([], "n long, r2 double, rmse double, mae double, bias double, r double, slope double, intercept double, train_r2 double, model string")
     return reduce(DataFrame.unionByName, out)
 
 

@@ -10,7 +10,6 @@ from ..operators.gradient import Network, svr
 from ..operators.metrics import regression
 from ..sources.bind import FACTOR, SIDE, observed, signal, sql, static
 from .book import Book
-from .downscale import Settings, downscale
 from .metric_queries import rounded, rounded_sql, trials
 
 book = Book()
@@ -224,11 +223,23 @@ def _coarse_signal(spark, sf):
     return coarsen(signal(spark, sf), FACTOR, {"value": "mean"}, SIDE, SIDE).withColumnsRenamed({"ci": "i", "cj": "j"})
 
 
+def _job(spark, sf, **settings):
+    """All steps of the job over the grid tables, in a store of its own."""
+    import uuid
+
+    from ..sources.scratch import shared_folder
+    from . import steps
+
+    job = steps.Job(spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", _coarse_signal(spark, sf), signal(spark, sf).drop("value"), static(spark, sf), settings=steps.Settings(**settings), trials=0)
+    steps.run(job, [s for s in steps.STEPS if s != "bake_off"])
+    return job
+
+
 @book.add("pipe_downscale")
 def pipe_downscale(spark, sf):
-    return downscale(signal(spark, sf), _coarse_signal(spark, sf), static(spark, sf))[0]
+    return _job(spark, sf).read("product")
 
 
 @book.add("pipe_validate")
 def pipe_validate(spark, sf):
-    return downscale(signal(spark, sf), _coarse_signal(spark, sf), static(spark, sf), Settings(method="bilinear"))[1]
+    return _job(spark, sf, method="bilinear").read("metrics")

@@ -1,7 +1,8 @@
 """The job step by step: each step reads what earlier ones stored under a folder and stores its own result.
 
-A stored step survives lost executors and is not done again: steps that make monthly tables are skipped while their
-table has enough of the expected months, and any step can be run alone.
+A stored step survives lost executors. Steps that make monthly tables keep a fingerprint of their inputs and settings and
+are skipped while it is the same; when it changes they are done again, and of their table only the months that come out
+different are rewritten. Any step can be run alone.
 """
 
 from __future__ import annotations
@@ -17,7 +18,34 @@ from ..operators import grid, series, study, train, weights
 from ..operators.coarsen import coarsen
 from ..operators.metrics import regression
 from ..sources import files
-from .downscale import Settings, features
+
+
+@dataclass
+class Settings:
+    """``method`` is how coarse residuals reach the fine grid: None for the stored winner of the bake-off, if there is one."""
+
+    factor: int = 5
+    n_rows: int = 20
+    n_columns: int = 20
+    base: tuple[str, ...] = ("pr", "tmean", "aet")
+    method: str | None = None
+    smooth: bool = False
+    correct: bool = True
+    rain: tuple[str, ...] = ("pr",)
+    static: tuple[str, ...] = ("elevation", "population")
+
+
+def features(fine: DataFrame, s: Settings) -> tuple[DataFrame, list[str]]:
+    """Anomalies, lags and sums in one pass over each cell's series, then spatial means; and the names made."""
+    x = fine.withColumn("tmean", (F.col("tmmn") + F.col("tmmx")) / 2).drop("tmmn", "tmmx")
+    made = {f"{c}_anom": series.anomaly(c) for c in s.base} | {f"{c}_lag{k}": series.lagged(c, k) for c in s.base for k in (1, 3, 6)}
+    made |= {f"{c}_accum{k}m": series.rolling_sum(c, k) for c in s.rain for k in (3, 6, 12)}
+    x = x.select("t", "i", "j", *s.base, *[c.alias(n) for n, c in made.items()])
+    names = [*s.base, *made]
+    for c in s.base:
+        x = series.spatial_mean(x, f"{c}_anom", f"{c}_anom_spatial")
+        names.append(f"{c}_anom_spatial")
+    return x, names
 
 
 @dataclass
@@ -50,33 +78,47 @@ class Job:
         df.write.mode("overwrite").parquet(self.path(name))
         files.save_run_info(self.spark, self.path("run_info"), name, step, self.seed)
 
+    def has(self, name: str) -> bool:
+        return files.exists(self.spark, self.path(name))
+
+    def method(self) -> str:
+        """The method set, else the winner of the stored bake-off, else geographic assignment."""
+        if self.settings.method:
+            return self.settings.method
+        return winner(self.read("bake_off")) if self.has("bake_off") else "geographic"
 
-def _months(df: DataFrame) -> int:
-    ends = df.agg((F.max("t") - F.min("t") + 1).alias("n")).first()
-    return ends["n"] or 0
+
+def winner(scores: DataFrame) -> str:
+    """The method of the best score; of scores equal to nine digits the first name."""
+    return scores.agg(F.min_by("method", F.struct(-F.round("r2", 9), "method")).alias("m")).first()["m"]
 
 
 def gap_fill(job: Job) -> None:
     """Signal on the month spine, times its factors, with its gaps filled; kept with what each cell's fill was like."""
     s = job.signal.select("t", "i", "j", "value")
-    if files.months_stored(job.spark, job.path("filled"), _months(s)):
+    mark = files.fingerprint(s, *([job.scale] if job.scale is not None else []))
+    if files.is_current(job.spark, job.path("filled"), mark):
         return
     if job.scale is not None:
         s = grid.scaled(s, job.scale, ["i", "j"]).select("t", "i", "j", "value")
     ends = s.agg(F.min("t").alias("a"), F.max("t").alias("b"))
     spine = s.select("i", "j").distinct().crossJoin(F.broadcast(ends.select(F.explode(F.sequence("a", "b")).alias("t"))))  # the month axis
     filled = series.stl_fill(spine.join(s, ["t", "i", "j"], "left").select("t", "i", "j", "value"))
-    job.write(filled.select("t", "i", "j", F.col("value").alias("observed"), F.col("filled").alias("value"), "method", "values_filled", "test_r2", "test_rmse"), "filled", "gap_fill")
+    told = filled.select("t", "i", "j", F.col("value").alias("observed"), F.col("filled").alias("value"), "method", "values_filled", "test_r2", "test_rmse")
+    files.save_months(told, job.path("filled"), mark)
+    files.save_run_info(job.spark, job.path("run_info"), "filled", "gap_fill", job.seed)
 
 
 def create_features(job: Job) -> None:
     """Fine features in one pass over each cell's series, with the static ones beside them."""
-    if files.months_stored(job.spark, job.path("fine"), _months(job.fine)):
-        return
     s = job.settings
+    mark = f"{files.fingerprint(job.fine, job.static)} {s.base} {s.rain} {s.static}"
+    if files.is_current(job.spark, job.path("fine"), mark):
+        return
     x, names = features(job.fine, s)
     x = x.join(job.static.select("i", "j", *s.static), ["i", "j"], "left")
-    job.write(x.select("t", "i", "j", *names, *s.static), "fine", "create_features")
+    files.save_months(x.select("t", "i", "j", *names, *s.static), job.path("fine"), mark)
+    files.save_run_info(job.spark, job.path("run_info"), "fine", "create_features", job.seed)
 
 
 def _names(job: Job) -> list[str]:
@@ -97,7 +139,10 @@ def aggregate(job: Job) -> None:
 
 def _training(job: Job) -> DataFrame:
     y = job.read("filled").select("t", "i", "j", F.col("value").alias("y"))
-    return job.read("coarse").join(y, ["t", "i", "j"]).dropna(subset=["y", *_names(job)])
+    table = job.read("coarse").join(y, ["t", "i", "j"]).dropna(subset=["y", *_names(job)])
+    if table.isEmpty():
+        raise ValueError("features and signal share no month and cell")
+    return table
 
 
 def tune(job: Job) -> None:
@@ -112,10 +157,11 @@ def tune(job: Job) -> None:
 
 
 def train_models(job: Job) -> None:
-    """Scores on one repeatable split, final fits on all rows, ensemble weights; models that fail are left out."""
+    """Scores on one repeatable split, final fits on all rows with the same parameters, ensemble weights; models that fail
+    are left out."""
     names, table = _names(job), _training(job)
     tuned = {m: study.mapped(m, {k: _number(v) for k, v in p.items()}, job.most_trees, 6) for m, p in files.load_tuned(job.spark, job.path("tuned")).items()}
-    scores = train.simple_validation(table, names, list(job.models), ["t", "i", "j"])
+    scores = train.simple_validation(table, names, list(job.models), ["t", "i", "j"], tuned=tuned)
     job.write(scores, "scores", "train")
     done, failed = train.trained(table, names, list(job.models), tuned)
     if not done:
@@ -133,8 +179,9 @@ def _number(v: str):
 
 def predict(job: Job) -> None:
     """The ensemble on both grids, month by month of the features."""
-    names, scored = _names(job), [r.model for r in job.read("scores").select("model").collect()]  # a row for each model
-    fitted, weight = files.load_models(job.spark, job.path("models"), scored)
+    names = _names(job)
+    fitted, weight = files.load_models(job.spark, job.path("models"))
+    fitted = {m: model for m, model in fitted.items() if m in weight}
 
     def told(df: DataFrame) -> DataFrame:
         for m, model in fitted.items():
@@ -146,16 +193,27 @@ def predict(job: Job) -> None:
     job.write(told(_training(job)), "coarse_prediction", "predict")
 
 
-def _tables(job: Job, cells: DataFrame) -> dict[str, DataFrame]:
+def _tables(job: Job, cells: DataFrame, only: str | None = None) -> dict[str, DataFrame]:
+    """Weight tables of all methods that can be made, or of one."""
     s = job.settings
     n, m = s.n_rows // s.factor, s.n_columns // s.factor
     half = (s.factor - 1) / 2
     centres = job.read("coarse").select(F.col("i").alias("ci"), F.col("j").alias("cj")).distinct().withColumn("x", s.factor * F.col("ci") + half).withColumn("y", s.factor * F.col("cj") + half)
     bilinear, radius = weights.bilinear(cells, s.factor, n, m), 1.2 * s.factor
-    return {
-        "area": weights.overlap(cells, float(s.factor), n, m), "bicubic": weights.cubic(cells, s.factor, n, m), "bilinear": bilinear, "distance": weights.within(cells, centres, radius),
-        "gaussian": weights.smoothed(bilinear, cells, s.n_rows, s.n_columns), "geographic": weights.containing(cells, s.factor, n, m), "idw": weights.within(cells, centres, radius, 2.0), "nearest": weights.nearest(cells, s.factor, n, m),
+    make = {
+        "area": lambda: weights.overlap(cells, float(s.factor), n, m), "bicubic": lambda: weights.cubic(cells, s.factor, n, m), "bilinear": lambda: bilinear, "distance": lambda: weights.within(cells, centres, radius),
+        "gaussian": lambda: weights.smoothed(bilinear, cells, s.n_rows, s.n_columns), "geographic": lambda: weights.containing(cells, s.factor, n, m), "idw": lambda: weights.within(cells, centres, radius, 2.0),
+        "nearest": lambda: weights.nearest(cells, s.factor, n, m),
     }
+    out = {}
+    for name, f in make.items():
+        if only is None or name == only:
+            try:
+                out[name] = f()
+            except (ValueError, AnalysisException):  # a method that doesn't suit the grid must not stop the others
+                if name == only:
+                    raise
+    return out
 
 
 def _residual(job: Job) -> DataFrame:
@@ -174,7 +232,8 @@ def correct(job: Job) -> None:
     if s.correct:
         job.write(_residual(job), "residual", "correct")
         r = job.read("residual").withColumnsRenamed({"i": "ci", "j": "cj"})
-        table = _tables(job, told.select("i", "j").distinct())[s.method]
+        method = job.method()
+        table = _tables(job, told.select("i", "j").distinct(), method)[method]
         told = told.join(weights.apply(table, r, "residual", "correction"), ["t", "i", "j"])
     else:
         told = told.withColumn("correction", F.lit(0.0))
@@ -196,14 +255,13 @@ def validate(job: Job) -> None:
 
 
 def bake_off(job: Job) -> None:
-    """Scores of all eight methods; the winner is kept and becomes the method set."""
+    """Scores of all methods, which are stored; later runs on the same store correct by the winner."""
     told = job.read("fine_prediction").select("t", "i", "j", "predicted")
     r = _residual(job).withColumnsRenamed({"i": "ci", "j": "cj"})
     every = weights.apply_all(_tables(job, told.select("i", "j").distinct()), r, "residual", "correction")
     x = told.join(every, ["t", "i", "j"]).withColumn("downscaled", F.col("predicted") + F.col("correction"))
     scores = regression(_against_signal(job, x, ["downscaled"], ["method"]), "value", "downscaled", ["method"])
     job.write(scores, "bake_off", "bake_off")
-    job.settings.method = job.read("bake_off").agg(F.max_by("method", F.struct("r2", "method")).alias("m")).first()["m"]
 
 
 STEPS: dict[str, Callable[[Job], None]] = {

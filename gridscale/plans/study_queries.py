@@ -208,18 +208,15 @@ def report(spark, sf):
 @book.add("pipe_steps")
 def steps_of_the_job(spark, sf):
     """All nine steps, each stored and read again; the metrics of every method and of the product."""
-    import tempfile
     import uuid
 
+    from ..sources.scratch import shared_folder
     from . import steps
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    store = f"{shared or tempfile.mkdtemp(prefix='spark-')}/steps-{uuid.uuid4().hex}"
+    store = f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
     fine = observed(spark, sf)
     y = coarsen(fine.withColumn("value", 0.5 * F.col("pr") + 2 * F.col("tmmx")), FACTOR, {"value": "mean"}, SIDE, SIDE).withColumnsRenamed({"ci": "i", "cj": "j"})
-    job = steps.Job(spark, store, y, fine.drop("value"), static(spark, sf))
+    job = steps.Job(spark, store, y, fine.drop("value"), static(spark, sf), models=("rf", "linear", "nn"))
     steps.run(job)
     told = job.read("bake_off").select(F.col("method").alias("product"), "n", "r2", "rmse", "mae")
     return told.unionByName(job.read("metrics").select(F.col("stage").alias("product"), "n", "r2", "rmse", "mae"))
@@ -243,3 +240,32 @@ def fill_all(spark, sf):
     monthly = grid.regular_axis(x, ["i", "j"], "ts", "value", "month", "tie").select(month_index(F.col("step")).alias("t"), "i", "j", "value")
     told = series.stl_fill(monthly).groupBy("i", "j").agg(*[F.first(c).alias(c) for c in ("method", "values_filled", "test_r2", "test_rmse")])
     return told.groupBy("method").agg(F.count(F.lit(1)).alias("cells"), F.sum("values_filled").alias("values_filled"), F.avg("test_r2").alias("mean_r2"), F.avg("test_rmse").alias("mean_rmse"))
+
+
+_SPLITS = """fx AS (SELECT CAST(least(floor(pr/10), 15) AS INT) AS b0, CAST(least(floor(tmmx), 10) AS INT) AS b1, CAST(least(chirps, 8) AS INT) AS b2, (SELECT avg(0.5*pr + 2*tmmx) FROM fine) - (0.5*pr + 2*tmmx) AS g FROM fine),
+l0 AS (SELECT 0 AS node, * FROM fx),
+s0 AS ({}), l1 AS (SELECT CASE WHEN CASE s.feature WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END <= s.bin THEN 1 ELSE 2 END AS node, b0, b1, b2, g FROM fx, s0 s), s1 AS ({})"""
+_LEVEL = """SELECT node, feature, bin, gain, n_left, n_right FROM (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, feature, bin) AS r FROM (
+    SELECT node, feature, bin, CAST(nl AS BIGINT) AS n_left, CAST(n - nl AS BIGINT) AS n_right, round(0.5*(gl*gl/(nl + 1) + (gs - gl)*(gs - gl)/(n - nl + 1) - gs*gs/(n + 1)), 3) AS gain FROM (
+      SELECT node, feature, bin, sum(g) OVER b AS gl, sum(n) OVER b AS nl, sum(g) OVER w AS gs, sum(n) OVER w AS n FROM (
+        SELECT node, feature, bin, sum(g) AS g, count(*) AS n FROM (
+          SELECT node, 0 AS feature, b0 AS bin, g FROM {0} UNION ALL SELECT node, 1, b1, g FROM {0} UNION ALL SELECT node, 2, b2, g FROM {0})
+        GROUP BY 1, 2, 3)
+      WINDOW w AS (PARTITION BY node, feature), b AS (PARTITION BY node, feature ORDER BY bin))
+    WHERE nl >= 20 AND n - nl >= 20)) WHERE r = 1"""
+
+
+@book.add("ml02_level_splits", sql("SELECT CAST(node AS INT) AS node, CAST(feature AS INT) AS feature, CAST(bin AS INT) AS bin, round(gain, 2) AS gain, n_left, n_right FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1)", _SPLITS.format(_LEVEL.format("l0"), _LEVEL.format("l1"))))
+def level_splits(spark, sf):
+    """The splits of the first two levels of the first boosted tree, by histograms of gradients over given bins."""
+    import numpy as np
+
+    from ..operators.boost import Boosting, Params
+
+    x = observed(spark, sf).withColumn("y", 0.5 * F.col("pr") + 2 * F.col("tmmx"))
+    fit = Boosting(x, ["pr", "tmmx", "chirps"], Params(depth=2, least_rows=20), [np.arange(10.0, 151, 10), np.arange(1.0, 11), np.arange(1.0, 9)])
+    nodes = fit.grow(0, fit._gradients()).nodes
+    fit.written.drop()
+    rows = [(k, n.feature, n.bin, round(n.gain, 2), int(n.sums[n.feature, : n.bin + 1, 2].sum()), int(n.sums[n.feature, n.bin + 1 :, 2].sum())) for k, n in enumerate(nodes) if n.accepted]
+    return spark.createDataFrame(rows, "node int, feature int, bin int, gain double, n_left long, n_right long")

@@ -118,12 +118,65 @@ def months_stored(spark: SparkSession, path: str, expected: int, share: float =
         return False
 
 
-def save_models(models: dict, path: str, ensemble: DataFrame | None = None) -> None:
-    from pyspark.sql import SparkSession
+def exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return False
+    return True
+
+
+def _marks(df: DataFrame, by: list[str]) -> DataFrame:
+    """Number of rows and sum of their hashes, which no order of rows changes."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")).cast("string").alias("h"))
+
+
+def fingerprint(*tables: DataFrame) -> str:
+    """What tells whether tables hold the same rows as before: one aggregation each."""
+    return " ".join(f"{r['n']}:{r['h']}" for r in (_marks(t, []).first() for t in tables))
 
+
+def is_current(spark: SparkSession, path: str, mark: str) -> bool:
+    """Whether the table at ``path`` was made from inputs of this fingerprint."""
+    return exists(spark, path) and exists(spark, f"{path}.mark") and spark.read.parquet(f"{path}.mark").first()["mark"] == mark
+
+
+def save_months(df: DataFrame, path: str, mark: str) -> list[int]:
+    """Stores a table with a month ``t``, in a folder for each month, and the fingerprint of what it was made from. Only
+    months that differ from what is stored are rewritten; returns them. The mark is written last, so a save that is
+    interrupted is done again."""
+    from .scratch import Written
+
+    spark, months = df.sparkSession, f"{path}.months"
+    new = Written(df)
+    marks = _marks(new.table, ["t"])
+    changed = [r["t"] for r in marks.select("t").collect()]  # the month axis
+    whole = True
+    if exists(spark, path) and exists(spark, months):
+        old = spark.read.parquet(months).toDF("t", "n0", "h0")
+        both = marks.join(old, "t", "full_outer").where("not (n <=> n0 and h <=> h0)").select("t", F.col("n").isNull().alias("gone")).collect()
+        whole = any(r["gone"] for r in both) or sorted(spark.read.parquet(path).columns) != sorted(new.table.columns)
+        changed = changed if whole else [r["t"] for r in both]
+    if changed:
+        out = new.table if whole else new.table.where(F.col("t").isin(changed))
+        out.repartition("t").write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic").partitionBy("t").parquet(path)
+    marks.coalesce(1).write.mode("overwrite").parquet(months)
+    spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("overwrite").parquet(f"{path}.mark")
+    new.drop()
+    return sorted(changed)
+
+
+def save_models(models: dict, path: str, ensemble: DataFrame | None = None) -> None:
+    """Fitted models under their names, each by its own writer, with the kind that tells how to read it again."""
+    spark = SparkSession.active()
     for name, model in models.items():
-        model.write().overwrite().save(f"{path}/{name}")
-    SparkSession.active().createDataFrame([(n,) for n in models], "model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+        if hasattr(model, "save") and hasattr(type(model), "load") and not hasattr(model, "write"):
+            model.save(spark, f"{path}/{name}")
+        else:
+            model.write().overwrite().save(f"{path}/{name}")
+    spark.createDataFrame([(n, type(m).__name__) for n, m in models.items()], "model string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
     if ensemble is not None:
         ensemble.select("model", "weight").write.mode("overwrite").parquet(f"{path}/ensemble")
 
@@ -139,14 +192,19 @@ def load_attributions(spark: SparkSession, path: str, models: list[str] | None =
 
 
 def load_models(spark: SparkSession, path: str, names: list[str] | None = None) -> tuple[dict, dict[str, float]]:
-    """Fitted pipelines by name, those named or all that were saved, and ensemble weights (empty where none were saved)."""
+    """Fitted models by name, those named or all that were saved, and ensemble weights (empty where none were saved)."""
     from pyspark.ml import PipelineModel
 
-    names = names or [r.model for r in spark.read.parquet(f"{path}/names").collect()]  # a row for each model
+    from ..operators.boost import BoostModel
+    from ..operators.gradient import Network
+
+    kinds = {r.model: r.kind for r in spark.read.parquet(f"{path}/names").collect()}  # a row for each model
     try:
         weights = {r.model: r.weight for r in spark.read.parquet(f"{path}/ensemble").collect()}  # a row for each model
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         weights = {}
-    return {n: PipelineModel.load(f"{path}/{n}") for n in names}, weights
+    own = {"BoostModel": BoostModel, "Network": Network}
+    read = lambda n: own[kinds[n]].load(spark, f"{path}/{n}") if kinds[n] in own else PipelineModel.load(f"{path}/{n}")
+    return {n: read(n) for n in names or kinds}, weights

@@ -15,7 +15,9 @@ def test_spaces_are_drawn_in_range_and_mapped(spark):
             if p[0] in params:
                 assert params[p[0]] in p[2] if p[1] == "choice" else p[2] - 1e-12 <= params[p[0]] <= p[3] + 1e-12
         assert ("drop_rate" in params) == (params.get("boosting_type") == "dart") and ("top_rate" in params) == (params.get("boosting_type") == "goss")
-        train.regressor(model, **study.mapped(model, params, 5, 4))
+        train.pipeline(model, ["a"], **study.mapped(model, params, 5, 4))
+    trees = {m: {study.mapped(m, p, 20, 6)[k] for (n, _), p in drawn.items() if n == m} for m, k in (("rf", "numTrees"), ("xgb", "rounds"), ("lgb", "leaves"))}
+    assert all(len(v) > 5 for v in trees.values())
     assert {len([p for p in space if len(p) < 5]) for space in study.SPACES.values()} == {13, 8, 15}
     assert study.n_trials("rf", 3) == 4 and study.n_trials("xgb", 3) == 3
 
@@ -61,26 +63,71 @@ def test_names_catalogues_and_marks(spark, tmp_path):
     assert axes.count() == 24 and {r.lat for r in axes.collect()} == {0.0, 0.5, 1.0}
 
 
-def test_steps_are_stored_and_used_again(spark, tmp_path):
+def small_job(spark, store, models=("linear",), trials=0, **settings):
     from gridscale.plans import steps
-    from gridscale.plans.downscale import Settings
 
     fine = spark.range(12 * 20 * 20).select((F.col("id") % 12).cast("int").alias("t"), (F.floor(F.col("id") / 12) % 20).cast("int").alias("i"), F.floor(F.col("id") / 240).cast("int").alias("j"))
     fine = fine.withColumns({c: F.pmod(F.xxhash64("t", "i", "j", F.lit(c)), F.lit(1000)) / 10.0 for c in ("pr", "tmmn", "tmmx", "aet")}).withColumn("value", F.col("pr") + F.col("i"))
     signal = fine.groupBy("t", F.floor(F.col("i") / 5).cast("int").alias("i"), F.floor(F.col("j") / 5).cast("int").alias("j")).agg(F.avg("value").alias("value")).where("t <> 5")
     static = fine.select("i", "j").distinct().withColumn("elevation", F.col("i") * 1.0).withColumn("population", F.col("j") * 1.0)
-    job = steps.Job(spark, str(tmp_path), signal, fine.drop("value"), static, settings=Settings(base=("pr", "aet", "tmean"), rain=()), models=("linear",), trials=0)
+    return steps.Job(spark, str(store), signal, fine.drop("value"), static, settings=steps.Settings(base=("pr", "aet", "tmean"), rain=(), **settings), models=models, trials=trials)
+
+
+def test_steps_are_stored_and_used_again(spark, tmp_path):
+    from gridscale.plans import steps
+
+    job = small_job(spark, tmp_path)
     steps.gap_fill(job), steps.create_features(job)
     first = job.read("filled")
-    assert first.count() == 12 * 16 and first.where("value is null").count() == 0 or first.where("t = 5 and observed is null").count() == 16
-    stamp = [r.date for r in job.read("run_info").collect()]
+    assert first.count() == 12 * 16 and first.where("t = 5 and observed is null").count() == 16
+    done = job.read("run_info").count()
+    steps.gap_fill(job)
+    steps.create_features(job)
+    assert job.read("run_info").count() == done  # nothing has changed
+    job.signal = job.signal.withColumn("value", 100 * F.col("value"))
     steps.gap_fill(job)
-    assert len(job.read("run_info").collect()) == len(stamp)
+    again = job.read("filled").agg(F.avg("observed")).first()[0]
+    assert job.read("run_info").count() == done + 1 and again == pytest.approx(job.signal.agg(F.avg("value")).first()[0])
+    job.settings.base = ("pr", "tmean")
+    steps.create_features(job)
+    assert "aet" not in job.read("fine").columns
+
+
+def test_only_changed_months_are_rewritten(spark, tmp_path):
+    from gridscale.sources.files import fingerprint, is_current, save_months
+
+    path = str(tmp_path / "x")
+    x = spark.range(60).select((F.col("id") % 6).cast("int").alias("t"), F.col("id").alias("i"), (F.col("id") * 1.0).alias("value"))
+    assert save_months(x, path, fingerprint(x)) == [0, 1, 2, 3, 4, 5] and is_current(spark, path, fingerprint(x.orderBy("value")))
+    names = {f.parent.name: f.name for f in (tmp_path / "x").glob("t=*/*.parquet")}
+    y = x.withColumn("value", F.when(F.col("i") == 13, -1.0).otherwise(F.col("value")))
+    assert not is_current(spark, path, fingerprint(y)) and save_months(y, path, fingerprint(y)) == [1]
+    now = {f.parent.name: f.name for f in (tmp_path / "x").glob("t=*/*.parquet")}
+    assert {k for k in names if names[k] != now[k]} == {"t=1"} and spark.read.parquet(path).where("value = -1").count() == 1
+    save_months(y.where("t <> 3"), path, "other")
+    assert spark.read.parquet(path).select("t").distinct().count() == 5
+
+
+def test_a_model_that_fails_does_not_stop_the_step_and_the_winner_is_read_back(spark, tmp_path):
+    from gridscale.plans import steps
+
+    job = small_job(spark, tmp_path, models=("linear", "unheard_of", "nn"))
+    steps.run(job)
+    assert {r.model for r in job.read("scores").collect()} == {"linear", "nn"} and job.read("scores").where("train_r2 is null").count() == 0
+    assert job.read("product").count() > 0 and job.read("metrics").count() == 2
+    scores = {r.method: round(r.r2, 9) for r in job.read("bake_off").collect()}
+    best = min(scores, key=lambda m: (-scores[m], m))
+    assert len(scores) == 8 and small_job(spark, tmp_path).method() == best and small_job(spark, tmp_path, method="idw").method() == "idw"
+    job.signal = job.signal.withColumn("t", F.col("t") + 500)
+    job.store = str(tmp_path / "none")
+    steps.gap_fill(job), steps.create_features(job), steps.aggregate(job)
+    with pytest.raises(ValueError, match="share no month"):
+        steps._training(job)
 
 
 def test_product_without_correction_is_the_prediction(spark, tmp_path):
     from gridscale.plans import steps
-    from gridscale.plans.downscale import Settings
+    from gridscale.plans.steps import Settings
 
     told = spark.createDataFrame([(0, 1, 1, 2.5)], "t int, i int, j int, predicted double")
     told.write.parquet(str(tmp_path / "fine_prediction"))
