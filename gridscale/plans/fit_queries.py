@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attribute, folds, train
+from ..operators import attribute, folds, shap, train
 from ..operators.coarsen import coarsen
 from ..operators.gradient import Network, svr
 from ..operators.metrics import regression
@@ -107,27 +107,35 @@ def search(spark, sf):
     return out
 
 
-#: Samples that are explained, and background rows they are held against, at most; a sampling operator by its nature.
-EXPLAINED, BACKGROUND = 1000, 100
-
-
-def _explained(spark, sf):
-    x = training(spark, sf).cache()
-    model = train.pipeline("rf", FEATURES, numTrees=10, maxDepth=5).fit(x)
-    keyed = x.withColumn("sample_id", F.concat_ws("-", "t", "i", "j"))
-    samples = keyed.orderBy(F.md5("sample_id")).limit(EXPLAINED)
-    background = x.orderBy(F.md5(F.concat_ws("-", "t", "i", "j", F.lit("b")))).limit(BACKGROUND)
-    return model, samples, background
+def _forest(spark, sf):
+    x = training(spark, sf).withColumn("sample_id", F.concat_ws("-", "t", "i", "j"))
+    return train.pipeline("rf", FEATURES, numTrees=10, maxDepth=5).fit(x), x
 
 
 @book.add("xai01_attributions")
 def attributions(spark, sf):
-    return attribute.shapley(*_explained(spark, sf), FEATURES, rounds=BACKGROUND)[0]
+    """Exact attributions of every sample by the trees' own paths."""
+    return shap.tree_attributions(*_forest(spark, sf), FEATURES)[0]
 
 
 @book.add("xai02_interactions")
 def interactions(spark, sf):
-    return attribute.interactions(*_explained(spark, sf), FEATURES).orderBy(F.desc("strength")).limit(10)
+    """The ten strongest pairs by exact interaction values over all samples."""
+    return shap.tree_interactions(*_forest(spark, sf), FEATURES).orderBy(F.desc("strength")).limit(10)
+
+
+#: Samples that the sampling explainer looks at, and background rows it holds them against, at most.
+EXPLAINED, BACKGROUND = 1000, 100
+
+
+@book.add("xai01_sampled")
+def sampled_attributions(spark, sf):
+    """Attributions of a model that is no tree, by sampled permutations against background rows."""
+    x = training(spark, sf).withColumn("sample_id", F.concat_ws("-", "t", "i", "j"))
+    model = train.pipeline("linear", FEATURES).fit(x)
+    samples = x.orderBy(F.md5("sample_id")).limit(EXPLAINED)
+    background = x.orderBy(F.md5(F.concat_ws("-", "sample_id", F.lit("b")))).limit(BACKGROUND)
+    return attribute.shapley(model, samples, background, FEATURES, rounds=BACKGROUND)[0]
 
 
 # attribution tables of two models, derived from the data, for the summaries that SQL can check
