@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 def regression(df: DataFrame, truth: str, guess: str, by: list[str]) -> DataFrame:
     """n, r2, rmse, mae, bias, correlation, slope and intercept over rows where both are known.
 
-    The total sum of squares comes from the population variance, so one pass is enough.
+    The total sum of squares comes from the population variance, so one pass is enough. Where truth or guess doesn't
+    vary, what would divide by its variance is null.
     """
     x = df.where(F.col(truth).isNotNull() & F.col(guess).isNotNull())
     e = F.col(guess) - F.col(truth)
     return x.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), (1 - F.sum(e * e) / (F.var_pop(truth) * F.count(F.lit(1)))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
-        F.avg(e).alias("bias"), F.corr(truth, guess).alias("r"), F.regr_slope(guess, truth).alias("slope"), F.regr_intercept(guess, truth).alias("intercept"),
+        F.count(F.lit(1)).alias("n"), (1 - F.try_divide(F.sum(e * e), F.var_pop(truth) * F.count(F.lit(1)))).alias("r2"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
+        F.avg(e).alias("bias"), F.try_divide(F.covar_pop(truth, guess), F.stddev_pop(truth) * F.stddev_pop(guess)).alias("r"), F.regr_slope(guess, truth).alias("slope"), F.regr_intercept(guess, truth).alias("intercept"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attribute, folds, study, train
+from ..operators import anova, attribute, folds, parzen, study, train
 from ..operators.coarsen import coarsen
 from ..operators.metrics import regression
 from ..sources.bind import FACTOR, SIDE, observed, read, signal, sql, static
@@ -269,3 +269,79 @@ def level_splits(spark, sf):
     fit.written.drop()
     rows = [(k, n.feature, n.bin, round(n.gain, 2), int(n.sums[n.feature, : n.bin + 1, 2].sum()), int(n.sums[n.feature, n.bin + 1 :, 2].sum())) for k, n in enumerate(nodes) if n.accepted]
     return spark.createDataFrame(rows, "node int, feature int, bin int, gain double, n_left long, n_right long")
+
+
+_DENSITY = """pr AS (SELECT study, depth, row_number() OVER (PARTITION BY study ORDER BY r2 DESC, trial) <= least(ceil(0.2*count(*) OVER (PARTITION BY study)), 25) AS good FROM lo),
+sd AS (SELECT study, good, count(*) AS n FROM pr GROUP BY 1, 2), ca AS (SELECT study, x, b.good FROM (SELECT DISTINCT study FROM lo), (SELECT unnest(range(3, 16)) AS x), (VALUES (true), (false)) b(good)),
+de AS (SELECT c.study, c.x, c.good, (CAST(1 AS DOUBLE)/12 + coalesce(sum(exp(-0.5*pow((c.x - p.depth)*sqrt(coalesce(s.n, 0) + 1)/12, 2))), 0)*sqrt(coalesce(s.n, 0) + 1)/CAST(30.079539295572 AS DOUBLE))/(coalesce(s.n, 0) + 1) AS d
+FROM ca c LEFT JOIN sd s USING (study, good) LEFT JOIN pr p ON p.study = c.study AND p.good = c.good GROUP BY c.study, c.x, c.good, s.n)"""
+
+
+@book.add("ml18_parzen_densities", "WITH " + _LOG + ", " + _DENSITY + " " + rounded_sql("SELECT study, CAST(x AS INT) AS depth, max(CASE WHEN good THEN d END) AS l, max(CASE WHEN NOT good THEN d END) AS g FROM de GROUP BY 1, 2", "l g", "study depth"))
+def parzen_densities(spark, sf):
+    """Densities of a parameter's values under the good and the other trials of each study."""
+    log = parzen.parted(_log(spark, sf), ["study"], "r2")
+    candidates = log.select("study").distinct().withColumn("depth", F.explode(F.sequence(F.lit(3), F.lit(15))))
+    return rounded(parzen.densities(log, candidates, ["study"], "depth", 3, 15))
+
+
+_STEPS = """sv AS (SELECT l_orderkey // 64 AS study, l_orderkey AS trial, l_linenumber AS step, avg(1 - 6*l_discount) AS v FROM lineitem GROUP BY 1, 2, 3),
+rn AS (SELECT study, trial, step, round(avg(v) OVER (PARTITION BY trial ORDER BY step), 9) AS value FROM sv),
+md AS (SELECT study, step, quantile_cont(value, 0.5) AS median, count(*) AS n FROM rn WHERE trial % 2 = 0 GROUP BY 1, 2)"""
+
+
+@book.add("ml18_median_pruning", "WITH " + _STEPS + " SELECT study, trial, CAST(step AS INT) AS step, round(value, 6) AS value, round(median, 6) AS median, coalesce(step > 1 AND n >= 4 AND value < median, false) AS pruned FROM rn LEFT JOIN md USING (study, step) WHERE trial % 2 = 1")
+def median_pruning(spark, sf):
+    """Running trials against the median of the finished ones of their study, step by step."""
+    from pyspark.sql.window import Window
+
+    so_far = Window.partitionBy("trial").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    keys = F.floor(F.col("l_orderkey") / 64).cast("long").alias("study"), F.col("l_orderkey").alias("trial"), F.col("l_linenumber").cast("int").alias("step")
+    x = read(spark, sf, "lineitem").groupBy(*keys).agg(F.avg(1 - 6 * F.col("l_discount")).alias("v"))
+    x = x.withColumn("value", F.round(F.avg("v").over(so_far), 9)).drop("v")
+    told = parzen.below_median(x.where("trial % 2 = 1"), x.where("trial % 2 = 0"), ["study"])
+    return told.select("study", "trial", "step", F.round("value", 6).alias("value"), F.round("median", 6).alias("median"), "pruned")
+
+
+def _folds(spark, sf):
+    x = training(spark, sf).withColumn("sb", F.floor(F.col("i") / 2).cast("int"))
+    centres = x.groupBy("sb").agg(F.avg("i").alias("ci"), F.avg("j").alias("cj"))
+    spans = x.agg(F.min("t").alias("t0"), F.max("t").alias("t1")).withColumn("tb", F.lit(0))
+    return folds.roles(x, centres, spans, 0.5, 1)
+
+
+def _study(spark, table, model, n, **most):
+    """A study of ``n`` trials over a table with folds, which is written once for all of them."""
+    import uuid
+
+    from ..sources.scratch import Written, shared_folder
+
+    objective = parzen.model_objective(model, Written(table).table, FEATURES, **most)
+    return parzen.Study(spark, f"{shared_folder(spark)}/study-{uuid.uuid4().hex}", model, study.SPACES[model]).run(objective, n)
+
+
+@book.add("ml18_adaptive_study")
+def adaptive_study(spark, sf):
+    """A study of boosters over blocked folds, with pruning and a stored trial table."""
+    return _study(spark, _folds(spark, sf), "xgb", 4, most_trees=3, most_depth=3).select("study", "trial", "state", "value", F.size("steps").alias("n_steps"), "params")
+
+
+@book.add("ml19_searched_importance")
+def searched_importance(spark, sf):
+    """How much each parameter that a study searched tells about its objective."""
+    x = training(spark, sf)
+    one = x.withColumn("fold", F.lit(1)).withColumn("role", F.when(train.hash_split(x, ["t", "i", "j"], 0.7), "train").otherwise("test"))
+    return anova.parameter_importance(_study(spark, one, "rf", 8, most_trees=3, most_depth=4), study.SPACES["rf"], 8, 4)
+
+
+_CELLS = """cl AS (SELECT l_suppkey AS tree, l_linenumber % 4 AS a, l_partkey % 5 AS b, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2, 3), wh AS (SELECT tree, sum(value)/20.0 AS m, sum(value*value)/20.0 - pow(sum(value)/20.0, 2) AS total FROM cl GROUP BY tree),
+ma AS (SELECT tree, 'a' AS param, a AS k, sum(value)/5.0 AS mean, 0.25 AS width FROM cl GROUP BY tree, a UNION ALL SELECT tree, 'b', b, sum(value)/4.0, 0.2 FROM cl GROUP BY tree, b)"""
+
+
+@book.add("ml19_marginals", "WITH " + _CELLS + " " + rounded_sql("SELECT CAST(tree AS BIGINT) AS tree, param, CASE WHEN total > 1e-12 THEN sum(width*pow(mean - m, 2))/total ELSE 0.0 END AS share FROM ma JOIN wh USING (tree) GROUP BY tree, param, total", "share", "tree param"))
+def box_marginals(spark, sf):
+    """Shares of variance of two parameters over boxes whose values come from the line items of each supplier."""
+    x = read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("tree"), (F.col("l_linenumber") % 4).alias("a"), (F.col("l_partkey") % 5).alias("b")).agg(F.avg("l_quantity").alias("value"))
+    side = lambda c, n: F.struct(F.lit(c).alias("param"), (F.col(c) / n).alias("lo"), ((F.col(c) + 1) / n).alias("hi"))
+    boxes = x.select("tree", (F.col("a") * 5 + F.col("b")).alias("leaf"), F.explode(F.array(side("a", 4), side("b", 5))).alias("s"), "value").select("tree", "leaf", "s.*", "value")
+    return rounded(anova.shares(boxes).select(F.col("tree").cast("long").alias("tree"), "param", "share"))
