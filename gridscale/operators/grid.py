@@ -119,3 +119,43 @@ def axes(df: DataFrame | None, spark, n_rows: int, n_columns: int, n_months: int
     grid = line(n_rows, "i").crossJoin(F.broadcast(line(n_columns, "j"))).crossJoin(F.broadcast(line(n_months, "t")))
     at = lambda k, n, lo, hi: F.lit(lo) + F.col(k) * ((hi - lo) / max(n - 1, 1))
     return grid.select("t", "i", "j", at("i", n_rows, box[0], box[1]).alias("lat"), at("j", n_columns, box[2], box[3]).alias("lon"))
+
+
+def nearest_known(cells: DataFrame, known: DataFrame, value: str, reach: int = 4) -> DataFrame:
+    """(i, j, value): for each distinct cell (i, j) the value of the nearest row of ``known`` (i, j, value); of equally near
+    ones that of the smallest i, then j. Null where ``known`` is empty.
+
+    Cells and known rows meet in square buckets of ``reach`` lines. A ring of buckets around a cell settles it if it holds
+    a row no farther than the ring is wide; only cells that are not settled go on to a ring twice as wide, so work follows
+    the distance to what is known and no cell meets all rows.
+    """
+    from ..sources.scratch import Written
+
+    bucket = lambda c: F.floor(F.col(c) / reach)
+    k = Written(known.select(F.col("i").alias("ki"), F.col("j").alias("kj"), F.col(value).alias("kv")).withColumn("bi", bucket("ki")).withColumn("bj", bucket("kj"))).table
+    ends = k.agg(F.min("ki"), F.max("ki"), F.min("kj"), F.max("kj")).first()
+    rest = Written(cells.select("i", "j").distinct()).table
+    if ends[0] is None:
+        return rest.withColumn(value, F.lit(None).cast(known.schema[value].dataType))
+    own = rest.agg(F.min("i"), F.max("i"), F.min("j"), F.max("j")).first()
+    if own[0] is None:
+        return rest.withColumn(value, F.lit(None).cast(known.schema[value].dataType))
+    span = max(abs(a - b) for a, b in ((own[0], ends[1]), (own[1], ends[0]), (own[2], ends[3]), (own[3], ends[2])))
+    settled, ring = None, 1
+    while True:
+        steps = F.sequence(F.lit(-ring), F.lit(ring))
+        # the rows of a bucket lie within the known extent, so a ring's empty outside is left out before it is met
+        low, high = [F.lit(int(v) // reach) for v in (ends[0], ends[2])], [F.lit(int(v) // reach) for v in (ends[1], ends[3])]
+        near = rest.withColumn("bi", F.explode(F.filter(F.transform(steps, lambda x: bucket("i") + x), lambda x: (x >= low[0]) & (x <= high[0]))))
+        near = near.withColumn("bj", F.explode(F.filter(F.transform(steps, lambda x: bucket("j") + x), lambda x: (x >= low[1]) & (x <= high[1]))))
+        apart = F.pow(F.col("i") - F.col("ki"), 2) + F.pow(F.col("j") - F.col("kj"), 2)
+        best = near.join(k, ["bi", "bj"]).groupBy("i", "j").agg(F.min(F.struct(apart.alias("d"), "ki", "kj", "kv")).alias("b"))
+        whole = ring * reach >= span
+        found = Written(best.where(F.lit(whole) | (F.col("b.d") <= float(ring * reach) ** 2)).select("i", "j", F.col("b.kv").alias(value))).table
+        settled = found if settled is None else settled.unionByName(found)
+        if whole:
+            return settled
+        rest = Written(rest.join(found, ["i", "j"], "left_anti")).table
+        if rest.isEmpty():
+            return settled
+        ring *= 2

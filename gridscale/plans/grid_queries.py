@@ -162,13 +162,12 @@ def scale_check(spark, sf):
     return s.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("s") <= 0).alias("non_positive"), F.count_if(F.col("s") > 10).alias("above_10"))
 
 
-@book.add("join02_scale_alignment", sql("SELECT i, j, coalesce(s.f, n.f, 1.0) AS scale_factor FROM cells LEFT JOIN (SELECT n_nationkey AS i, round(1+n_regionkey/10.0 + 1e-7, 6) AS f FROM nation WHERE n_nationkey % 3 = 0) s USING (i) LEFT JOIN (SELECT n_nationkey AS k, round(1+n_regionkey/10.0 + 1e-7, 6) AS f FROM nation WHERE n_nationkey % 3 = 0) n ON n.k = 3*CAST(round((i-0.1)/3.0) AS INT)"))
+@book.add("join02_scale_alignment", sql("SELECT i, j, coalesce(s.f, 1.0) AS scale_factor FROM cells LEFT JOIN (SELECT n_nationkey AS i, round(1+n_regionkey/10.0 + 1e-7, 6) AS f FROM nation) s USING (i)"))
 def scale_alignment(spark, sf):
-    known = read(spark, sf, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("k"), near(1 + F.col("n_regionkey") / 10.0, 6).alias("f"))
+    """Factors of the lines that have one, else 1."""
+    known = read(spark, sf, "nation").select(F.col("n_nationkey").alias("i"), near(1 + F.col("n_regionkey") / 10.0, 6).alias("f"))
     cells = observed(spark, sf).select("i", "j").distinct()
-    exact = cells.join(known.select(F.col("k").alias("i"), "f"), "i", "left")
-    nearest = known.select("k", F.col("f").alias("near"))
-    return exact.withColumn("k", 3 * F.round((F.col("i") - 0.1) / 3.0).cast("int")).join(nearest, "k", "left").select("i", "j", F.coalesce("f", "near", F.lit(1.0)).alias("scale_factor"))
+    return cells.join(known, "i", "left").select("i", "j", F.coalesce("f", F.lit(1.0)).alias("scale_factor"))
 
 
 _SCALE = "known AS (SELECT CAST(s_suppkey % 20 AS INT) AS i, CAST((s_suppkey // 20) % 20 AS INT) AS j, CAST(1 + avg(s_nationkey)/100.0 AS DOUBLE) AS f FROM supplier GROUP BY 1, 2)"
@@ -180,9 +179,7 @@ def supplier_alignment(spark, sf):
     place = [(F.col("s_suppkey") % SIDE).cast("int").alias("i"), (F.floor(F.col("s_suppkey") / SIDE) % SIDE).cast("int").alias("j")]
     known = read(spark, sf, "supplier").groupBy(*place).agg((1 + F.avg("s_nationkey") / 100.0).alias("f"))
     exact = observed(spark, sf).select("i", "j").distinct().join(known, ["i", "j"], "left")
-    k = known.select(F.col("i").alias("ki"), F.col("j").alias("kj"), F.col("f").alias("kf"))
-    apart = F.pow(F.col("i") - F.col("ki"), 2) + F.pow(F.col("j") - F.col("kj"), 2)
-    nearest = exact.where("f is null").select("i", "j").crossJoin(F.broadcast(k)).groupBy("i", "j").agg(F.min_by("kf", F.struct(apart, "ki", "kj")).alias("near"))  # SIDE x SIDE cells at most
+    nearest = op.nearest_known(exact.where("f is null"), known, "f").withColumnRenamed("f", "near")
     return exact.join(nearest, ["i", "j"], "left").select("i", "j", near(F.coalesce("f", "near", F.lit(1.0)), 6).alias("scale_factor"))
 
 

@@ -154,3 +154,30 @@ def bake_off(spark, sf):
     before = g.where("method = 'geographic'").select((F.col("r2") - F.col("gain_r2")).alias("b0"))
     best = g.agg(F.max_by("method", F.struct("r2", "method")).alias("best"), F.max("r2").alias("r2"))
     return told(best.crossJoin(F.broadcast(before)).select("best", "r2", (F.col("r2") - F.col("b0")).alias("gain")), 3)  # one row each
+
+
+def _spline_axis(x: str, c: str, w: str) -> str:
+    p = f"(({x}-2)/5.0::DOUBLE)"
+    low = f"least(floor({p}), 2)"
+    f = f"({p}-{low})"
+    taps = [(-1, f"(1-{f})**3/6"), (0, f"(4-6*{f}**2+3*{f}**3)/6"), (1, f"(1+3*{f}+3*{f}**2-3*{f}**3)/6"), (2, f"{f}**3/6")]
+    rows = " UNION ALL ".join(f"SELECT {x}, {low}+({k}) AS k, {v} AS b FROM (SELECT DISTINCT {x} FROM cells) WHERE {x} BETWEEN 2 AND 17" for k, v in taps)
+    mirrored = "CASE WHEN z.k < 0 THEN -z.k WHEN z.k > 3 THEN 6 - z.k ELSE z.k END"
+    return f"SELECT {x}, m AS {c}, sum(b*v) AS {w} FROM ({rows}) z JOIN iv ON iv.k = {mirrored} GROUP BY 1, 2"
+
+
+# the inverse of the band (1, 4, 1) / 6 with mirrored ends, for four lines
+_INVERSE = "iv AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, {m}, {v!r}::DOUBLE)" for k, r in enumerate(weights.spline_inverse(4)) for m, v in enumerate(r)) + ") x(k, m, v))"
+_SPLINE = f"sri AS ({_spline_axis('i', 'ci', 'wi')}), srj AS ({_spline_axis('j', 'cj', 'wj')}), w_spline AS (SELECT cells.i, cells.j, ci, cj, wi*wj AS w FROM cells JOIN sri USING (i) JOIN srj USING (j))"
+
+
+_CARRIED = """sc AS (SELECT t, i, j, CASE WHEN count(residual) = any_value(n) THEN sum(w*residual) END AS correction
+FROM w_spline JOIN cr USING (ci, cj) JOIN (SELECT i, j, count(*) AS n FROM w_spline GROUP BY ALL) USING (i, j) GROUP BY t, i, j)"""
+
+
+@book.add("grd07_spline", sql(told_sql("SELECT t, i, j, correction FROM sc", "correction", "t i j", 2), CO[0], CO[1], _INVERSE, _SPLINE, _CARRIED))
+def spline_correction(spark, sf):
+    """The coarse residual carried down by a cubic B-spline that goes through the coarse values."""
+    fine, c = residuals(spark, sf)
+    table = weights.spline(fine.select("i", "j").distinct(), FACTOR, SIDE // FACTOR, SIDE // FACTOR)
+    return told(weights.apply(table, c, "residual", "correction").select("t", "i", "j", "correction"), 2)

@@ -60,9 +60,9 @@ def short_gaps(spark, sf):
     return op.fill_short(signal(spark, sf).select("t", "i", "j", "value"), "value", "filled").select("t", "i", "j", r6("filled"))
 
 
-@book.add("win06_extension", sql("SELECT t, i, j, round(filled + 1e-7, 6) AS value FROM line WHERE t % 7 = 0", _LINE))
+@book.add("win06_extension", sql("SELECT t, i, j, round(filled + 1e-7, 6) AS value FROM line", _LINE))
 def extension(spark, sf):
-    return op.linear_fill(signal(spark, sf).select("t", "i", "j", "value"), "value", "filled").where("t % 7 = 0").select("t", "i", "j", r6("filled", "value"))
+    return op.linear_fill(signal(spark, sf).select("t", "i", "j", "value"), "value", "filled").select("t", "i", "j", r6("filled", "value"))
 
 
 #: Both series (s = 1, 2) on all cells and on the union of their months, filled as in ``_LINE``.
