@@ -61,6 +61,8 @@ FAMILIES = list(TEMPLATES)
 CLASSES = [*FAMILIES, "unknown", "none"]
 #: Documents, chosen by a hash of their id, whose whole texts are the fit's ordinary lines and paragraphs.
 SAMPLE = 150
+#: Bytes that these have together at most.
+SAMPLE_BYTES = 2_000_000
 #: Words that are read at a time, and bits of a feature's number.
 SPAN, BITS = 24, 18
 #: Made-up ordinary lines.
@@ -92,7 +94,7 @@ class Model:
 def fit(negatives: list[str], seed: int = 5, rounds: int = 120) -> Model:
     rng = np.random.default_rng(seed)
     memory = Words()
-    ordinary = np.array([x for t in negatives[:: max(len(negatives) // 2000, 1)] for x in t.split()] or ["the", "of", "and"], dtype=object)
+    ordinary = np.array([x for t in negatives for x in t.split()] or ["the", "of", "and"], dtype=object)
 
     def varied(t: str) -> str:
         words = [w for w in t.split() if rng.random() > 0.06]
@@ -254,11 +256,19 @@ def _scan(model: Model):
     return run
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
-    """A model whose ordinary lines and paragraphs are the whole texts of ``sample`` documents."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    chosen = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
-    return fit([x for r in chosen.collect() for x in _read(r["text"].split("\n"))])
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model whose ordinary lines and paragraphs are the whole texts of ``sample`` documents, of ``sample_bytes`` bytes
+    together at most, chosen by a hash of their id; a text that doesn't fit any more is left out by itself."""
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    turn = texts.select("doc_id", "h", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "h").limit(sample)
+    chosen, room = [], sample_bytes
+    for r in turn.collect():  # ``sample`` small rows
+        if r["size"] <= room:
+            chosen.append((r["doc_id"], r["h"]))
+            room -= r["size"]
+    keys = docs.sparkSession.createDataFrame(chosen, "id long, hash long").distinct()
+    got = texts.join(F.broadcast(keys), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hash"))).select("doc_id", "h", "text").dropDuplicates(["doc_id", "h"])
+    return fit([x for r in got.orderBy(F.xxhash64("doc_id"), "doc_id", "h").collect() for x in _read(r["text"].split("\n"))])
 
 
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, model: Model | None = None) -> DataFrame:
