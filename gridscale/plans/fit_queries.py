@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import attribute, folds, shap, train
+from ..operators import attribute, folds, shap, study, train
 from ..operators.coarsen import coarsen
 from ..operators.gradient import Network, svr
 from ..operators.metrics import regression
 from ..sources.bind import FACTOR, SIDE, observed, signal, sql, static
 from .book import Book
-from .metric_queries import rounded, rounded_sql, trials
+from .metric_queries import rounded, rounded_sql
 
 book = Book()
 FEATURES = ["pr", "tmmx", "aet", "elevation", "lat"]
@@ -95,16 +95,9 @@ def prediction(spark, sf):
 
 @book.add("ml15_search")
 def search(spark, sf):
-    """Random search: a seeded table of trials, each fitted and scored on one repeatable split."""
-    x = training(spark, sf)
-    x = x.withColumn("_train", train.hash_split(x, ["t", "i", "j"], 0.7)).cache()
-    table = spark.range(4).select("id", (3 + F.floor(F.rand(1) * 4)).cast("int").alias("depth"), F.round(F.exp(F.log(F.lit(0.05)) + F.rand(2) * F.log(F.lit(6.0))), 4).alias("step")).collect()
-    out = None
-    for trial in table:
-        fitted = train.pipeline("xgb", FEATURES, maxDepth=trial.depth, stepSize=trial.step, maxIter=5).fit(x.where("_train"))
-        m = regression(fitted.transform(x.where("not _train")), "y", "prediction", []).select(F.lit(trial.id).alias("trial"), F.lit(trial.depth).alias("depth"), F.lit(trial.step).alias("step"), "r2", "rmse")
-        out = m if out is None else out.unionByName(m)
-    return out
+    """Random search over a family's whole space, each trial fitted and scored on one repeatable split."""
+    log = study.run(training(spark, sf), FEATURES, ["t", "i", "j"], ["rf"], 3, most_trees=4, most_depth=4)
+    return log.select("model", "trial", "state", "r2", "rmse", "params")
 
 
 def _forest(spark, sf):
@@ -213,18 +206,8 @@ def network(spark, sf):
 @book.add("ml16_trial_objective")
 def trial_objective(spark, sf):
     """Trials with their objective, rejected where the fit is poor; the best first."""
-    x = search(spark, sf)
-    reject = F.col("r2") < 0.5
-    return x.withColumn("objective", F.when(reject, F.lit(-999.0)).otherwise(F.col("r2"))).orderBy(F.desc("objective"))
-
-
-@book.add("ml19_parameter_importance")
-def parameter_importance(spark, sf):
-    """How much each trial parameter tells about the objective, by a forest over the trial log."""
-    x = trials(spark, sf).where("state = 'complete'").select("depth", F.month("started").cast("double").alias("month"), F.col("trial").cast("double").alias("trial"), F.col("value").alias("y"))
-    names = ["depth", "month", "trial"]
-    found = train.pipeline("rf", names, numTrees=5, maxDepth=4).fit(x).stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, found, strict=True)], "parameter string, importance double")
+    value = study.simple_objective(F.col("r2"), F.lit(0.0))
+    return search(spark, sf).withColumn("objective", value).orderBy(F.desc("objective"), "trial")
 
 
 def _coarse_signal(spark, sf):
