@@ -65,6 +65,8 @@ SAMPLE = 150
 SAMPLE_BYTES = 2_000_000
 #: Words that are read at a time, and bits of a feature's number.
 SPAN, BITS = 24, 18
+#: Characters whose words are scored at a time; a longer text is scored by itself.
+PART = 1_000_000
 #: Made-up ordinary lines.
 MADE = 1000
 CONFIRM, LEAST = 0.6, 0.5
@@ -189,6 +191,19 @@ def _stretches(first: np.ndarray, sizes: np.ndarray, line: np.ndarray, follows:
     return start[order], end[order]
 
 
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of whole texts, some ``PART`` characters at a time."""
+    for b in batches:
+        sizes, a = [len(t) for t in b["text"]], 0
+        while a < len(b):
+            e, size = a + 1, sizes[a]
+            while e < len(b) and size + sizes[e] <= PART:
+                size += sizes[e]
+                e += 1
+            yield b.iloc[a:e]
+            a = e
+
+
 def _scan(model: Model):
     memory = Words()
     pairs = [(k, _fixed(t, memory)) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
@@ -207,7 +222,7 @@ def _scan(model: Model):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         mask = np.uint64((1 << BITS) - 1)
-        for b in batches:
+        for b in _parts(batches):
             lines, of, number, follows = [], [], [], []
             for k, t in enumerate(b["text"]):
                 last = None
