@@ -27,12 +27,24 @@ TEMPLATES = {
         "This work is licensed under the GNU Affero General Public License, version 3",
         "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License",
     ],
-    "apache": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "Apache License Version 2.0 January 2004"],
+    "apache": [
+        "Licensed under the Apache License, Version 2.0",
+        "you may not use this file except in compliance with the License",
+        "Apache License Version 2.0 January 2004",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS",
+    ],
+    "artistic": ["Licensed under the Artistic License 2.0", "you may redistribute it and/or modify it under the terms of the Artistic License"],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted",
         "Licensed under the BSD License",
         "Released under the BSD 3-Clause License",
         "Released under the BSD 2-Clause License",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "may be used to endorse or promote products derived from this software without specific prior written permission",
     ],
     "cc-by": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
@@ -41,21 +53,63 @@ TEMPLATES = {
     "cc-by-nd": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "cc0": ["Licensed under CC0 1.0 Universal", "CC0 1.0 Universal Public Domain Dedication", "has waived all copyright and related or neighboring rights to this work"],
+    "cddl": ["subject to the terms of the Common Development and Distribution License", "Licensed under the CDDL 1.0"],
     "epl": ["Licensed under the Eclipse Public License 2.0", "made available under the terms of the Eclipse Public License"],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3", "you can redistribute it and/or modify it under the terms of the GNU General Public License", "Licensed under the GNU GPL"],
+    "eupl": ["Licensed under the European Union Public Licence, Version 1.2", "Licensed under the EUPL"],
+    "gpl": ["This work is licensed under the GNU General Public License, version 3", "This work is licensed under the GNU General Public License, version 2", "you can redistribute it and/or modify it under the terms of the GNU General Public License", "Licensed under the GNU GPL"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Licensed under the ISC License"],
     "lgpl": [
         "This work is licensed under the GNU Lesser General Public License, version 3",
         "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
     ],
-    "mit": ["Released under the MIT License", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"],
+    "mit": [
+        "Released under the MIT License",
+        "Licensed under the MIT License",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ],
     "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License 2.0"],
+    "ofl": ["This Font Software is licensed under the SIL Open Font License, Version 1.1", "Licensed under the SIL Open Font License"],
+    "psf": ["Licensed under the Python Software Foundation License Version 2", "Distributed under the PSF License Agreement"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
+    "wtfpl": ["Do What The Fuck You Want To Public License", "Licensed under the WTFPL, version 2"],
+    "zlib": [
+        "Licensed under the zlib License",
+        "In no event will the authors be held liable for any damages arising from the use of this software",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    ],
 }
+#: The short identifiers of these licences, without the suffixes of ``SUFFIXES``.
+IDENTIFIERS = {
+    "agpl": ["AGPL-3.0"], "apache": ["Apache-2.0"], "artistic": ["Artistic-2.0"], "boost": ["BSL-1.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "cc0": ["CC0-1.0"], "cddl": ["CDDL-1.0"], "epl": ["EPL-1.0", "EPL-2.0"],
+    "eupl": ["EUPL-1.2"], "gpl": ["GPL-2.0", "GPL-3.0"], "isc": ["ISC"], "lgpl": ["LGPL-2.1", "LGPL-3.0"], "mit": ["MIT"], "mpl": ["MPL-2.0"], "ofl": ["OFL-1.1"], "psf": ["PSF-2.0"], "unlicense": ["Unlicense"], "wtfpl": ["WTFPL"],
+    "zlib": ["Zlib"],
+}
+#: Endings of the identifiers of the GNU licences.
+SUFFIXES = ["only", "or-later"]
+#: Names of the versions of the Creative Commons licences before the last.
+VERSIONS = {"1.0": "Generic", "2.0": "Generic", "2.5": "Generic", "3.0": "Unported"}
+
+
+def _short() -> dict[str, list[str]]:
+    """Templates by rule: identifiers with their tags, and earlier versions of the Creative Commons licences."""
+    out = {f: [] for f in TEMPLATES}
+    for f, names in IDENTIFIERS.items():
+        ends = ["", *[f"-{x}" for x in SUFFIXES]] if f.endswith("gpl") else [""]
+        out[f] += [f"{tag}: {x}{e}" for x in names for tag in ("SPDX-License-Identifier", "License") for e in (ends if tag != "License" else ends[:1])]
+    for f, (_, long) in ((f, t) for f, t in TEMPLATES.items() if f.startswith("cc-")):
+        out[f] += [f"{tag}: {f.upper()}-4.0" for tag in ("SPDX-License-Identifier", "License")]
+        for v, name in VERSIONS.items():
+            out[f] += [f"Licensed under {f.upper().replace('CC-', 'CC ')} {v}", long.replace("4.0 International", f"{v} {name}")]
+    return out
+
+
+SHORT = _short()
 #: Made-up licence language; NAME stands for a random word.
 OTHER = [
     "Licensed under the NAME License, version 1.2", "Released under the NAME Public License", "All rights reserved by NAME, no part may be reproduced without permission",
     "All rights reserved", "This file is subject to the NAME licence agreement", "Use of this work is permitted under the terms of the NAME license", "Copyright NAME, distribution is not permitted",
+    "SPDX-License-Identifier: NAME", "SPDX-License-Identifier: LicenseRef-NAME",
 ]
 FAMILIES = list(TEMPLATES)
 CLASSES = [*FAMILIES, "unknown", "none"]
@@ -67,8 +121,14 @@ SAMPLE_BYTES = 2_000_000
 SPAN, BITS = 24, 18
 #: Characters whose words are scored at a time; a longer text is scored by itself.
 PART = 1_000_000
+#: Stretches whose features are summed at a time.
+STEP = 8192
 #: Made-up ordinary lines.
 MADE = 1000
+#: Examples of a statement, and of a template made by rule.
+EXAMPLES, FEW = 40, 10
+#: Rounds of the fit between looks at all rows, and the error below which a row waits in between.
+AGAIN, CERTAIN = 10, 0.02
 CONFIRM, LEAST = 0.6, 0.5
 
 
@@ -83,9 +143,14 @@ def _once(w: np.ndarray) -> np.ndarray:
     return w[np.r_[True, w[1:] != w[:-1]]] if len(w) else w
 
 
+def statements(family: str) -> list[str]:
+    """All templates of a family."""
+    return [*TEMPLATES[family], *SHORT[family]]
+
+
 def _fixed(t: str, memory: Words) -> np.ndarray:
     """Word pairs of a template, without those that hold NAME."""
-    return np.unique(np.concatenate([grams(memory.of(x), 2) for x in t.split("NAME") if len(x.split()) > 1]))
+    return np.unique(np.concatenate([grams(w, 2) for w in map(memory.of, t.split("NAME")) if len(w) > 1]))
 
 
 class Model:
@@ -93,29 +158,56 @@ class Model:
         self.weights, self.bias, self.temperature = weights, bias, temperature
 
 
+def _probabilities(model: Model, w: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Class probabilities of stretches of ``w``, ordered by start. ``STEP`` stretches are summed at a time, whose words
+    are ``STEP * SPAN`` at most, so memory doesn't grow with the text."""
+    mask, out = np.uint64((1 << BITS) - 1), []
+    for k in range(0, len(start), STEP):
+        a, e = start[k : k + STEP], end[k : k + STEP]
+        low, high = int(a[0]), int(e.max())
+        part, none = w[low:high], np.zeros((1, len(CLASSES)))
+        one = np.cumsum(model.weights[(grams(part, 1) & mask).astype(np.int64)], axis=0, dtype=np.float64)
+        two = np.cumsum(model.weights[(grams(part, 2) & mask).astype(np.int64)], axis=0, dtype=np.float64) if len(part) > 1 else none[:0]
+        sums1, sums2 = np.vstack([none, one]), np.vstack([none, two])
+        n = 2 * (e - a) - 1
+        z = (sums1[e - low] - sums1[a - low] + sums2[e - low - 1] - sums2[a - low]) / np.sqrt(n)[:, None] + model.bias
+        out.append(_softmax(z / model.temperature))
+    return np.concatenate(out)
+
+
 def fit(negatives: list[str], seed: int = 5, rounds: int = 120) -> Model:
     rng = np.random.default_rng(seed)
     memory = Words()
     ordinary = np.array([x for t in negatives for x in t.split()] or ["the", "of", "and"], dtype=object)
 
-    def varied(t: str) -> str:
-        words = [w for w in t.split() if rng.random() > 0.06]
+    def among(words: list[str]) -> str:
         return " ".join([*rng.choice(ordinary, rng.integers(0, 9)), *words, *rng.choice(ordinary, rng.integers(0, 9))])
 
-    rows = [(varied(t), k) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f] for _ in range(40)]
-    rows += [(varied(t.replace("NAME", str(rng.choice(ordinary)))), len(FAMILIES)) for t in OTHER for _ in range(40)]
-    pairs = [set(_fixed(t, memory).tolist()) for t in [*(t for x in TEMPLATES.values() for t in x), *OTHER]]
+    def varied(t: str) -> str:
+        return among([w for w in t.split() if rng.random() > 0.06])
+
+    rows = [(varied(t), k) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f] for _ in range(EXAMPLES)]
+    rows += [(among([t]), k) for k, f in enumerate(FAMILIES) for t in SHORT[f] for _ in range(FEW)]  # short ones whole, as one word tells little
+    rows += [(varied(t.replace("NAME", str(rng.choice(ordinary)))), len(FAMILIES)) for t in OTHER for _ in range(EXAMPLES)]
+    pairs = [set(_fixed(t, memory).tolist()) for t in [*(t for f in FAMILIES for t in statements(f)), *OTHER]]
     apart = np.array([w for x in [*TEMPLATES.values(), OTHER] for t in x for w in WORD.findall(t) if w != "NAME"], dtype=object)
     # words of licences out of order and alone, and other words alone
     made = [" ".join(rng.permutation([*rng.choice(apart, rng.integers(1, 4)), *rng.choice(ordinary, rng.integers(0, 9))])) for _ in range(MADE)]
     made += [str(w) for w in [*np.unique(apart), *rng.choice(ordinary, MADE // 4)]]
-    for t in [*negatives, *made]:
-        g = set(grams(memory.of(t), 2).tolist())
-        if not any(len(g & p) > 0.4 * len(p) for p in pairs):
-            rows.append((t, len(CLASSES) - 1))
+    parts = sorted({w for x in IDENTIFIERS.values() for t in [*x, *SUFFIXES] for w in WORD.findall(t)})
+    made += [among([w]) for w in parts for _ in range(EXAMPLES)] + [w for w in parts for _ in range(EXAMPLES)]
+    holders: dict[int, list[int]] = {}  # the templates with a pair
+    for k, p in enumerate(pairs):
+        for h in p:
+            holders.setdefault(h, []).append(k)
+    for made_up, t in [*((False, t) for t in negatives), *((True, t) for t in made)]:
+        met = [k for h in set(grams(memory.of(t), 2).tolist()) for k in holders.get(h, ())]
+        if not any(met.count(k) > 0.4 * len(pairs[k]) for k in set(met)):
+            rows.append((t, len(CLASSES) - 1 + made_up))
     x = [_features(_once(memory.of(t))) for t, _ in rows]
     rows, x = [r for r, f in zip(rows, x, strict=True) if len(f)], [f for f in x if len(f)]
-    y = np.array([k for _, k in rows])
+    kind = np.array([k for _, k in rows])  # classes, made ordinary lines apart
+    y = np.minimum(kind, len(CLASSES) - 1)
     turn = rng.permutation(len(rows))
     held, used = turn[: len(turn) // 3], turn[len(turn) // 3 :]
 
@@ -124,30 +216,36 @@ def fit(negatives: list[str], seed: int = 5, rounds: int = 120) -> Model:
         return np.concatenate([x[k] for k in which]), np.repeat(np.arange(len(which)), n), np.repeat(1 / np.sqrt(n), n)
 
     def logits(w: np.ndarray, f: np.ndarray, row: np.ndarray, v: np.ndarray) -> np.ndarray:
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        return np.add.reduceat(w[f] * v[:, None], starts, axis=0) + bias
+        return np.column_stack([np.bincount(row, of[f] * v) for of in w]) + bias  # class by class: each row has features
 
     f, row, v = flat(used)
     known, f = np.unique(f, return_inverse=True)  # the features that the examples have
-    own, bias = np.zeros((len(known), len(CLASSES))), np.zeros(len(CLASSES))
+    own, bias = np.zeros((len(CLASSES), len(known))), np.zeros(len(CLASSES))
     truth = np.eye(len(CLASSES))[y[used]]
-    balance = (1 / np.maximum(truth.sum(axis=0), 1))[y[used]]
+    balance = (1 / np.maximum(np.bincount(kind[used]), 1))[kind[used]]  # each kind counts alike
     balance *= len(used) / balance.sum()
     squares = np.full(len(known), 1e-6)
-    for _ in range(rounds):
-        d = (_softmax(logits(own, f, row, v)) - truth) * balance[:, None] / len(used)
-        g = np.column_stack([np.bincount(f, d[row, k] * v, len(known)) for k in range(len(CLASSES))]) + 1e-5 * own
-        squares += (g * g).sum(axis=1)
-        own -= 0.5 * g / np.sqrt(squares)[:, None]
+    share = balance[:, None] / len(used)
+    for r in range(rounds):
+        if r % AGAIN == 0:  # rows that are all but certain wait until the next look at all of them
+            live = np.abs(_softmax(logits(own, f, row, v)) - truth).max(axis=1) > CERTAIN
+            if not live.any():
+                break
+            on = live[row]
+            f_on, row_on, v_on = f[on], (np.cumsum(live) - 1)[row[on]], v[on]
+        d = (_softmax(logits(own, f_on, row_on, v_on)) - truth[live]) * share[live]
+        g = np.vstack([np.bincount(f_on, k[row_on] * v_on, len(known)) for k in np.ascontiguousarray(d.T)]) + 1e-5 * own
+        squares += (g * g).sum(axis=0)
+        own -= 0.5 * g / np.sqrt(squares)
         bias -= 2.0 * d.sum(axis=0)
-    weights = np.zeros((1 << BITS, len(CLASSES)))
-    weights[known] = own
+    weights = np.zeros((len(CLASSES), 1 << BITS))
+    weights[:, known] = own
     z = logits(weights, *flat(held)) if len(held) else np.zeros((0, len(CLASSES)))
     none = np.eye(len(CLASSES))[-1]  # classes count alike in the fit: the shift gives ordinary lines their due
     scales = [(t, d) for t in np.geomspace(0.2, 5, 40) for d in np.linspace(0, 4, 17)]
     best, shift = min(scales, key=lambda x: -np.log(_softmax((z + x[1] * none) / x[0])[np.arange(len(held)), y[held]] + 1e-12).sum())
     bias += shift * none
-    return Model(weights.astype(np.float32), bias, float(best))
+    return Model(np.ascontiguousarray(weights.T, dtype=np.float32), bias, float(best))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -206,7 +304,7 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _scan(model: Model):
     memory = Words()
-    pairs = [(k, _fixed(t, memory)) for k, f in enumerate(FAMILIES) for t in TEMPLATES[f]]
+    pairs = [(k, _fixed(t, memory)) for k, f in enumerate(FAMILIES) for t in statements(f)]
     #: Of each template, the pairs that no template of another family has: they tell GPL from LGPL, and CC BY from CC BY-NC.
     own = [np.setdiff1d(t, np.concatenate([x for j, x in pairs if j != k])) for k, t in pairs]
 
@@ -215,13 +313,12 @@ def _scan(model: Model):
         out, most = {}, {}
         for (k, t), o in zip(pairs, own, strict=True):
             share = np.isin(t, g).mean()
-            if share >= CONFIRM and share > most.get(k, 0) and np.isin(o, g).mean() >= CONFIRM:
+            if share >= CONFIRM and share > most.get(k, 0) and len(o) and np.isin(o, g).mean() >= CONFIRM:
                 out[k], most[k] = t, share
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
-        mask = np.uint64((1 << BITS) - 1)
         for b in _parts(batches):
             lines, of, number, follows = [], [], [], []
             for k, t in enumerate(b["text"]):
@@ -241,14 +338,8 @@ def _scan(model: Model):
                 first = np.cumsum(sizes) - sizes
                 w = np.concatenate(lines)
                 line = np.repeat(np.arange(len(lines)), sizes)
-                one = model.weights[(grams(w, 1) & mask).astype(np.int64)]
-                two = np.vstack([model.weights[(grams(w, 2) & mask).astype(np.int64)] if len(w) > 1 else one[:0], np.zeros((1, one.shape[1]), np.float32)])
-                sums1 = np.vstack([np.zeros((1, one.shape[1])), np.cumsum(one, axis=0, dtype=np.float64)])
-                sums2 = np.vstack([np.zeros((1, one.shape[1])), np.cumsum(two, axis=0, dtype=np.float64)])
                 start, end = _stretches(first, sizes, line, np.array(follows))
-                n_features = 2 * (end - start) - 1
-                z = (sums1[end] - sums1[start] + sums2[end - 1] - sums2[start]) / np.sqrt(n_features)[:, None] + model.bias
-                p = _softmax(z / model.temperature)
+                p = _probabilities(model, w, start, end)
                 for s in np.flatnonzero(1 - p[:, -1] >= LEAST):  # licence language of any kind
                     doc = of[line[start[s]]]
                     if start[s] >= until[doc]:
