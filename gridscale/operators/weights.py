@@ -96,6 +96,37 @@ def within(cells: DataFrame, centres: DataFrame, radius: float, power: float = 1
     total = w.groupBy("i", "j").agg(F.sum("w").alias("s"))
     return w.join(total, ["i", "j"]).withColumn("w", F.col("w") / F.col("s")).drop("s")
 
+
+def triangulated(cells: DataFrame, known: DataFrame, factor: int) -> DataFrame:
+    """Barycentric weights in the triangles of the ``known`` coarse centres (ci, cj), so planes come out exactly.
+
+    A square of four known centres is cut along its diagonal from the low to the high corner, one of three is a single
+    triangle; all of these are Delaunay triangles. Larger triangles across gaps are not made: what lies in none, beyond
+    the hull or right around a missing centre, gets nothing. Squares are made on the coarse grid and met by an
+    equi-join; a cell on an edge of several squares takes the lowest that has a triangle there.
+    """
+    corners = ((0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8))
+    of = F.array(*[F.struct((F.col("ci") - p).alias("a"), (F.col("cj") - q).alias("b"), F.lit(bit).alias("bit")) for p, q, bit in corners])
+    squares = known.select("ci", "cj").distinct().select(F.explode(of).alias("s")).groupBy("s.a", "s.b").agg(F.sum("s.bit").alias("there"))
+    sides = lambda x: F.explode(F.array_distinct(F.array(F.floor(x).cast("int"), (F.ceil(x) - 1).cast("int"))))
+    placed = cells.select("i", "j").distinct().select("i", "j", _place("i", factor).alias("x"), _place("j", factor).alias("y"))
+    placed = placed.select("*", sides(F.col("x")).alias("a")).select("*", sides(F.col("y")).alias("b"))
+    u, v, there = F.col("x") - F.col("a"), F.col("y") - F.col("b"), F.col("there")
+
+    def triangle(*taps: tuple[int, int, Column]) -> Column:
+        return F.array(*[F.struct((F.col("a") + p).alias("ci"), (F.col("b") + q).alias("cj"), w.alias("w")) for p, q, w in taps])
+
+    chosen = (
+        F.when(there.isin(13, 15) & (u >= v - 1e-9), triangle((0, 0, 1 - u), (1, 0, u - v), (1, 1, v)))
+        .when(there.isin(11, 15) & (u <= v + 1e-9), triangle((0, 0, 1 - v), (0, 1, v - u), (1, 1, u)))
+        .when((there == 7) & (u + v <= 1 + 1e-9), triangle((0, 0, 1 - u - v), (1, 0, u), (0, 1, v)))
+        .when((there == 14) & (u + v >= 1 - 1e-9), triangle((1, 0, 1 - v), (0, 1, 1 - u), (1, 1, u + v - 1)))
+    )
+    met = placed.join(squares, ["a", "b"]).select("i", "j", F.struct("a", "b", chosen.alias("taps")).alias("s")).where("s.taps IS NOT NULL")
+    lowest = met.groupBy("i", "j").agg(F.min("s").alias("s"))
+    return lowest.select("i", "j", F.explode("s.taps").alias("p")).select("i", "j", "p.ci", "p.cj", "p.w").where(F.abs("w") > 1e-9)
+
+
 def spline_inverse(n: int) -> list[list[float]]:
     """The B-spline prefilter of ``n`` samples as a matrix, coefficients from values: the inverse of the band (1, 4, 1) / 6
     with mirrored ends, column by column by elimination along the band."""

@@ -181,3 +181,24 @@ def spline_correction(spark, sf):
     fine, c = residuals(spark, sf)
     table = weights.spline(fine.select("i", "j").distinct(), FACTOR, SIDE // FACTOR, SIDE // FACTOR)
     return told(weights.apply(table, c, "residual", "correction").select("t", "i", "j", "correction"), 2)
+
+
+_SIDES = "(i-2)/5.0::DOUBLE BETWEEN a AND a+1 AND (j-2)/5.0::DOUBLE BETWEEN b AND b+1"
+_CASES = [(0, 0, "WHEN 13 THEN 1-u WHEN 11 THEN 1-v WHEN 7 THEN 1-u-v"), (1, 0, "WHEN 13 THEN u-v WHEN 7 THEN u WHEN 14 THEN 1-v"), (0, 1, "WHEN 11 THEN v-u WHEN 7 THEN v WHEN 14 THEN 1-u"), (1, 1, "WHEN 13 THEN v WHEN 11 THEN u WHEN 14 THEN u+v-1")]
+_TRIANGLES = [
+    "kn AS (SELECT DISTINCT ci, cj FROM cr WHERE residual IS NOT NULL)",
+    "sq AS (SELECT a, b, sum(bit) AS there FROM (SELECT ci-p AS a, cj-q AS b, bit FROM kn, (VALUES (0, 0, 1), (0, 1, 2), (1, 0, 4), (1, 1, 8)) c(p, q, bit)) GROUP BY 1, 2)",
+    f"pl AS (SELECT i, j, a, b, there, (i-2)/5.0::DOUBLE-a AS u, (j-2)/5.0::DOUBLE-b AS v FROM cells, sq WHERE {_SIDES})",
+    "tk AS (SELECT i, j, a, b, u, v, CASE WHEN there IN (13, 15) AND u >= v THEN 13 WHEN there IN (11, 15) AND u <= v THEN 11 WHEN there = 7 AND u+v <= 1 THEN 7 WHEN there = 14 AND u+v >= 1 THEN 14 END AS k FROM pl)",
+    "t1 AS (SELECT * FROM tk WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY a, b) = 1)",
+    "w_tri AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT i, j, a+{p} AS ci, b+{q} AS cj, CASE k {c} ELSE 0 END AS w FROM t1" for p, q, c in _CASES) + ") WHERE abs(w) > 1e-9)",
+    _CARRIED.replace("w_spline", "w_tri"),
+]
+
+
+@book.add("grd08_triangulated", sql(told_sql("SELECT t, i, j, correction FROM sc", "correction", "t i j", 2), CO[0], CO[1], *_TRIANGLES))
+def triangulated_correction(spark, sf):
+    """The coarse residual carried down linearly in the triangles of the coarse cells that have one in any month."""
+    fine, c = residuals(spark, sf)
+    table = weights.triangulated(fine.select("i", "j").distinct(), c.where("residual IS NOT NULL"), FACTOR)
+    return told(weights.apply(table, c, "residual", "correction").select("t", "i", "j", "correction"), 2)
