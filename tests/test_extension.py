@@ -1,6 +1,10 @@
+import os
+
 from gridscale.plans import registry
 from gridscale.sources.bind import observed, second
 
+from .oracle import connect, difference
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -25,3 +29,15 @@ def test_scale_factors_of_cells_without_suppliers(spark):
     for i, j in lack:
         a = min(suppliers, key=lambda s: ((s[0] - i) ** 2 + (s[1] - j) ** 2, *s))
         assert got[i, j] == got[a]
+
+
+def test_scale_factors_of_lines_without_a_nation(spark, tmp_path):
+    name, sf = "join02_scale_alignment", str(tmp_path)
+    nations = {3: 4, 8: 2, 9: None, 16: 0}
+    for t in ("lineitem", "orders", "part"):
+        os.symlink(f"{SF}/{t}.parquet", f"{sf}/{t}.parquet")
+    spark.createDataFrame(list(nations.items()), "n_nationkey int, n_regionkey int").write.parquet(f"{sf}/nation.parquet")
+    got = {(r.i, r.j): r.scale_factor for r in registry.QUERIES[name](spark, sf).collect()}
+    known = [k for k, v in nations.items() if v is not None]
+    assert len(got) == 400 and all(abs(f - 1 - nations[min(known, key=lambda k: (abs(k - i), k))] / 10) < 1e-5 for (i, _), f in got.items())
+    assert difference(spark, connect(sf), registry.QUERIES[name], registry.ORACLE_SQL[name], sf) == ""
