@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.metrics import regression, summary
+from ..operators.ordered import numbered
 from ..operators.series import linear_fill
 from ..sources.bind import observed, read, second, signal, sql
 from .book import Book
@@ -257,12 +258,20 @@ TRIALS = """tr AS (SELECT l_returnflag AS study, row_number() OVER (PARTITION BY
 rb AS (SELECT *, max(value) OVER (PARTITION BY study ORDER BY trial ROWS UNBOUNDED PRECEDING) AS best FROM tr WHERE state = 'complete')"""
 
 
+_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "started"]
+
+
 def trials(spark, sf):
-    """The log; a study's trials are ordered within the study, as the log of one study is written in order."""
-    x = read(spark, sf, "lineitem")
-    n = F.row_number().over(Window.partitionBy("l_returnflag").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
+    """The log, with the columns that order it."""
     state = F.when(F.col("l_linestatus") == "O", "complete").when(F.col("l_quantity") > 25, "failed").otherwise("pruned")
-    return x.select(F.col("l_returnflag").alias("study"), n.alias("trial"), state.alias("state"), (F.col("l_discount") + F.col("l_tax")).alias("value"), F.col("l_quantity").alias("depth"), F.col("l_shipdate").alias("started"))
+    columns = F.col("l_returnflag").alias("study"), state.alias("state"), (F.col("l_discount") + F.col("l_tax")).alias("value"), F.col("l_quantity").alias("depth"), F.col("l_shipdate").alias("started")
+    return read(spark, sf, "lineitem").select(*columns, *_ORDER[:-1])
+
+
+def complete_trials(spark, sf, running=None):
+    """Complete trials by their number in the study; other trials are numbered too."""
+    log = trials(spark, sf).withColumn("done", F.when(F.col("state") == "complete", F.col("value")))
+    return numbered(log, ["study"], _ORDER, "trial", running).where("state = 'complete'").drop(*_ORDER, "done")
 
 
 @book.add("agg30_trial_outcomes", "WITH " + TRIALS + rounded_sql("SELECT study, 100.0*count(*) FILTER (WHERE state='failed')/count(*) AS failed, 100.0*count(*) FILTER (WHERE state='pruned')/count(*) AS pruned, 100.0*count(*) FILTER (WHERE state='complete')/count(*) AS success FROM tr GROUP BY study", "failed pruned success", "study"))
@@ -290,7 +299,7 @@ def tuning_summary(spark, sf):
 
 
 def running_best(spark, sf):
-    return trials(spark, sf).where("state = 'complete'").withColumn("best", F.max("value").over(Window.partitionBy("study").orderBy("trial").rowsBetween(Window.unboundedPreceding, 0)))
+    return complete_trials(spark, sf, {"best": "done"})
 
 
 @book.add("win08_plateau", "WITH " + TRIALS + ", q AS (SELECT study, count(*) AS n, max(trial) AS last, max(best) AS top FROM rb GROUP BY study) SELECT study, n > 50 AND top-max(CASE WHEN trial <= 0.75*last THEN best END) < 0.001*abs(top) AS plateau FROM rb JOIN q USING (study) GROUP BY study, n, top")
@@ -310,7 +319,7 @@ def efficiency(spark, sf):
 
 @book.add("srt04_best_trial", "WITH " + TRIALS + rounded_sql("SELECT study, arg_max(trial, (value, -trial)) AS trial, max(value) AS value FROM tr WHERE state = 'complete' GROUP BY study", "value", "study trial"))
 def best_trial(spark, sf):
-    return rounded(trials(spark, sf).where("state = 'complete'").groupBy("study").agg(F.max_by("trial", F.struct("value", -F.col("trial"))).alias("trial"), F.max("value").alias("value")))
+    return rounded(complete_trials(spark, sf).groupBy("study").agg(F.max_by("trial", F.struct("value", -F.col("trial"))).alias("trial"), F.max("value").alias("value")))
 
 
 @book.add("join15_parameter_changes", "WITH " + TRIALS + ", d AS (SELECT * FROM (VALUES ('A', 20.0::DOUBLE), ('N', 25.5::DOUBLE), ('X', 1.0::DOUBLE)) x(study, base))" + rounded_sql("SELECT coalesce(m.study, d.study) AS study, base, tuned, 100*(tuned-base)/base AS pct, coalesce(tuned <> base, true) AS changed FROM (SELECT study, avg(depth) AS tuned FROM tr GROUP BY study) m FULL OUTER JOIN d ON m.study = d.study", "base tuned pct", "study changed"))
