@@ -306,7 +306,7 @@ def running_best(spark, sf):
 def plateau(spark, sf):
     r = running_best(spark, sf)
     q = r.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.max("trial").alias("last"), F.max("best").alias("top"))
-    return r.join(q, "study").groupBy("study", "n", "top").agg(F.max(F.when(F.col("trial") <= 0.75 * F.col("last"), F.col("best"))).alias("early")).select("study", ((F.col("n") > 50) & (F.col("top") - F.col("early") < 0.001 * F.abs("top"))).alias("plateau"))
+    return r.join(F.broadcast(q), "study").groupBy("study", "n", "top").agg(F.max(F.when(F.col("trial") <= 0.75 * F.col("last"), F.col("best"))).alias("early")).select("study", ((F.col("n") > 50) & (F.col("top") - F.col("early") < 0.001 * F.abs("top"))).alias("plateau"))
 
 
 @book.add("win09_efficiency", "WITH " + TRIALS + ", q AS (SELECT study, count(*) AS n, arg_min(best, trial) AS first, max(best) AS top FROM rb GROUP BY study)" + rounded_sql("SELECT study, min(trial) AS trials_to_90, 1.0*min(trial)/any_value(n) AS ratio FROM rb JOIN q USING (study) WHERE best >= first+0.9*(top-first)-1e-12 GROUP BY study", "ratio", "study trials_to_90"))
