@@ -313,7 +313,7 @@ def plateau(spark, sf):
 def efficiency(spark, sf):
     r = running_best(spark, sf)
     q = r.groupBy("study").agg(F.count(F.lit(1)).alias("n"), F.min_by("best", "trial").alias("first"), F.max("best").alias("top"))
-    x = r.join(q, "study").where(F.col("best") >= F.col("first") + 0.9 * (F.col("top") - F.col("first")) - 1e-12)
+    x = r.join(F.broadcast(q), "study").where(F.col("best") >= F.col("first") + 0.9 * (F.col("top") - F.col("first")) - 1e-12)
     return rounded(x.groupBy("study").agg(F.min("trial").alias("trials_to_90"), (F.min("trial") / F.first("n")).alias("ratio")))
 
 
