@@ -11,7 +11,7 @@ pairs of one of the family's templates; otherwise it is ``unknown``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, cut, text_of
-from .words import WORD, Words, grams
+from .words import LINE_END, WORD, Words, grams
 
 #: The statements by which works name these licences.
 TEMPLATES = {
@@ -158,20 +158,39 @@ class Model:
         self.weights, self.bias, self.temperature = weights, bias, temperature
 
 
+def _most(model: Model) -> np.ndarray:
+    """Of each feature, the most by which it can raise a class above ``none``."""
+    return model.weights[:, :-1].max(axis=1).astype(np.float64) - model.weights[:, -1]
+
+
+def _possible(model: Model, most: np.ndarray, w: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Stretches that may be licence language: for the others, a bound on all classes at once leaves ``none`` more than
+    1 - LEAST, whatever the classes' own sums are."""
+    mask, none = np.uint64((1 << BITS) - 1), np.zeros(1)
+    one = np.r_[none, np.cumsum(most[(grams(w, 1) & mask).astype(np.int64)])]
+    two = np.r_[none, np.cumsum(most[(grams(w, 2) & mask).astype(np.int64)])] if len(w) > 1 else none
+    above = (one[end] - one[start] + two[end - 1] - two[start]) / np.sqrt(2 * (end - start) - 1) + (model.bias[:-1] - model.bias[-1]).max()
+    # sum of exp(z - z of none) over the classes is LEAST / (1 - LEAST) at least, so one of them has its share of it
+    return np.flatnonzero(above >= model.temperature * np.log(LEAST / (1 - LEAST) / (len(CLASSES) - 1)) - 1e-6)
+
+
 def _probabilities(model: Model, w: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Class probabilities of stretches of ``w``, ordered by start. ``STEP`` stretches are summed at a time, whose words
-    are ``STEP * SPAN`` at most, so memory doesn't grow with the text."""
-    mask, out = np.uint64((1 << BITS) - 1), []
+    """Class probabilities of stretches of ``w``. ``STEP`` stretches are summed at a time, whose words are ``STEP * SPAN``
+    at most, so memory doesn't grow with the text; equal stretches get equal probabilities."""
+    mask, out = np.uint64((1 << BITS) - 1), [np.zeros((0, len(CLASSES)))]
+    one = (grams(w, 1) & mask).astype(np.int64)
+    two = (grams(w, 2) & mask).astype(np.int64) if len(w) > 1 else one[:0]
+
+    def sums(feature: np.ndarray, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        first = np.cumsum(n) - n
+        return np.add.reduceat(model.weights[feature[np.repeat(a - first, n) + np.arange(n.sum())]], first, axis=0, dtype=np.float64)
+
     for k in range(0, len(start), STEP):
-        a, e = start[k : k + STEP], end[k : k + STEP]
-        low, high = int(a[0]), int(e.max())
-        part, none = w[low:high], np.zeros((1, len(CLASSES)))
-        one = np.cumsum(model.weights[(grams(part, 1) & mask).astype(np.int64)], axis=0, dtype=np.float64)
-        two = np.cumsum(model.weights[(grams(part, 2) & mask).astype(np.int64)], axis=0, dtype=np.float64) if len(part) > 1 else none[:0]
-        sums1, sums2 = np.vstack([none, one]), np.vstack([none, two])
-        n = 2 * (e - a) - 1
-        z = (sums1[e - low] - sums1[a - low] + sums2[e - low - 1] - sums2[a - low]) / np.sqrt(n)[:, None] + model.bias
-        out.append(_softmax(z / model.temperature))
+        a, n = start[k : k + STEP], end[k : k + STEP] - start[k : k + STEP]
+        z = sums(one, a, n)
+        if (n > 1).any():
+            z[n > 1] += sums(two, a[n > 1], n[n > 1] - 1)
+        out.append(_softmax((z / np.sqrt(2 * n - 1)[:, None] + model.bias) / model.temperature))
     return np.concatenate(out)
 
 
@@ -272,6 +291,14 @@ def _read(lines: list[str]) -> list[str]:
     return out
 
 
+def _windows(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the ``windows`` of lines of ``n`` words, at least one, that begin at ``first``."""
+    half = SPAN // 2
+    many = np.where(n <= SPAN, 1, -(-(n - half) // half))
+    start = np.repeat(first, many) + half * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+    return start, np.minimum(start + SPAN, np.repeat(first + n, many))
+
+
 def _stretches(first: np.ndarray, sizes: np.ndarray, line: np.ndarray, follows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of what is read, by start: each line, and each window of a paragraph that crosses a line end.
 
@@ -279,16 +306,37 @@ def _stretches(first: np.ndarray, sizes: np.ndarray, line: np.ndarray, follows:
     """
     head = np.flatnonzero(~follows)
     total = np.add.reduceat(sizes, head)
-    out = [(first[sizes <= SPAN], (first + sizes)[sizes <= SPAN])]
-    more = [(first[k] + a, first[k] + z) for k in np.flatnonzero(sizes > SPAN) for a, z in windows(int(sizes[k]))]
-    more += [(first[h] + a, first[h] + z) for h, n in zip(head, total, strict=True) if n > sizes[h] for a, z in windows(int(n)) if line[first[h] + a] != line[first[h] + z - 1]]
-    if more:
-        out.append(tuple(np.array(more).T))
-    start, end = (np.concatenate(x) for x in zip(*out, strict=True))
+    short, several = sizes <= SPAN, total > sizes[head]
+    a, z = _windows(first[head[several]], total[several])
+    across = line[a] != line[z - 1]
+    parts = [(first[short], (first + sizes)[short]), _windows(first[~short], sizes[~short]), (a[across], z[across])]
+    start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.argsort(start, kind="stable")
     return start[order], end[order]
 
 
+def _lines(texts: Iterable[str], words: Words) -> tuple[np.ndarray, ...]:
+    """Words of all texts, without those said again at once in a line; and of each line that has words its first word, its
+    number of words, its text, its number in the text, and whether it goes on with the line before."""
+    hashes, ends = [], []
+    for t in texts:
+        h = words.tokens(t)
+        hashes += [h, np.array([LINE_END], dtype=np.uint64)]
+        ends.append(int((h == LINE_END).sum()) + 1)
+    h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
+    over = h == np.uint64(LINE_END)
+    w, at = h[~over], np.cumsum(over)[~over]
+    if len(w):
+        keep = np.concatenate([[True], (w[1:] != w[:-1]) | (at[1:] != at[:-1])])
+        w, at = w[keep], at[keep]
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(w) else at
+    sizes, at = np.diff(np.append(first, len(w))), at[first]
+    top = np.cumsum(ends) - ends  # the texts' first lines
+    of = np.searchsorted(top, at, "right") - 1
+    follows = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (of[1:] == of[:-1])])[: len(at)]
+    return w, first, sizes, of, at - top[of], follows
+
+
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of whole texts, some ``PART`` characters at a time."""
     for b in batches:
@@ -308,37 +356,38 @@ def _scan(model: Model):
     #: Of each template, the pairs that no template of another family has: they tell GPL from LGPL, and CC BY from CC BY-NC.
     own = [np.setdiff1d(t, np.concatenate([x for j, x in pairs if j != k])) for k, t in pairs]
 
+    holders: dict[int, list[tuple[int, bool]]] = {}  # the templates with a pair, and whether it is their own
+    for j, ((_, t), o) in enumerate(zip(pairs, own, strict=True)):
+        mine = set(o.tolist())
+        for h in t.tolist():
+            holders.setdefault(h, []).append((j, h in mine))
+    most_of = _most(model)
+
     def confirmed(g: np.ndarray) -> dict[int, np.ndarray]:
         """Families with most pairs of a template, and most of those that are its own, among ``g``, with that template."""
-        out, most = {}, {}
-        for (k, t), o in zip(pairs, own, strict=True):
-            share = np.isin(t, g).mean()
-            if share >= CONFIRM and share > most.get(k, 0) and len(o) and np.isin(o, g).mean() >= CONFIRM:
+        out, most, met, met_own = {}, {}, {}, {}
+        for h in set(g.tolist()):
+            for j, is_own in holders.get(h, ()):
+                met[j] = met.get(j, 0) + 1
+                met_own[j] = met_own.get(j, 0) + is_own
+        for j in sorted(met):
+            k, t = pairs[j]
+            share = met[j] / len(t)
+            if share >= CONFIRM and share > most.get(k, 0) and len(own[j]) and met_own[j] / len(own[j]) >= CONFIRM:
                 out[k], most[k] = t, share
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = Words()
         for b in _parts(batches):
-            lines, of, number, follows = [], [], [], []
-            for k, t in enumerate(b["text"]):
-                last = None
-                for n, line in enumerate(t.split("\n")):
-                    w = _once(words.of(line))
-                    if len(w):
-                        lines.append(w)
-                        of.append(k)
-                        number.append(n)
-                        follows.append(last == n - 1)
-                        last = n
+            w, first, sizes, of, number, follows = _lines(b["text"], words)
             best = [("none", 0.0, None, ())] * len(b)
             families, n_found, until = [set() for _ in range(len(b))], [0] * len(b), [-1] * len(b)
-            if lines:
-                sizes = np.array([len(w) for w in lines])
-                first = np.cumsum(sizes) - sizes
-                w = np.concatenate(lines)
-                line = np.repeat(np.arange(len(lines)), sizes)
-                start, end = _stretches(first, sizes, line, np.array(follows))
+            if len(w):
+                line = np.repeat(np.arange(len(sizes)), sizes)
+                start, end = _stretches(first, sizes, line, follows)
+                may = _possible(model, most_of, w, start, end)
+                start, end = start[may], end[may]
                 p = _probabilities(model, w, start, end)
                 for s in np.flatnonzero(1 - p[:, -1] >= LEAST):  # licence language of any kind
                     doc = of[line[start[s]]]
@@ -351,9 +400,9 @@ def _scan(model: Model):
                     for k, t in names.items():
                         families[doc].add(FAMILIES[k])
                         at = start[s] + np.flatnonzero(np.isin(g, t))
-                        best[doc] = max(best[doc], (FAMILIES[k], float(p[s, k]), number[np.bincount(line[at]).argmax()], (True, single, float(p[s, k]))), key=lambda x: x[3])
+                        best[doc] = max(best[doc], (FAMILIES[k], float(p[s, k]), int(number[np.bincount(line[at]).argmax()]), (True, single, float(p[s, k]))), key=lambda x: x[3])
                     if not names:
-                        best[doc] = max(best[doc], ("unknown", float(1 - p[s, -1]), number[line[start[s]]], (False, single, float(1 - p[s, -1]))), key=lambda x: x[3])
+                        best[doc] = max(best[doc], ("unknown", float(1 - p[s, -1]), int(number[line[start[s]]]), (False, single, float(1 - p[s, -1]))), key=lambda x: x[3])
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].astype("Int64"), "family": [x[0] for x in best], "probability": [x[1] for x in best],
                 "n_found": n_found, "line_no": pd.array([x[2] for x in best], dtype="Int64"), "families": [sorted(x) for x in families],

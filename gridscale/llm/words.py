@@ -8,6 +8,9 @@ import numpy as np
 import xxhash
 
 WORD = re.compile(r"[^\W_]+")
+TOKEN = re.compile(r"[^\W_]+|\n")
+#: Hash of a line end among tokens.
+LINE_END = xxhash.xxh3_64_intdigest("\n")
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -29,6 +32,17 @@ class Words(dict):
         words = WORD.findall(text.lower())
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
+    def tokens(self, text: str, piece: int = 1_000_000) -> np.ndarray:
+        """Hashes of the words and line ends; whole lines of some ``piece`` characters are taken apart at a time."""
+        out, a = [], 0
+        while not out or a < len(text):
+            z = text.find("\n", a + piece)
+            z = len(text) if z < 0 else z
+            found = TOKEN.findall(text[a:z].lower())
+            out.append(np.fromiter(map(self.__getitem__, found), dtype=np.uint64, count=len(found)))
+            a = z
+        return np.concatenate(out)
+
 
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * _Q

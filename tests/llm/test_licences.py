@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 
+from gridscale.llm import licences
 from gridscale.llm.licences import BITS, CLASSES, CONFIRM, FAMILIES, LEAST, TEMPLATES, scan_licences, statements, train, windows
 from gridscale.llm.words import WORD, Words, grams
 
@@ -147,3 +148,20 @@ def test_against_brute_force(spark):
     got = sorted((r.doc_id or -1, r.family, r.families, r.n_found) for r in scan_licences(docs, model=model).collect())
     want = sorted((r.doc_id or -1, *brute(model, r.text or "")) for r in texts)
     assert got == want
+
+
+def test_few_ordinary_stretches_are_scored_and_none_is_lost(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, words = train(docs, sample=60), Words()
+    ordinary = [r.text or "" for r in docs.select("text").collect()]
+    stated = [f"a line\n{t}. and on\nWords words Σ\n\n" for f in FAMILIES for t in statements(f)]
+    for texts, most in ((ordinary, 0.2), ([*stated, "", "\n", "one", *ordinary], 1)):
+        w, first, sizes, of, number, follows = licences._lines(texts, words)
+        start, end = licences._stretches(first, sizes, np.repeat(np.arange(len(sizes)), sizes), follows)
+        may = licences._possible(model, licences._most(model), w, start, end)
+        told = np.flatnonzero(1 - licences._probabilities(model, w, start, end)[:, -1] >= LEAST)
+        assert set(told) <= set(may) and len(told) and len(may) <= most * len(start)
+        lines = [(k, n) for k, t in enumerate(texts) for n, line in enumerate(t.split("\n")) if WORD.search(line.lower())]
+        assert list(zip(of, number)) == lines
+    text = "\n".join(stated) + "\n"
+    assert all((words.tokens(text, n) == words.tokens(text)).all() for n in (1, 7, 300)) and len(words.tokens("")) == 0
